@@ -4,18 +4,19 @@ The effect size is the larger of a level step (medians of the values) and a slop
 step (medians of the first differences), each scaled by the MAD of the baseline
 and tested against placebo splits inside the baseline.
 
-Ordinary series are short (one incident, one metric), so they are held as arrays
-and evaluated in one projection. Series above ``ARRAY_MAX`` points never enter an
-array: their medians come from :mod:`faultline.functions.ordered`.
+Ordinary series are short (one incident, one metric), so one shuffle by series
+brings each together. Series above ``ARRAY_MAX`` points never meet in one task:
+their medians come from :mod:`faultline.functions.ordered`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.functions.ordered import exact_median, ordered_index
+from faultline.session import checkpoint
 
 Z_MIN = 3.0
 ARRAY_MAX = 200_000
@@ -96,48 +97,59 @@ def _combine(stats: DataFrame, keys: Sequence[str], metric: str) -> DataFrame:
     )
 
 
-def _array_stats(points: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Statistics columns per key from in-row arrays."""
-    def side(flag: str) -> Column:
-        packed = F.when(F.col("side") == flag, F.struct(*[F.col(o) for o in order], F.col("value").alias("_v")))
-        return F.transform(F.array_sort(F.collect_list(packed)), lambda p: p["_v"])
-
-    df = points.groupBy(*keys).agg(side("pre").alias("l_pre"), side("post").alias("l_post"))
-    for s in ("pre", "post"):
-        a = F.col(f"l_{s}")
-        n = F.size(a)
-        diffs = F.zip_with(F.slice(a, 1, F.greatest(n - 1, F.lit(0))), F.slice(a, 2, F.greatest(n - 1, F.lit(0))),
-                           lambda x, y: y - x)
-        df = df.withColumn(f"d_{s}", F.when(n >= 2, diffs).otherwise(F.array().cast("array<double>")))
-    segments: list[Column] = []
-    names: list[str] = []
+SEGMENTS = ("pre", "post", "a1", "b1", "a2", "b2")
+
+
+def _segments(both: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Tag every value with the segments it belongs to: its side and the placebo halves.
+
+    ``both`` holds levels (``_p`` = l) and first differences (``_p`` = d) with their
+    position ``idx``; a placebo cut counts only with four points on each side.
+    """
+    third = F.floor(F.col("pre_n") / 3)
+    tags = [F.col("side")]
+    for cut, at in (("1", third), ("2", 2 * third)):
+        valid = (F.col("side") == "pre") & (at >= 4) & (at <= F.col("pre_n") - 4)
+        tags.append(F.when(valid, F.when(F.col("idx") < at, f"a{cut}").otherwise(f"b{cut}")))
+    return (
+        both.join(sizes, [*keys, "_p"]) if sizes is not None else both
+    ).select(*keys, "_p", "value", F.explode(F.array(*tags)).alias("seg")).where(F.col("seg").isNotNull())
+
+
+def _wide(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per series from rows (keys, _p, seg, n, med, mad)."""
+    out = []
     for p in ("l", "d"):
-        pre, n = F.col(f"{p}_pre"), F.size(f"{p}_pre")
-        third = F.floor(n / 3).cast("int")
-        parts = {"pre": pre, "post": F.col(f"{p}_post")}
-        for cut, at in (("1", third), ("2", 2 * third)):
-            valid = (at >= 4) & (at <= n - 4)
-            parts[f"a{cut}"] = F.when(valid, F.slice(pre, F.lit(1), at))
-            parts[f"b{cut}"] = F.when(valid, F.slice(pre, at + 1, F.greatest(n - at, F.lit(0))))
-        for name, expr in parts.items():
-            names.append(f"{p}_{name}")
-            segments.append(F.sort_array(expr).alias(f"{p}_{name}_s"))
-    df = df.select(*keys, *segments)
-    df = df.select("*", *[_median_of_sorted(F.col(f"{n}_s")).alias(f"{n}_med0") for n in names])
-    columns: list[Column] = []
-    for n in names:
-        arr, med = F.col(f"{n}_s"), F.col(f"{n}_med0")
-        columns.append(F.when(arr.isNotNull(), med).alias(f"{n}_med"))
-        if n.endswith(("pre", "post")):
-            columns.append(F.size(arr).alias(f"{n}_n"))
-        if n.endswith(("pre", "a1", "a2")):
-            columns.append(F.sort_array(F.transform(arr, lambda x, m=med: F.abs(x - m))).alias(f"{n}_dev"))
-    df = df.select(*keys, *columns)
-    sigmas = [
-        F.when(F.col(f"{n}_dev").isNotNull(), MAD_TO_SIGMA * _median_of_sorted(F.col(f"{n}_dev"))).alias(f"{n}_sigma")
-        for n in names if n.endswith(("pre", "a1", "a2"))
-    ]
-    return df.select(*[c for c in df.columns if not c.endswith("_dev")], *sigmas)
+        for seg in SEGMENTS:
+            here = (F.col("_p") == p) & (F.col("seg") == seg)
+            out.append(F.max(F.when(here, F.col("med"))).alias(f"{p}_{seg}_med"))
+            if seg in ("pre", "a1", "a2"):
+                out.append((MAD_TO_SIGMA * F.max(F.when(here, F.col("mad")))).alias(f"{p}_{seg}_sigma"))
+            if seg in ("pre", "post"):
+                out.append(F.coalesce(F.max(F.when(here, F.col("n"))), F.lit(0)).alias(f"{p}_{seg}_n"))
+    return stats.groupBy(*keys).agg(*out)
+
+
+def _array_stats(points: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Segment statistics of ordinary series: one shuffle by series, then all local."""
+    keys = list(keys)
+    placed = points.repartition(*keys)
+    in_time = Window.partitionBy(*keys, "side").orderBy(*order, "value")
+    whole = Window.partitionBy(*keys, "side")
+    n = F.count(F.lit(1)).over(whole)
+    rows = placed.select(
+        *keys, "side", "value", (F.row_number().over(in_time) - 1).alias("idx"), n.alias("_n"),
+        (F.col("value") - F.lag("value").over(in_time)).alias("_diff"))
+    pair = F.array(
+        F.struct(F.lit("l").alias("p"), "value", "idx", F.col("_n").alias("n")),
+        F.struct(F.lit("d").alias("p"), F.col("_diff").alias("value"), (F.col("idx") - 1).alias("idx"), (F.col("_n") - 1).alias("n")))
+    both = rows.select(*keys, "side", F.explode(pair).alias("x")).select(
+        *keys, "side", F.col("x.p").alias("_p"), "x.value", "x.idx", F.col("x.n").alias("pre_n")).where(F.col("value").isNotNull())
+    arrays = _segments(both, None, keys).groupBy(*keys, "_p", "seg").agg(F.sort_array(F.collect_list("value")).alias("v"))
+    medians = arrays.withColumn("med", _median_of_sorted(F.col("v")))
+    deviations = F.sort_array(F.transform("v", lambda x: F.abs(x - F.col("med"))))
+    stats = medians.select(*keys, "_p", "seg", "med", F.size("v").alias("n"), deviations.alias("dev"))
+    return _wide(stats.withColumn("mad", _median_of_sorted(F.col("dev"))).drop("dev"), keys)
 
 
 def _spread_stats(points: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -148,45 +160,17 @@ def _spread_stats(points: DataFrame, keys: Sequence[str], order: Sequence[str])
     level = level.select(*keys, "side", "idx", "value")
     shifted = level.select(*keys, "side", (F.col("idx") + 1).alias("idx"), F.col("value").alias("_prev"))
     slope = level.join(shifted, [*keys, "side", "idx"]).select(
-        *keys, "side", (F.col("idx") - 1).alias("idx"), (F.col("value") - F.col("_prev")).alias("value")
-    )
+        *keys, "side", (F.col("idx") - 1).alias("idx"), (F.col("value") - F.col("_prev")).alias("value"))
     both = level.withColumn("_p", F.lit("l")).unionByName(slope.withColumn("_p", F.lit("d")))
-    sizes = both.groupBy(*keys, "_p").agg(
-        F.count_if(F.col("side") == "pre").alias("pre_n"), F.count_if(F.col("side") == "post").alias("post_n")
-    )
-    third = F.floor(F.col("pre_n") / 3)
-    tags = [F.struct(F.col("side").alias("seg"))]
-    for cut, at in (("1", third), ("2", 2 * third)):
-        valid = (F.col("side") == "pre") & (at >= 4) & (at <= F.col("pre_n") - 4)
-        half = F.when(F.col("idx") < at, F.lit(f"a{cut}")).otherwise(F.lit(f"b{cut}"))
-        tags.append(F.struct(F.when(valid, half).alias("seg")))
-    tagged = (
-        both.join(sizes, [*keys, "_p"])
-        .select(*keys, "_p", "value", F.explode(F.array(*tags)).alias("_t"))
-        .select(*keys, "_p", F.col("_t.seg").alias("seg"), "value")
-        .where(F.col("seg").isNotNull())
-    )
+    sizes = both.groupBy(*keys, "_p").agg(F.count_if(F.col("side") == "pre").alias("pre_n"))
+    tagged = _segments(both, sizes, keys)
     group = [*keys, "_p", "seg"]
-    medians = exact_median(tagged, group, "value", "med").select(*group, "med")
+    medians = exact_median(tagged, group, "value", "med")
     deviations = (
         tagged.where(F.col("seg").isin("pre", "a1", "a2")).join(medians, group)
-        .select(*group, F.abs(F.col("value") - F.col("med")).alias("dev"))
-    )
+        .select(*group, F.abs(F.col("value") - F.col("med")).alias("dev")))
     mads = exact_median(deviations, group, "dev", "mad").select(*group, "mad")
-    stats = medians.join(mads, group, "left")
-    aggregates = []
-    for p in ("l", "d"):
-        for seg in ("pre", "post", "a1", "b1", "a2", "b2"):
-            here = (F.col("_p") == p) & (F.col("seg") == seg)
-            aggregates.append(F.max(F.when(here, F.col("med"))).alias(f"{p}_{seg}_med"))
-            if seg in ("pre", "a1", "a2"):
-                aggregates.append((MAD_TO_SIGMA * F.max(F.when(here, F.col("mad")))).alias(f"{p}_{seg}_sigma"))
-    wide = stats.groupBy(*keys).agg(*aggregates)
-    counts = sizes.groupBy(*keys).agg(*[
-        F.coalesce(F.max(F.when(F.col("_p") == p, F.col(f"{s}_n"))), F.lit(0)).alias(f"{p}_{s}_n")
-        for p in ("l", "d") for s in ("pre", "post")
-    ])
-    return wide.join(counts, keys)
+    return _wide(medians.join(mads, group, "left"), keys)
 
 
 def effect_sizes(
@@ -202,6 +186,9 @@ def effect_sizes(
     points = points.where(F.col("side").isNotNull() & F.col("value").isNotNull())
     points = points.withColumn("value", F.col("value").cast("double"))
     large = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > array_max).select(*keys)
+    if array_max > 0 and large.isEmpty():
+        return _combine(_array_stats(points, keys, order), keys, metric)
+    large = checkpoint(large)
     small_stats = _array_stats(points.join(large, keys, "left_anti"), keys, order)
     large_stats = _spread_stats(points.join(large, keys, "left_semi"), keys, order)
     return _combine(small_stats, keys, metric).unionByName(_combine(large_stats, keys, metric))
