@@ -162,13 +162,15 @@ def _spread_stats(points: DataFrame, keys: Sequence[str], order: Sequence[str])
     slope = level.join(shifted, [*keys, "side", "idx"]).select(
         *keys, "side", (F.col("idx") - 1).alias("idx"), (F.col("value") - F.col("_prev")).alias("value"))
     both = level.withColumn("_p", F.lit("l")).unionByName(slope.withColumn("_p", F.lit("d")))
+    both = checkpoint(both)
     sizes = both.groupBy(*keys, "_p").agg(F.count_if(F.col("side") == "pre").alias("pre_n"))
-    tagged = _segments(both, sizes, keys)
+    tagged = checkpoint(_segments(both, sizes, keys))
     group = [*keys, "_p", "seg"]
     medians = exact_median(tagged, group, "value", "med")
     deviations = (
         tagged.where(F.col("seg").isin("pre", "a1", "a2")).join(medians, group)
         .select(*group, F.abs(F.col("value") - F.col("med")).alias("dev")))
+    deviations = checkpoint(deviations)
     mads = exact_median(deviations, group, "dev", "mad").select(*group, "mad")
     return _wide(medians.join(mads, group, "left"), keys)
 
