@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from faultline.functions.ordered import top_per_group
 from faultline.functions.robust import FAMILIES, Z_MIN, family
 from faultline.operators.metrics import onset_shifts
+from faultline.session import checkpoint
 
 # fixed values: roles that generate or relay load and are seldom the origin
 SYNTHETIC_ROLES = ("load-generator", "loadgenerator", "frontend-proxy", "frontendproxy", "frontend-web")
@@ -67,8 +68,9 @@ def rank_services(edges: DataFrame, effects: DataFrame) -> DataFrame:
     that slowed without failing itself. Neighbourhood sums are joins of the
     service edges; a window only ever orders the services of one incident.
     """
-    edges = edges.select("incident_id", "caller", "callee").distinct()
-    nodes = _graph_effects(edges, effects)
+    # Service-level tables, small next to the telemetry: stored once, read by every regime.
+    edges = checkpoint(edges.select("incident_id", "caller", "callee").distinct())
+    nodes = checkpoint(_graph_effects(edges, effects))
     regime = nodes.groupBy("incident_id").agg(
         *[F.max(f"z_{f}").alias(f"m_{f}") for f in FAMILIES]).withColumn("m", F.greatest(*[F.col(f"m_{f}") for f in FAMILIES]))
     regime = regime.select("incident_id", F.when(F.col("m") < Z_MIN, "none").when(F.col("m_resource") == F.col("m"), "resource")
@@ -116,7 +118,7 @@ def rank_services(edges: DataFrame, effects: DataFrame) -> DataFrame:
         F.coalesce(when("latency", total), F.lit(0.0)),
     ]
     by_rank = Window.partitionBy("incident_id").orderBy(*levels, "service")
-    ordered = scored.withColumn("_r", F.row_number().over(by_rank))
+    ordered = checkpoint(scored.withColumn("_r", F.row_number().over(by_rank)))
 
     # error: one hop down to a callee that slowed but did not fail
     deepest = ordered.where((F.col("regime") == "error") & (F.col("_r") == 1) & ~calm)
@@ -136,6 +138,7 @@ def rank_services(edges: DataFrame, effects: DataFrame) -> DataFrame:
 
 def localise(ranked: DataFrame) -> DataFrame:
     """Root service, top five, fault wording, evidence and victims, one row per incident."""
+    ranked = checkpoint(ranked)
     root = ranked.where(F.col("rank") == 1)
     sized = ranked.withColumn("z", z_max())
     per = sized.groupBy("incident_id").agg(

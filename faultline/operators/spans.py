@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from faultline.functions.expr import is_error, kind_is, rpc_callee
 from faultline.functions.ordered import exact_p95, ordered_index, top_per_group
 from faultline.operators import paths
+from faultline.session import checkpoint
 
 SPAN_ORDER = ("time", "trace_id", "span_id")
 
@@ -187,7 +188,7 @@ def latency_shifts(spans: DataFrame, incidents: DataFrame, min_self_ms: float =
 
 def latency_origin(spans: DataFrame, incidents: DataFrame, min_self_ms: float = 50.0) -> DataFrame:
     """Service whose own work slowed most per incident; null when none shifted enough."""
-    shifts = latency_shifts(spans, incidents, min_self_ms)
+    shifts = checkpoint(latency_shifts(spans, incidents, min_self_ms))
     order = [F.col("shift").desc(), F.col("first_seen")]
     ranked = top_per_group(shifts.where("is_server"), ["incident_id"], order, 4, rank="_r")
     best = ranked.groupBy("incident_id").agg(
@@ -248,7 +249,7 @@ def edge_latency_origin(
     """
     from faultline.operators.graph import transitive_closure
 
-    shifts = edge_shifts(resolved if resolved is not None else resolve_callees(spans), incidents)
+    shifts = checkpoint(edge_shifts(resolved if resolved is not None else resolve_callees(spans), incidents))
     degraded = shifts.where((F.col("shift_ms") >= min_shift_ms) & (F.col("post_samples") > 0))
     reach = transitive_closure(degraded.select("incident_id", "caller", "callee"), keep_self=True)
     into = degraded.groupBy("incident_id", F.col("callee").alias("x")).agg(
@@ -371,7 +372,7 @@ def error_origin(spans: DataFrame, resolved: DataFrame | None = None) -> DataFra
     depths = paths.span_depths(spans)
     deep = leaves.join(depths, ["incident_id", "span_id"])
     deepest = deep.groupBy("incident_id").agg(F.max("depth").alias("depth"))
-    picked = deep.join(deepest, ["incident_id", "depth"])
+    picked = checkpoint(deep.join(deepest, ["incident_id", "depth"]))
     servers = (
         errors.where(kind_is("server"))
         .select("incident_id", F.col("service").alias("callee"), F.lit(True).alias("_fails")).distinct()

@@ -264,7 +264,7 @@ _SIG = RESOLVED | ONSET_EFFECTS | {
       (select incident_id, service, count(*) as n from spans where status='ERROR' and span_kind='server' group by 1, 2) full join
       (select incident_id, service, max(post_mean - pre_mean) filter (where metric='request_error_rate') as er, max(post_mean - pre_mean) filter (where metric='latency_p95_ms') as lr,
         count(*) filter (where metric='cpu_cores' and post_mean - pre_mean > 1.0) as rr from shifts group by 1, 2) using (incident_id, service)""",
-    "hyp": """select incident_id, concat('h_', service) as id, 'service' as kind, service, null as caller, null as callee from (select distinct incident_id, service from spans)
+    "hyp": """select incident_id, concat('h_', service) as id, 'service' as kind, service, cast(null as varchar) as caller, cast(null as varchar) as callee from (select distinct incident_id, service from spans)
       union all select distinct incident_id, concat('e_', service, '_', callee), 'edge', null, service, callee from resolved where span_kind='client' and callee <> service""",
 }
 
