@@ -13,6 +13,8 @@ RED_METRICS = ("request_error_rate", "latency_p95_ms")
 # fixed values: absolute rise that counts as significant
 SIGNIFICANT_RISE = {"request_error_rate": 0.02, "latency_p95_ms": 100.0, "cpu_cores": 1.0}
 SERIES = ["incident_id", "service", "metric"]
+# Long series are ordered in chunks of this many seconds, never whole.
+CHUNK_SECONDS = 3600
 
 
 def significant_rise(metric: str | Column, pre: Column, post: Column) -> Column:
@@ -49,7 +51,8 @@ def sampled_series(
         F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"),
         F.max_by("value", F.struct("time", "value")).alias("last"), F.count(F.lit(1)).alias("count"),
     )
-    indexed = ordered_index(metrics.select(*SERIES, "time", "value"), SERIES, "time", ["value"]).join(summary, SERIES)
+    chunked = metrics.select(*SERIES, "time", "value", F.floor(F.col("time") / CHUNK_SECONDS).alias("chunk"))
+    indexed = ordered_index(chunked, SERIES, "chunk", ["time", "value"]).drop("chunk").join(summary, SERIES)
     # Point j is sampled when some i has floor(i * n / max_points) = j.
     step = F.col("count") / F.lit(float(max_points))
     guess = F.ceil(F.col("idx") / step)
@@ -88,7 +91,8 @@ def level_shift(metrics: DataFrame) -> DataFrame:
     """Split point that separates the means most, from running sums in one pass over time."""
     points = metrics.select(*SERIES, "time", "value")
     totals = points.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_n"), F.sum("value").alias("_sum"))
-    runs = running_sums(points, SERIES, "time", ["value"], {"_k": F.lit(1), "_s": F.col("value")}).join(totals, SERIES)
+    points = points.withColumn("chunk", F.floor(F.col("time") / CHUNK_SECONDS))
+    runs = running_sums(points, SERIES, "chunk", ["time", "value"], {"_k": F.lit(1), "_s": F.col("value")}).join(totals, SERIES)
     before_n = F.col("_k") - 1
     before = (F.col("_s") - F.col("value")) / F.nullif(before_n, F.lit(0))
     after = (F.col("_sum") - F.col("_s") + F.col("value")) / (F.col("_n") - before_n)
