@@ -16,7 +16,7 @@ RULES = [
     (0, "UserFacingDegradation", "request_error_rate", 0.02, ">", 7200, "critical", "degradation"),
     (1, "UserFacingDegradation", "latency_p95_ms", 250.0, ">=", 14400, "critical", "degradation"),
     (2, "FrontendHighLatency", "latency_p95_ms", 300.0, ">", 0, "warning", "latency_p95"),
-    (3, "CheckoutFailureRate", "cpu_cores", 1.0, "<", 7200, "warning", "cpu"),
+    (3, "CheckoutFailureRate", "cpu_cores", 4.0, "<", 0, "warning", "cpu"),
 ]
 
 

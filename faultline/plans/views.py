@@ -113,6 +113,51 @@ FAULT_BY_INCIDENT = ["payment", "cart", "checkout", "ad", "currency"]
 SEVERITY_BY_EVENT = {"error": "ERROR", "signup": "Warn", "view": "info", "click": "INFO"}
 
 
+def log_columns() -> list[Column]:
+    """Columns of the ``logs`` view over ``span_events``."""
+    user = F.col("user_id").cast("string")
+    names = F.create_map(*[F.lit(x) for pair in SEVERITY_BY_EVENT.items() for x in pair])
+    severity = F.coalesce(F.try_element_at(names, F.col("event_type")), F.lit("debug"))
+    message = F.concat("event_type", F.lit(" in "), "operation", F.lit(" for user "), user, F.lit(" req "), F.substring(F.md5(user), 1, 12))
+    return [F.col("incident_id"), F.col("time"), F.col("service"), severity.alias("severity"), message.alias("message"), F.col("trace_id")]
+
+
+def derive_span_events(events: DataFrame) -> DataFrame:
+    """The ``spanev`` view over a batch or streaming events frame, with ``ts`` kept.
+
+    Array look-ups stand where the SQL has CASE chains: same rows, and the short
+    expressions keep planning of the operators quick.
+    """
+    def pick(values: list, index: Column) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+
+    ts = F.col("ts")
+    second = (F.dayofmonth(ts) - 1) * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    group = F.floor(F.col("event_id") / 8)
+    ev = events.select(
+        "ts", "event_id", "user_id", "event_type", "value", second.cast("long").alias("t"),
+        (F.col("event_id") % 8).alias("pos"), (group % 3).alias("tpl"), group.alias("tr"))
+    ev = ev.withColumns({"inc": F.floor(F.col("t") / 432000), "time": F.col("t") % 432000})
+    service = pick([name for row in SERVICE_BY_POSITION for name in row], F.col("pos") * 3 + F.col("tpl"))
+    ev = ev.withColumn("service", service)
+    broken = F.coalesce(pick(FAULT_BY_INCIDENT, F.col("inc")), F.lit("shipping")) == F.col("service")
+    ev = ev.withColumn("fault", broken & (F.col("time") >= 216000))
+    parent = F.concat(F.lit("s"), (F.col("event_id") - pick(PARENT_OFFSET, F.col("pos"))).cast("string"))
+    operation = (
+        F.when(F.col("pos") == 7, "oteldemo.AdService/GetAds")
+        .when((F.col("pos") == 3) & (F.col("tpl") == 0), "oteldemo.PaymentService/Charge")
+        .otherwise(F.concat(F.lit("op"), F.col("pos").cast("string"))))
+    failed = (F.col("event_type") == "error") & ((F.col("value") > 60) | F.col("fault"))
+    return ev.select(
+        F.concat(F.lit("inc_"), F.col("inc").cast("string")).alias("incident_id"),
+        F.concat(F.lit("t"), F.col("tr").cast("string")).alias("trace_id"),
+        F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("span_id"), parent.alias("parent_span_id"),
+        "time", "service", operation.alias("operation"),
+        F.when(F.col("pos").isin(0, 2, 4, 6), "server").otherwise("client").alias("span_kind"),
+        (F.col("value") * F.when(F.col("fault"), 5).otherwise(1)).alias("duration_ms"),
+        F.when(failed, "ERROR").otherwise("OK").alias("status"), "event_type", "user_id", "event_id", "ts")
+
+
 class Telemetry:
     """Lazy canonical frames over one test folder."""
 
@@ -130,38 +175,7 @@ class Telemetry:
 
     @cached_property
     def span_events(self) -> DataFrame:
-        """The ``spanev`` view, with array look-ups where the SQL has CASE chains.
-
-        Same rows; the short expressions keep planning of the operators quick.
-        """
-        def pick(values: list, index: Column) -> Column:
-            return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
-
-        ts = F.col("ts")
-        second = (F.dayofmonth(ts) - 1) * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-        group = F.floor(F.col("event_id") / 8)
-        ev = self.table("events").select(
-            "event_id", "user_id", "event_type", "value", second.cast("long").alias("t"),
-            (F.col("event_id") % 8).alias("pos"), (group % 3).alias("tpl"), group.alias("tr"))
-        ev = ev.withColumns({"inc": F.floor(F.col("t") / 432000), "time": F.col("t") % 432000})
-        service = pick([name for row in SERVICE_BY_POSITION for name in row], F.col("pos") * 3 + F.col("tpl"))
-        ev = ev.withColumn("service", service)
-        broken = F.coalesce(pick(FAULT_BY_INCIDENT, F.col("inc")), F.lit("shipping")) == F.col("service")
-        ev = ev.withColumn("fault", broken & (F.col("time") >= 216000))
-        parent = F.concat(F.lit("s"), (F.col("event_id") - pick(PARENT_OFFSET, F.col("pos"))).cast("string"))
-        operation = (
-            F.when(F.col("pos") == 7, "oteldemo.AdService/GetAds")
-            .when((F.col("pos") == 3) & (F.col("tpl") == 0), "oteldemo.PaymentService/Charge")
-            .otherwise(F.concat(F.lit("op"), F.col("pos").cast("string"))))
-        failed = (F.col("event_type") == "error") & ((F.col("value") > 60) | F.col("fault"))
-        return ev.select(
-            F.concat(F.lit("inc_"), F.col("inc").cast("string")).alias("incident_id"),
-            F.concat(F.lit("t"), F.col("tr").cast("string")).alias("trace_id"),
-            F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("span_id"), parent.alias("parent_span_id"),
-            "time", "service", operation.alias("operation"),
-            F.when(F.col("pos").isin(0, 2, 4, 6), "server").otherwise("client").alias("span_kind"),
-            (F.col("value") * F.when(F.col("fault"), 5).otherwise(1)).alias("duration_ms"),
-            F.when(failed, "ERROR").otherwise("OK").alias("status"), "event_type", "user_id", "event_id")
+        return derive_span_events(self.table("events")).drop("ts")
 
     @cached_property
     def spans(self) -> DataFrame:
@@ -183,12 +197,7 @@ class Telemetry:
 
     @cached_property
     def logs(self) -> DataFrame:
-        user = F.col("user_id").cast("string")
-        names = F.create_map(*[F.lit(x) for pair in SEVERITY_BY_EVENT.items() for x in pair])
-        return self.span_events.select(
-            "incident_id", "time", "service", F.coalesce(F.try_element_at(names, F.col("event_type")), F.lit("debug")).alias("severity"),
-            F.concat("event_type", F.lit(" in "), "operation", F.lit(" for user "), user, F.lit(" req "),
-                     F.substring(F.md5(user), 1, 12)).alias("message"), "trace_id")
+        return self.span_events.select(*log_columns())
 
     @cached_property
     def incidents(self) -> DataFrame:
