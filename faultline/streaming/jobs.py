@@ -21,10 +21,17 @@ DELAY = "60 seconds"
 def run_available(stream: DataFrame, label: str) -> DataFrame:
     """Process everything available now into a parquet folder on shared storage."""
     spark = stream.sparkSession
+    out = drain(stream, label)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def drain(stream: DataFrame, label: str) -> str:
+    """The folder that :func:`run_available` writes; another stream may read it."""
+    spark = stream.sparkSession
     out, state = scratch_path(spark, f"{label}-out"), scratch_path(spark, f"{label}-state")
     job = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
     job.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return out
 
 
 def windowed_red(spans: DataFrame, window: str = "3 minutes", slide: str = "15 seconds", delay: str = DELAY) -> DataFrame:
@@ -54,7 +61,7 @@ _COMPARE = {">": lambda v, t: v > t, ">=": lambda v, t: v >= t, "<": lambda v, t
 def _watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Advance one rule over new samples; state is the open run and whether it fired."""
     start, value, fired = state.get if state.exists else (None, None, False)
-    # Samples are one per step after the windowed maximum, so a batch is small.
+    # One sample per step after the windowed maximum, so a batch is small.
     samples = pd.concat(list(batches)).sort_values("ts")
     out = []
     for row in samples.itertuples(index=False):
@@ -71,17 +78,25 @@ def _watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     yield pd.DataFrame(out, columns=["incident_id", "rule_id", "fired_epoch", "value"])
 
 
-def sustained_alerts(points: DataFrame, rules: DataFrame, step: str = "15 seconds", delay: str = DELAY) -> DataFrame:
+def step_maxima(points: DataFrame, step: str = "15 seconds", delay: str = DELAY) -> DataFrame:
+    """Largest value per incident, metric and step: one sample per step whatever the traffic.
+
+    ``points``: incident_id, metric, event_ts, value. Feeds :func:`sustained_alerts`
+    through storage, since a stateful Python step cannot follow an aggregation in
+    one query.
+    """
+    grouped = points.withWatermark("event_ts", delay).groupBy("incident_id", "metric", F.window("event_ts", step).alias("w"))
+    return grouped.agg(F.max("value").alias("value")).select("incident_id", "metric", F.col("w.start").cast("long").alias("ts"), "value")
+
+
+def sustained_alerts(samples: DataFrame, rules: DataFrame) -> DataFrame:
     """First firing per incident and rule, as :func:`faultline.operators.alerts.sustained_breaches`.
 
-    ``points``: incident_id, metric, event_ts, value. The windowed maximum runs
-    first, so the stateful step sees one sample per step whatever the traffic.
-    ``rules`` is a small static frame.
+    ``samples``: the stream of :func:`step_maxima`. ``rules`` is a static frame.
     """
-    top = points.withWatermark("event_ts", delay).groupBy("incident_id", "metric", F.window("event_ts", step).alias("w")).agg(F.max("value").alias("value"))
-    samples = top.join(rules.select("rule_id", "metric", "threshold", "comparison", "for_seconds"), "metric").select(
-        "incident_id", "rule_id", F.col("w.start").cast("long").alias("ts"), "value", "threshold", "comparison", "for_seconds")
-    return samples.groupBy("incident_id", "rule_id").applyInPandasWithState(
+    joined = samples.join(rules.select("rule_id", "metric", "threshold", "comparison", "for_seconds"), "metric").select(
+        "incident_id", "rule_id", "ts", "value", "threshold", "comparison", "for_seconds")
+    return joined.groupBy("incident_id", "rule_id").applyInPandasWithState(
         _watch, "incident_id string, rule_id int, fired_epoch long, value double", "start long, value double, fired boolean",
         "append", GroupStateTimeout.NoTimeout)
 
