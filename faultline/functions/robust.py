@@ -92,7 +92,7 @@ def _combine(stats: DataFrame, keys: Sequence[str], metric: str) -> DataFrame:
     long_enough = (F.col("l_pre_n") >= 6) & (F.col("l_post_n") >= 3)
     return staged.select(
         *keys,
-        F.col("l_pre_n").alias("n_pre"), F.col("l_post_n").alias("n_post"),
+        F.col("l_pre_n").alias("n_pre"), F.col("l_post_n").alias("n_post"), F.col("l_pre_mean").alias("pre_mean"), F.col("l_post_mean").alias("post_mean"),
         F.when(long_enough, F.greatest(level, slope)).otherwise(level).alias("effect_z"),
     )
 
@@ -117,7 +117,7 @@ def _segments(both: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def _wide(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per series from rows (keys, _p, seg, n, med, mad)."""
+    """One row per series from rows (keys, _p, seg, n, mean, med, mad)."""
     out = []
     for p in ("l", "d"):
         for seg in SEGMENTS:
@@ -127,6 +127,8 @@ def _wide(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
                 out.append((MAD_TO_SIGMA * F.max(F.when(here, F.col("mad")))).alias(f"{p}_{seg}_sigma"))
             if seg in ("pre", "post"):
                 out.append(F.coalesce(F.max(F.when(here, F.col("n"))), F.lit(0)).alias(f"{p}_{seg}_n"))
+            if p == "l" and seg in ("pre", "post"):
+                out.append(F.coalesce(F.max(F.when(here, F.col("mean"))), F.lit(0.0)).alias(f"{p}_{seg}_mean"))
     return stats.groupBy(*keys).agg(*out)
 
 
@@ -145,10 +147,10 @@ def _array_stats(points: DataFrame, keys: Sequence[str], order: Sequence[str]) -
         F.struct(F.lit("d").alias("p"), F.col("_diff").alias("value"), (F.col("idx") - 1).alias("idx"), (F.col("_n") - 1).alias("n")))
     both = rows.select(*keys, "side", F.explode(pair).alias("x")).select(
         *keys, "side", F.col("x.p").alias("_p"), "x.value", "x.idx", F.col("x.n").alias("pre_n")).where(F.col("value").isNotNull())
-    arrays = _segments(both, None, keys).groupBy(*keys, "_p", "seg").agg(F.sort_array(F.collect_list("value")).alias("v"))
+    arrays = _segments(both, None, keys).groupBy(*keys, "_p", "seg").agg(F.sort_array(F.collect_list("value")).alias("v"), F.avg("value").alias("mean"))
     medians = arrays.withColumn("med", _median_of_sorted(F.col("v")))
     deviations = F.sort_array(F.transform("v", lambda x: F.abs(x - F.col("med"))))
-    stats = medians.select(*keys, "_p", "seg", "med", F.size("v").alias("n"), deviations.alias("dev"))
+    stats = medians.select(*keys, "_p", "seg", "mean", "med", F.size("v").alias("n"), deviations.alias("dev"))
     return _wide(stats.withColumn("mad", _median_of_sorted(F.col("dev"))).drop("dev"), keys)
 
 
@@ -172,14 +174,15 @@ def _spread_stats(points: DataFrame, keys: Sequence[str], order: Sequence[str])
         .select(*group, F.abs(F.col("value") - F.col("med")).alias("dev")))
     deviations = checkpoint(deviations)
     mads = exact_median(deviations, group, "dev", "mad").select(*group, "mad")
-    return _wide(medians.join(mads, group, "left"), keys)
+    means = tagged.groupBy(*group).agg(F.avg("value").alias("mean"))
+    return _wide(medians.join(mads, group, "left").join(means, group), keys)
 
 
 def effect_sizes(
     points: DataFrame, keys: Sequence[str], metric: str = "metric", order: Sequence[str] = ("time",),
     array_max: int = ARRAY_MAX,
 ) -> DataFrame:
-    """``keys``, n_pre, n_post, effect_z for points marked ``side`` = pre or post.
+    """``keys``, n_pre, n_post, pre_mean, post_mean, effect_z for points marked ``side`` = pre or post.
 
     ``metric`` must be one of ``keys``. Series larger than ``array_max`` take the
     spread path; both paths give the same numbers.

@@ -75,12 +75,10 @@ def compare_windows(metrics: DataFrame, windows: DataFrame) -> DataFrame:
         F.when(F.col("time").between(F.col("compare_start"), F.col("compare_end")), F.lit("post")),
     )
     points = joined.select(*SERIES, "time", "value", F.explode(sides).alias("side"))
-    means = points.groupBy(*SERIES).agg(
-        mean_or_zero(F.col("side") == "pre").alias("baseline_mean"), mean_or_zero(F.col("side") == "post").alias("compare_mean"))
-    both = means.join(effect_sizes(points, SERIES), SERIES, "left")
+    measured = effect_sizes(points, SERIES).withColumnsRenamed({"pre_mean": "baseline_mean", "post_mean": "compare_mean"})
     delta = F.col("compare_mean") - F.col("baseline_mean")
-    z = F.coalesce("effect_z", F.lit(0.0))
-    return both.select(
+    z = F.col("effect_z")
+    return measured.select(
         *SERIES, "baseline_mean", "compare_mean", delta.alias("delta"),
         F.when(F.col("baseline_mean") != 0, delta / F.col("baseline_mean")).alias("pct_change"), z.alias("effect_z"),
         ((F.abs(delta) > F.lit(0.1) * F.abs("baseline_mean") + 1e-6) | (z >= Z_MIN)).alias("shifted"),
@@ -112,9 +110,7 @@ def onset_shifts(metrics: DataFrame, incidents: DataFrame) -> DataFrame:
     timed = with_onset(metrics, incidents)
     after = F.col("time") >= F.col("onset_second")
     points = timed.select(*SERIES, "time", "value", F.when(after, "post").otherwise("pre").alias("side"))
-    means = points.groupBy(*SERIES).agg(
-        mean_or_zero(F.col("side") == "pre").alias("pre_mean"), mean_or_zero(F.col("side") == "post").alias("post_mean"))
-    return means.join(effect_sizes(points, SERIES), SERIES).withColumn("delta", F.col("post_mean") - F.col("pre_mean"))
+    return effect_sizes(points, SERIES).withColumn("delta", F.col("post_mean") - F.col("pre_mean"))
 
 
 def top_movers(metrics: DataFrame, incidents: DataFrame, metric: str, limit: int = 10) -> DataFrame:

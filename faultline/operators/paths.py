@@ -14,27 +14,26 @@ from pyspark.sql import Column, DataFrame, functions as F
 from faultline.session import checkpoint
 
 
-def _climb(nodes: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, bool]:
+def _climb(nodes: DataFrame, keys: Sequence[str], carry: Sequence[str] = ("top", "seg")) -> tuple[DataFrame, bool]:
     """Lift pointers until every acyclic node knows its top.
 
     ``nodes`` holds one row per node that has a parent in the forest:
-    keys, id, anc (ancestor so far, null when finished), hops, top, seg (path below).
+    keys, id, anc (ancestor so far, null when finished), hops, and what ``carry``
+    names: top (the root reached) and seg (the path below it).
     Returns the table and whether unfinished (cyclic) nodes remain.
     """
-    keys = list(keys)
-    table = checkpoint(nodes)
+    keys, carry = list(keys), list(carry)
+    table = checkpoint(nodes.select(*keys, "id", "anc", "hops", *carry))
     live = table.where(F.col("anc").isNotNull()).count()
     while live:
         ahead = table.select(
-            *keys, F.col("id").alias("anc"), F.lit(True).alias("_hit"), F.col("anc").alias("_anc"),
-            F.col("hops").alias("_hops"), F.col("top").alias("_top"), F.col("seg").alias("_seg"),
-        )
+            *keys, F.col("id").alias("anc"), F.lit(True).alias("_hit"), F.col("anc").alias("_anc"), F.col("hops").alias("_hops"),
+            *[F.col(c).alias(f"_{c}") for c in carry])
+        grown = {"top": lambda: F.when(F.col("_hit").isNull(), F.col("anc")).otherwise(F.col("_top")),
+                 "seg": lambda: F.concat(F.coalesce("_seg", F.array().cast(table.schema["seg"].dataType)), F.col("seg"))}
         moved = table.where(F.col("anc").isNotNull()).join(ahead, [*keys, "anc"], "left").select(
-            *keys, "id", F.col("_anc").alias("anc_next"),
-            (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
-            F.when(F.col("_hit").isNull(), F.col("anc")).otherwise(F.col("_top")).alias("top"),
-            F.concat(F.coalesce("_seg", F.array().cast(table.schema["seg"].dataType)), F.col("seg")).alias("seg"),
-        ).withColumnRenamed("anc_next", "anc")
+            *keys, "id", F.col("_anc").alias("anc_next"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
+            *[grown[c]().alias(c) for c in carry]).withColumnRenamed("anc_next", "anc")
         table = checkpoint(table.where(F.col("anc").isNull()).unionByName(moved))
         left = table.where(F.col("anc").isNotNull()).count()
         if left == live:
@@ -80,7 +79,7 @@ def _cycle_depths(live: DataFrame, links: DataFrame, keys: Sequence[str]) -> Dat
         *ids, "anc", F.lit(1).cast("long").alias("hops"), F.lit(None).cast("string").alias("top"),
         F.array().cast("array<int>").alias("seg"),
     )
-    climbed, _ = _climb(tails, keys)
+    climbed, _ = _climb(tails, keys, carry=("top",))
     ring_depth = on_ring.select(*keys, F.col("id").alias("top"), F.col("depth").alias("_ring"))
     tail_depths = climbed.join(ring_depth, [*keys, "top"]).select(*ids, (F.col("hops") + F.col("_ring")).alias("depth"))
     return on_ring.unionByName(tail_depths)
@@ -90,7 +89,7 @@ def span_depths(spans: DataFrame) -> DataFrame:
     """(incident_id, span_id, depth): parent hops inside the incident, cycle safe."""
     keys = ["incident_id"]
     links = _pointers(spans, keys)
-    climbed, cyclic = _climb(links, keys)
+    climbed, cyclic = _climb(links, keys, carry=())
     depths = climbed.where(F.col("anc").isNull()).select(*keys, F.col("id").alias("span_id"), F.col("hops").alias("depth"))
     if cyclic:
         rest = _cycle_depths(climbed.where(F.col("anc").isNotNull()), links, keys)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from faultline.functions.expr import is_error, kind_is, rpc_callee
 from faultline.functions.ordered import exact_p95, ordered_index, top_per_group
 from faultline.operators import paths
-from faultline.session import checkpoint
+from faultline.session import checkpoint, store
 
 SPAN_ORDER = ("time", "trace_id", "span_id")
 
@@ -166,9 +166,9 @@ def latency_shifts(spans: DataFrame, incidents: DataFrame, min_self_ms: float =
     """Self-time p95 before and after onset per service, serving or not."""
     timed = with_onset(self_times(spans), incidents)
     serving = spans.where(kind_is("server")).select("incident_id", "service").distinct().withColumn("_srv", F.lit(True))
-    kept = timed.where(F.col("self_ms") >= min_self_ms).withColumn("is_server", kind_is("server")).withColumn(
-        "after", F.col("time") >= F.col("onset_second")
-    )
+    kept = store(timed.where(F.col("self_ms") >= min_self_ms).select(
+        "incident_id", "service", kind_is("server").alias("is_server"), (F.col("time") >= F.col("onset_second")).alias("after"),
+        "self_ms", *SPAN_ORDER), "self-times")
     keys = ["incident_id", "service", "is_server"]
     p95 = exact_p95(kept, [*keys, "after"], "self_ms")
     p95 = p95.groupBy(*keys).agg(
@@ -230,7 +230,7 @@ def edge_shifts(resolved: DataFrame, incidents: DataFrame) -> DataFrame:
         kind_is("client") & (F.col("callee") != "") & (F.col("callee") != F.col("service"))
     ).select("incident_id", F.col("service").alias("caller"), "callee", "duration_ms",
              (F.col("time") >= F.col("onset_second")).alias("after"))
-    sides = exact_p95(calls, ["incident_id", "caller", "callee", "after"])
+    sides = exact_p95(store(calls, "calls"), ["incident_id", "caller", "callee", "after"])
     return sides.groupBy("incident_id", "caller", "callee").agg(
         F.coalesce(F.max(F.when(~F.col("after"), F.col("p95"))), F.lit(0.0)).alias("pre_p95_ms"),
         F.coalesce(F.max(F.when(F.col("after"), F.col("p95"))), F.lit(0.0)).alias("post_p95_ms"),
@@ -362,14 +362,14 @@ def error_summary(spans: DataFrame, start: int | None = None, resolved: DataFram
 def error_origin(spans: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     """Vote of the deepest error spans without an erroring child: a service or an edge."""
     base = resolved if resolved is not None else resolve_callees(spans)
-    errors = base.where(is_error())
+    errors = store(base.where(is_error()), "errors")
     parents = errors.where(F.col("parent_span_id").isNotNull()).select(
         "incident_id", F.col("parent_span_id").alias("span_id")
     ).distinct()
     frontier = errors.join(parents, ["incident_id", "span_id"], "left_anti")
     covered = frontier.select("incident_id").distinct()
     leaves = frontier.unionByName(errors.join(covered, "incident_id", "left_anti"))
-    depths = paths.span_depths(spans)
+    depths = paths.span_depths(spans.join(errors.select("incident_id").distinct(), "incident_id", "left_semi"))
     deep = leaves.join(depths, ["incident_id", "span_id"])
     deepest = deep.groupBy("incident_id").agg(F.max("depth").alias("depth"))
     picked = checkpoint(deep.join(deepest, ["incident_id", "depth"]))

@@ -201,7 +201,7 @@ def _(t: Telemetry) -> DataFrame:
     timed = spans.with_onset(t.metrics, t.incidents)
     side = F.when(F.col("time") >= F.col("onset_second"), "post").otherwise("pre")
     points = timed.select(*SERIES, "time", "value", side.alias("side"))
-    return rounded(effect_sizes(points, SERIES, array_max=0), "effect_z")
+    return rounded(effect_sizes(points, SERIES, array_max=0).drop("pre_mean", "post_mean"), "effect_z")
 
 
 @query("z3_metric_family", with_views("metrics", body="""

@@ -6,6 +6,8 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from faultline.session import store
+
 # Each entry runs unchanged in Spark and in DuckDB.
 _CTES = {
     "ev": """
@@ -183,13 +185,13 @@ class Telemetry:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        """Three metrics from one aggregation instead of three scans."""
+        """Three metrics from one aggregation instead of three scans, stored like a metrics table."""
         buckets = self.spans.groupBy("incident_id", "service", F.floor(F.col("time") / 7200).alias("bucket")).agg(
             F.avg(F.when(F.col("status") == "ERROR", 1.0).otherwise(0.0)).alias("request_error_rate"),
             F.max("duration_ms").alias("latency_p95_ms"), (F.sum("duration_ms") / 100).alias("cpu_cores"))
-        return buckets.unpivot(
+        return store(buckets.unpivot(
             ["incident_id", "service", "bucket"], ["request_error_rate", "latency_p95_ms", "cpu_cores"], "metric", "value"
-        ).select("incident_id", "service", "metric", (F.col("bucket") * 7200).alias("time"), "value")
+        ).select("incident_id", "service", "metric", (F.col("bucket") * 7200).alias("time"), "value"), "metrics")
 
     @cached_property
     def changes(self) -> DataFrame:
@@ -201,9 +203,9 @@ class Telemetry:
 
     @cached_property
     def incidents(self) -> DataFrame:
-        return self.spans.select("incident_id").distinct().select(
+        return store(self.spans.select("incident_id").distinct().select(
             "incident_id", F.lit(0).cast("long").alias("window_start"), F.lit(432000).cast("long").alias("window_end"),
-            F.lit(216000).cast("long").alias("onset_second"))
+            F.lit(216000).cast("long").alias("onset_second")), "incidents")
 
     @cached_property
     def truth(self) -> DataFrame:

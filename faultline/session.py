@@ -52,3 +52,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate that several branches read to the shared folder, and read it back.
+
+    Columnar, so each branch reads only its columns, and its size is known to the
+    planner. Worth it where recomputing means repeating a shuffle of the telemetry.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
