@@ -120,33 +120,30 @@ _OPEN = ("proposed", "posted", "approved")
 
 def _fold(ttl_ms: int | None):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, seq = state.get if state.exists else (None, -1)
+        status, seq, due = state.get if state.exists else (None, -1, None)
         out = []
-        if state.hasTimedOut:
-            if status in _OPEN:
-                out.append((key[0], seq, "expired"))
+        if state.hasTimedOut and status in _OPEN:
+            status = "expired"
+            out.append((key[0], seq, status))
+        for row in () if state.hasTimedOut else pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
+            at = int(row.event_ts.timestamp() * 1000)
+            if due is not None and status in _OPEN and at > due:  # the event outran the timer
                 status = "expired"
-            state.update((status, seq))
-        else:
-            events = pd.concat(list(batches)).sort_values("seq")
-            latest = None
-            for row in events.itertuples(index=False):
-                new = None
-                if row.kind == "proposed":
-                    new = "proposed"
-                    latest = row.event_ts
-                elif row.kind == "execute_result" and status == "executing":
-                    new = "done" if row.ok else "failed"
-                elif row.kind in TRANSITIONS and status in TRANSITIONS[row.kind][0]:
-                    new = TRANSITIONS[row.kind][1]
-                if new is not None:
-                    status, seq = new, int(row.seq)
-                    out.append((key[0], seq, status))
-            if status is not None:
-                state.update((status, seq))
-                if ttl_ms is not None and latest is not None and status in _OPEN:
-                    due = int(latest.timestamp() * 1000) + ttl_ms
-                    state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+                out.append((key[0], seq, status))
+            new = None
+            if row.kind == "proposed":
+                new, due = "proposed", None if ttl_ms is None else at + ttl_ms
+            elif row.kind == "execute_result" and status == "executing":
+                new = "done" if row.ok else "failed"
+            elif row.kind in TRANSITIONS and status in TRANSITIONS[row.kind][0]:
+                new = TRANSITIONS[row.kind][1]
+            if new is not None:
+                status, seq = new, int(row.seq)
+                out.append((key[0], seq, status))
+        if status is not None:
+            state.update((status, seq, due))
+            if due is not None and status in _OPEN:
+                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["action_id", "seq", "status"])
 
     return step
@@ -161,7 +158,7 @@ def journal_transitions(events: DataFrame, ttl_seconds: int | None = None, delay
     ttl = None if ttl_seconds is None else ttl_seconds * 1000
     timeout = GroupStateTimeout.NoTimeout if ttl is None else GroupStateTimeout.EventTimeTimeout
     return events.withWatermark("event_ts", delay).groupBy("action_id").applyInPandasWithState(
-        _fold(ttl), "action_id string, seq long, status string", "status string, seq long", "append", timeout)
+        _fold(ttl), "action_id string, seq long, status string", "status string, seq long, due long", "append", timeout)
 
 
 def enrich_logs(logs: DataFrame, spans: DataFrame, within: str = "5 minutes", delay: str = DELAY) -> DataFrame:
