@@ -13,10 +13,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.functions.expr import as_col
+from faultline.session import store
 
 # Bins per e-fold of the value. A bin spans a relative width of 1.5e-5, so the
 # rows left to order exactly within one bin share almost five leading digits.
 _BINS_PER_EFOLD = 65536
+BROADCAST_ROWS = 200_000
 _SHIFT = 746 * _BINS_PER_EFOLD  # ln of the smallest double is above -746
 
 
@@ -48,8 +50,10 @@ def exact_ranks(
     """Exact order statistics per group: ``keys``, ``n`` and one column per rank.
 
     Pass one counts rows per (group, bin); the ordered bins locate each target.
-    Pass two joins back only the rows of the located bins and orders their
-    distinct values. Group keys may be null.
+    Pass two reads back only the rows of the located bins and orders their distinct
+    values. Few targets are broadcast, so pass two shuffles next to nothing; above
+    ``BROADCAST_ROWS`` the values are counted first and joined by (group, bin),
+    which no single group can overload. Group keys may be null.
     """
     keys = list(keys)
     binned = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
@@ -64,19 +68,24 @@ def exact_ranks(
         F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("rank"))
         for name, rank in ranks.items()
     ])
-    targets = (
+    targets = store(
         located.withColumn("_t", F.explode(wanted))
         .where((F.col("_t.rank") <= F.col("_cum")) & (F.col("_t.rank") > F.col("_cum") - F.col("_c")))
         .select(
             *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
             F.col("_bin").alias("_tbin"), "n", F.col("_t.name").alias("_name"),
             (F.col("_t.rank") - (F.col("_cum") - F.col("_c"))).alias("_rank"),
-        )
+        ),
+        "rank-targets",
     )
     same = F.col("_bin") == F.col("_tbin")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    hits = binned.groupBy(*keys, "_bin", "_v").agg(F.count(F.lit(1)).alias("_c")).join(targets, same)
+    if targets.count() <= BROADCAST_ROWS:
+        spot = ["n", "_name", "_rank"]
+        hits = binned.join(F.broadcast(targets), same).groupBy(*keys, *spot, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    else:
+        hits = binned.groupBy(*keys, "_bin", "_v").agg(F.count(F.lit(1)).alias("_c")).join(targets, same)
     within = (
         Window.partitionBy(*keys, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -160,3 +169,50 @@ def top_per_group(
     full = Window.partitionBy(*keys).orderBy(*order)
     top = df.withColumn(name, F.row_number().over(full)).where(F.col(name) <= k)
     return top if rank else top.drop(name)
+
+
+def latest_before(
+    probes: DataFrame, events: DataFrame, keys: Sequence[str], at: str, time: str, payload: Sequence[str],
+    strict: bool = False, tie: str | None = None, width: int = 3600,
+) -> DataFrame:
+    """As-of look-up: ``probes`` plus ``found`` (struct of ``payload``), the latest event at or before ``at``.
+
+    Events and probes are laid out together in time buckets and swept once, so no
+    pairs are formed; a bucket takes over the last event of the buckets before it.
+    Of events at the same time the smallest ``tie`` wins. ``strict`` excludes
+    events at exactly ``at``.
+    """
+    keys = list(keys)
+    tied = F.col(tie) if tie else F.lit(0)
+    item = F.struct(*payload)
+    moments = events.select(*keys, F.col(time).alias("_at"), tied.alias("_tie"), item.alias("_item"), F.lit(None).alias("_row"))
+    asked = probes.select(
+        *keys, F.col(at).alias("_at"), F.lit(None).cast(moments.schema["_tie"].dataType).alias("_tie"),
+        F.lit(None).cast(moments.schema["_item"].dataType).alias("_item"), F.struct(*probes.columns).alias("_row"))
+    both = moments.withColumn("_row", F.col("_row").cast(asked.schema["_row"].dataType)).unionByName(asked)
+    both = both.withColumn("_bucket", F.floor(F.col("_at") / width)).withColumn("_probe", F.col("_row").isNotNull())
+    place = F.when(F.col("_probe"), 0 if strict else 2).otherwise(1)
+    sweep = (
+        Window.partitionBy(*keys, "_bucket").orderBy("_at", place, F.col("_tie").desc())
+        .rowsBetween(Window.unboundedPreceding, 0))
+    newest = F.min_by("_item", F.when(~F.col("_probe"), F.struct((-F.col("_at")).alias("a"), "_tie")))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(*keys, "_bucket").agg(newest.alias("_new")).select(
+        *keys, "_bucket", F.last("_new", ignorenulls=True).over(earlier).alias("_carried"))
+    swept = both.select(*keys, "_bucket", "_probe", "_row", F.last("_item", ignorenulls=True).over(sweep).alias("_here")).where("_probe")
+    return swept.join(carried, [*keys, "_bucket"]).select("_row.*", F.coalesce("_here", "_carried").alias("found"))
+
+
+def previous_value(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Add ``prev_<column>``: the value on the row before, in (bucket, order).
+
+    Windows stay inside one bucket; the first row of a bucket takes the last row of
+    the bucket before it.
+    """
+    keys = list(keys)
+    inside = Window.partitionBy(*keys, bucket).orderBy(*order)
+    between = Window.partitionBy(*keys).orderBy(bucket)
+    ends = df.groupBy(*keys, bucket).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_end")).select(
+        *keys, bucket, F.lag("_end").over(between).alias("_end"))
+    staged = df.withColumn("_before", F.lag(F.struct(*columns)).over(inside)).join(ends, [*keys, bucket])
+    return staged.select(*df.columns, *[F.coalesce(F.col(f"_before.{c}"), F.col(f"_end.{c}")).alias(f"prev_{c}") for c in columns])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from faultline.functions.ordered import latest_before
 from faultline.operators.spans import with_onset
 
 
@@ -49,13 +50,9 @@ def rank_culprits(changes: DataFrame, incidents: DataFrame, suspects: DataFrame)
 
 
 def nearest_before(changes: DataFrame, probes: DataFrame) -> DataFrame:
-    """As-of look-up: the latest change strictly before each probe, ties to the smaller id.
+    """The latest change strictly before each probe, ties to the smaller id.
 
-    ``probes``: incident_id, service, onset_second. The join is reduced by a
-    mergeable aggregate, so no group of changes is ever sorted or collected.
+    ``probes``: incident_id, service, onset_second and anything to carry along.
     """
-    keys = ["incident_id", "service", "onset_second"]
-    hits = probes.select(*keys).distinct().join(changes, ["incident_id", "service"]).where(F.col("time") < F.col("onset_second"))
-    best = hits.groupBy(*keys).agg(F.min_by(F.struct("id", "time"), F.struct((-F.col("time")).alias("t"), "id")).alias("c"))
-    return probes.join(best, keys, "left").select(
-        *probes.columns, F.col("c.id").alias("change_id"), F.col("c.time").alias("change_time"))
+    found = latest_before(probes, changes, ["incident_id", "service"], "onset_second", "time", ["id", "time"], strict=True, tie="id")
+    return found.select(*probes.columns, F.col("found.id").alias("change_id"), F.col("found.time").alias("change_time"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.functions.expr import is_error
-from faultline.functions.ordered import exact_p95, ordered_index, running_sums, top_per_group
+from faultline.functions.ordered import exact_p95, ordered_index, previous_value, running_sums, top_per_group
 from faultline.functions.robust import Z_MIN, effect_sizes
 from faultline.operators.spans import with_onset
 
@@ -184,16 +184,14 @@ def counter_rate(points: DataFrame, bucket: int = 60, scale: float = 1e9) -> Dat
     """Per-bucket rate of a cumulative counter per container, aware of resets.
 
     ``points``: incident_id, container, time, value. A drop is a reset: the new
-    value is the increase since it. Neighbours are found over (container) series,
-    which one exporter bounds by its scrape interval.
+    value is the increase since it.
     """
-    order = Window.partitionBy("incident_id", "container").orderBy("time", "value")
-    prev = F.lag("value").over(order)
-    delta = F.when(F.col("value") < prev, F.col("value")).otherwise(F.col("value") - prev)
-    steps = points.withColumn("increase", delta).withColumn("seconds", F.col("time") - F.lag("time").over(order))
-    return steps.where(F.col("increase").isNotNull()).groupBy(
-        "incident_id", "container", (F.floor(F.col("time") / bucket) * bucket).alias("time")
-    ).agg((F.sum("increase") / F.nullif(F.sum("seconds"), F.lit(0)) / scale).alias("cpu_cores"))
+    keys = ["incident_id", "container"]
+    chunked = points.select(*keys, "time", "value", F.floor(F.col("time") / CHUNK_SECONDS).alias("chunk"))
+    steps = previous_value(chunked, keys, "chunk", ["time", "value"], ["time", "value"]).where(F.col("prev_value").isNotNull())
+    increase = F.when(F.col("value") < F.col("prev_value"), F.col("value")).otherwise(F.col("value") - F.col("prev_value"))
+    return steps.groupBy(*keys, (F.floor(F.col("time") / bucket) * bucket).alias("time")).agg(
+        (F.sum(increase) / F.nullif(F.sum(steps["time"] - F.col("prev_time")), F.lit(0)) / scale).alias("cpu_cores"))
 
 
 def container_gauges(points: DataFrame, bucket: int = 60) -> DataFrame:

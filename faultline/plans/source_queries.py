@@ -402,15 +402,15 @@ def _(t: Telemetry) -> DataFrame:
 
 
 @query("s24_otlp_payloads", with_views("spans", "metrics", "logs", body="""
-select 'traces' as signal, incident_id, service, count(distinct time // 300) as documents, count(*) as records, count(*) filter (where status='ERROR') as marks from spans group by all
-union all select 'logs', incident_id, service, count(distinct time // 300), count(*), count(*) filter (where severity='ERROR') from logs group by all
-union all select 'metrics', incident_id, service, count(distinct concat(metric, time // 300)), count(*), count(*) from metrics group by all"""))
+select 'traces' as signal, incident_id, service, cast(ceil(count(*) / 50) as bigint) as documents, count(*) as records, count(*) filter (where status='ERROR') as marks from spans group by all
+union all select 'logs', incident_id, service, cast(ceil(count(*) / 50) as bigint), count(*), count(*) filter (where severity='ERROR') from logs group by all
+union all select 'metrics', incident_id, service, cast(sum(ceil(n / 50)) as bigint), cast(sum(n) as bigint), cast(sum(n) as bigint) from (select incident_id, service, metric, count(*) as n from metrics group by all) group by all"""))
 def _(t: Telemetry) -> DataFrame:
     marks = {"traces": '"status":{"code":2}', "logs": '"severityText":"ERROR"', "metrics": '"asDouble":'}
     sources = {"traces": otlp.span_records(t.spans, _START_MS), "logs": otlp.log_records(t.logs, _START_MS), "metrics": otlp.metric_records(t.metrics, _START_MS)}
     out = None
     for signal, records in sources.items():
-        docs = otlp.payloads(records, signal)
+        docs = otlp.payloads(records, signal, batch=50)
         found = (F.length("doc") - F.length(F.replace(F.col("doc"), F.lit(marks[signal]), F.lit("")))) / len(marks[signal])
         per = docs.groupBy("incident_id", "service").agg(
             F.count(F.lit(1)).alias("documents"), F.sum("records").alias("records"), F.sum(found.cast("long")).alias("marks")).withColumn("signal", F.lit(signal))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from faultline.functions.ordered import ordered_index
+
 # fixed values: span kind codes
 KIND_CODES = {"internal": 1, "server": 2, "client": 3, "producer": 4, "consumer": 5}
 
@@ -43,14 +45,16 @@ def log_records(logs: DataFrame, base_ms: int) -> DataFrame:
     return logs.select("incident_id", "service", "time", record.alias("record"))
 
 
-def payloads(records: DataFrame, signal: str, batch_seconds: int = 300) -> DataFrame:
-    """Payload documents (incident_id, service, slice, doc): records grouped by service and time slice.
+def payloads(records: DataFrame, signal: str, batch: int = 2000) -> DataFrame:
+    """Payload documents (incident_id, service, batch, doc) of at most ``batch`` records in time order.
 
-    Slices bound a document: a busy service yields more documents, not a larger one.
+    Batches are numbered from counts per second, so a busy service yields more
+    documents, never a larger one.
     """
     keys = ["incident_id", "service", *(["metric"] if signal == "metrics" else [])]
-    packed = records.withColumn("slice", F.floor(F.col("time") / batch_seconds)).groupBy(*keys, "slice").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("time", F.to_json("record").alias("j"), "record"))), lambda s: s["record"]).alias("r"))
+    placed = ordered_index(records.withColumn("j", F.to_json("record")), keys, "time", ["j"])
+    packed = placed.groupBy(*keys, F.floor(F.col("idx") / batch).alias("batch")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("idx", "record"))), lambda s: s["record"]).alias("r"))
     resource = _resource(F.col("service"))
     if signal == "traces":
         body = F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct(F.col("r").alias("spans"))).alias("scopeSpans"))).alias("resourceSpans"))
@@ -59,4 +63,4 @@ def payloads(records: DataFrame, signal: str, batch_seconds: int = 300) -> DataF
     else:
         gauge = F.struct(F.col("metric").alias("name"), F.struct(F.col("r").alias("dataPoints")).alias("gauge"))
         body = F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct(F.array(gauge).alias("metrics"))).alias("scopeMetrics"))).alias("resourceMetrics"))
-    return packed.select(*keys, "slice", F.size("r").alias("records"), F.to_json(body).alias("doc"))
+    return packed.select(*keys, "batch", F.size("r").alias("records"), F.to_json(body).alias("doc"))
