@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.functions.expr import as_col
-from faultline.session import store
+from faultline.session import checkpoint
 
 # Bins per e-fold of the value. A bin spans a relative width of 1.5e-5, so the
 # rows left to order exactly within one bin share almost five leading digits.
@@ -68,15 +68,14 @@ def exact_ranks(
         F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("rank"))
         for name, rank in ranks.items()
     ])
-    targets = store(
+    targets = checkpoint(
         located.withColumn("_t", F.explode(wanted))
         .where((F.col("_t.rank") <= F.col("_cum")) & (F.col("_t.rank") > F.col("_cum") - F.col("_c")))
         .select(
             *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
             F.col("_bin").alias("_tbin"), "n", F.col("_t.name").alias("_name"),
             (F.col("_t.rank") - (F.col("_cum") - F.col("_c"))).alias("_rank"),
-        ),
-        "rank-targets",
+        )
     )
     same = F.col("_bin") == F.col("_tbin")
     for i, k in enumerate(keys):
