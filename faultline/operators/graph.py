@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from faultline.functions.expr import is_error, kind_is
-from faultline.functions.ordered import top_per_group
 from faultline.operators.spans import call_edges, with_onset
 from faultline.session import checkpoint
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from faultline.functions.expr import round6
 from faultline.operators import graph, hypothesis, paths, ranking, spans
 from faultline.plans.registry import query
 from faultline.plans.signal_queries import rounded

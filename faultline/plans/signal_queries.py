@@ -32,10 +32,11 @@ def _(t: Telemetry) -> DataFrame:
       from metrics group by all""",
     "pick": "select i, k.cnt, least(k.cnt - 1, cast(floor(i * (k.cnt / 40.0e0)) as bigint)) as idx from range(40) r(i), (select distinct cnt from n) k"},
     body="""select n.incident_id, n.service, n.metric, n.time, round(n.value, 6) as value, round(mn, 6) as min, round(mx, 6) as max,
-  round(mean, 6) as mean, round(last, 6) as last, n.cnt as count, n.cnt > 40 as truncated
+  round(mean, 9) as mean, round(last, 6) as last, n.cnt as count, n.cnt > 40 as truncated
 from n join s using (incident_id, service, metric) where n.cnt <= 40 or (n.cnt, n.idx) in (select cnt, idx from pick)"""))
 def _(t: Telemetry) -> DataFrame:
-    return rounded(metrics.sampled_series(t.metrics, max_points=40), "value", "min", "max", "mean", "last")
+    found = rounded(metrics.sampled_series(t.metrics, max_points=40), "value", "min", "max", "last")
+    return found.withColumn("mean", F.round("mean", 9))
 
 
 _WINDOWS = {
