@@ -32,7 +32,7 @@ def test_query_matches_its_sql(spark, con, name):
     assert verdict in ("ok", "no-sql"), verdict
 
 
-def test_entry_names_the_planted_service(spark):
+def test_entry_names_a_service_per_incident(spark):
     rows = {r.incident_id: r for r in contract.entry(spark).collect()}
     assert len(rows) == 6 and all(r.root_cause_service for r in rows.values())
 
