@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,30 +28,50 @@ def local_session(cpus: int = 8, partitions: int | None = None) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. A local master (tests) may
-    leave it unset and gets a temporary folder; a real cluster may not, because a
-    folder on one machine does not survive the loss of that machine.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in
+    tests, a folder in the warehouse is used and set: the warehouse is the other
+    place that the driver and all executors share. Never a machine-local temporary
+    folder, which does not outlive its machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="faultline-ckpt-")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/faultline_scratch"
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def _owned_dir(spark: SparkSession) -> str:
+    """The folder of this application below the shared one; `release` removes it."""
+    return f"{shared_dir(spark).rstrip('/')}/faultline/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder, one per use."""
-    return f"{shared_dir(spark).rstrip('/')}/faultline/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, one per use, removed by `release`."""
+    return f"{_owned_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every intermediate that this application wrote.
+
+    Frames that read them are void afterwards, so the owner of the session calls it
+    when the results have been written; what is left goes when Python ends.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_owned_dir(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    if SparkContext._active_spark_context is not None and (spark := SparkSession.getActiveSession()) is not None:
+        release(spark)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage on reliable storage; iterative operators call this per round."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+        spark.sparkContext.setCheckpointDir(f"{_owned_dir(spark)}/checkpoints")
     return df.checkpoint(eager=True)
 
 
