@@ -9,8 +9,9 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int = 8, partitions: int | None = None) -> SparkSession:
-    """A session for tests and the bench; clusters bring their own."""
+def local_session(cpus: int = 8, partitions: int | None = None, folder: str | None = None) -> SparkSession:
+    """A session for tests and the bench, with its scratch folder; clusters bring their own."""
+    named = {"spark.checkpoint.dir": folder} if folder else {}
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("faultline")
@@ -21,6 +22,7 @@ def local_session(cpus: int = 8, partitions: int | None = None) -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(map=named)
         .getOrCreate()
     )
 
@@ -29,16 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder every executor can reach.
 
     The cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in
-    tests, a folder in the warehouse is used and set: the warehouse is the other
-    place that the driver and all executors share. Never a machine-local temporary
-    folder, which does not outlive its machine.
+    tests, a folder in the warehouse is used: the other place that the driver and
+    all executors share. Never a machine-local temporary folder, which does not
+    outlive its machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/faultline_scratch"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/faultline_scratch"
 
 
 def _owned_dir(spark: SparkSession) -> str:
