@@ -21,6 +21,7 @@ def local_session(cpus: int = 8, partitions: int | None = None, folder: str | No
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config(map=named)
         .getOrCreate()
