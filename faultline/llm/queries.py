@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import line_dedup, quality
+from faultline.llm import bpe, line_dedup, packing, quality
+
+#: Where every executor has the public vocabulary.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -35,14 +39,28 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_line_dedup", """
 with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
-lines as (select doc_id, unnest(l) as line, unnest(range(1, len(l) + 1)) as at from split),
+lines as (select doc_id, unnest(l) as line, unnest(range(1, len(l) + 1)) as pos from split),
 keys as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
 shared as (select key, max(doc_id) as keeper from keys where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
 marked as (select k.*, coalesce(k.doc_id <> s.keeper, false) as gone from keys k left join shared s using (key))
 select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) order by at) filter (where not gone), '')) as kept_sha256
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from marked group by doc_id""")
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op6_packing")
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary=VOCABULARY).drop("ids")
+
+
+@query("op7_bpe")
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY, decoded=True)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
