@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import bpe, line_dedup, near_dedup, packing, quality
+from faultline.llm import ann, bpe, line_dedup, near_dedup, packing, quality, topk
 
 #: Where every executor has the public vocabulary.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -37,6 +37,12 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents")).select("doc_id", "quality_score", "quality_keep")
 
 
+@query("op2_ann")
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 @query("op3_line_dedup", """
 with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
 lines as (select doc_id, unnest(l) as line, unnest(range(1, len(l) + 1)) as pos from split),
@@ -69,3 +75,15 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op9_exact_topk", """
+with v as (select distinct vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as q from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select a.vec_id as query_id, b.vec_id, cast(list_sum([x * b.q[i] for x, i in a.q]) as bigint) as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5""")
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
