@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import ann, bpe, line_dedup, near_dedup, packing, quality, topk
+from faultline.llm import ann, bpe, line_dedup, near_dedup, packing, quality, topk, warc
 
 #: Where every executor has the public vocabulary.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -87,3 +87,9 @@ select query_id, cast(rank as integer) as rank, vec_id, score from ranked where
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+@query("op10_warc")
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive(table(spark, sf_dir, "pages"), min_bytes=0)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
