@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import ann, bpe, line_dedup, near_dedup, packing, quality, topk, warc
+from faultline.llm import ann, bpe, line_dedup, near_dedup, packing, quality, topk, url_filter, warc
 
 #: Where every executor has the public vocabulary.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -77,6 +77,14 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query("op8_url_filter")
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query("op9_exact_topk", """
 with v as (select distinct vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as q from embeddings
   where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
