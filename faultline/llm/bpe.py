@@ -214,14 +214,15 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as bytes. Names of special tokens stand for them, as in the library."""
         if "<|" not in text:
-            return self._plain(text)
+            return self.ordinary(text)
         out, at = [], 0
         for m in self.specials.finditer(text):
-            out += [self._plain(text[at : m.start()]), np.array([self.special[m[0]]], "<u4").tobytes()]
+            out += [self.ordinary(text[at : m.start()]), np.array([self.special[m[0]]], "<u4").tobytes()]
             at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
+        return b"".join([*out, self.ordinary(text[at:])])
 
-    def _plain(self, text: str) -> bytes:
+    def ordinary(self, text: str) -> bytes:
+        """Ids of a whole text in which names of special tokens mean nothing."""
         if len(text) <= CHUNK:
             return self._chunk(text)
         out, at = [], 0

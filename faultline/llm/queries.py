@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import ann, bpe, line_dedup, near_dedup, packing, quality, topk, url_filter, warc
+from faultline.llm import ann, bpe, line_dedup, near_dedup, packing, quality, token_files, topk, url_filter, warc
 
 #: Where every executor has the public vocabulary.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +58,11 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op4_token_counts")
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_counts(table(spark, sf_dir, "documents"), VOCABULARY, separator=49407).select("doc_id", "n_tokens")
+
+
 @query("op5_near_dedup")
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
