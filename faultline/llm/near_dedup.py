@@ -12,9 +12,10 @@ component, so most processes yield one or two points whatever the signature's le
 Signatures are cut into bands. Of the documents that agree in a band each is compared
 with the least one only; components of verified links form classes. Where a bucket still
 holds several classes, its documents outside the centre's class are held against all of
-it in blocks of signatures: first the best partner of each, at last every one whose
-signatures leave a similarity of the threshold open. Every link is verified on the
-multisets of the whole texts. Nothing is capped, and no pair within a class is listed.
+it: in small buckets by signatures, in large ones by the documents' hashed multisets, in
+blocks of bounded size, where one link per document and class is told. Every link is
+verified on the multisets of the whole texts. Nothing is capped, and no pair within a
+class is listed.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from faultline.session import store
 WORDS = 5
 BANDS, ROWS = 32, 5
 COMPONENTS = BANDS * ROWS
+SMALL = 64  # documents of a bucket whose open pairs are told by signatures
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,7 +90,7 @@ def bag_min_hash(n: int, row: np.ndarray, s: np.ndarray, weight: np.ndarray) ->
     if not streams:
         return sig
     of, seed, lo, hi, w = (np.concatenate(x) for x in zip(*streams))
-    time = np.zeros(len(of))
+    time = np.zeros(len(of), np.int64)  # in whole ticks, so that sums do not depend on how many points are drawn at once
     drawn = 0
     flat = sig.reshape(-1)
     while len(of):
@@ -96,14 +98,15 @@ def bag_min_hash(n: int, row: np.ndarray, s: np.ndarray, weight: np.ndarray) ->
         number = (np.arange(drawn + 1, drawn + many + 1, dtype=np.uint64) * GOLDEN)[None, :]
         r = mix(seed[:, None] + number)
         u = (r >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        times = time[:, None] + np.cumsum(-np.log1p(-u), axis=1) / (hi - lo)[:, None]
+        ticks = time[:, None] + np.cumsum(np.rint(-np.log1p(-u) * 2.0**40).astype(np.int64), axis=1)
+        times = ticks / (hi - lo)[:, None]
         r = mix(r + GOLDEN)
         component = ((r >> np.uint64(32)) * np.uint64(COMPONENTS)) >> np.uint64(32)
         place = lo[:, None] + (((r & np.uint64(0xFFFFFFFF)) * (hi - lo).astype(np.uint64)[:, None]) >> np.uint64(32)).astype(np.int64)
         seen = place < w[:, None]
         np.minimum.at(flat, (of[:, None] * COMPONENTS + component.astype(np.int64))[seen], times[seen])
-        time, drawn = times[:, -1], drawn + many
-        go = time < sig.max(axis=1)[of]
+        time, drawn = ticks[:, -1], drawn + many
+        go = times[:, -1] < sig.max(axis=1)[of]
         of, seed, lo, hi, w, time = (x[go] for x in (of, seed, lo, hi, w, time))
     return sig
 
@@ -156,6 +159,24 @@ def overlaps(a: pa.Array, b: pa.Array) -> np.ndarray:
     return out
 
 
+def fewest_equal(threshold: float) -> int:
+    """Equal components below which two signatures rule out ``threshold``: five standard deviations less than it asks for."""
+    return int(np.floor(COMPONENTS * threshold - 5 * np.sqrt(COMPONENTS * threshold * (1 - threshold))))
+
+
+def plausible(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that the documents' signatures leave possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, COMPONENTS) for c in ("sig_a", "sig_b"))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= fewest_equal(threshold)))
+
+    first = pairs.join(sigs.select(F.col("doc").alias("a"), F.col("sig").alias("sig_a")), "a")
+    both = first.join(sigs.select(F.col("doc").alias("b"), F.col("sig").alias("sig_b")), "b")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of ids whose texts are as similar as ``threshold`` or more."""
 
@@ -169,47 +190,91 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _open_pairs(members: DataFrame, sigs: DataFrame, threshold: float, best: bool, block: int = 1024) -> DataFrame:
-    """Pairs (a, b) worth verifying between documents of one bucket and different classes.
+def _meetings(members: DataFrame, facts: DataFrame, block: int) -> DataFrame:
+    """Rows (left, right): documents of a bucket outside its centre's class, and a block of the bucket, each with its facts.
 
-    ``members``: band, key, doc, root, n (bucket's size), centre_root. Rows outside the
-    centre's class meet all rows of the bucket, in blocks. A pair passes unless its
-    signatures agree in five standard deviations less than the threshold asks for.
-    With ``best``, one partner per document and block.
+    ``members``: band, key, doc, root, n (bucket's size), centre_root. Both sides come in
+    packs of about ``block`` documents, so a bucket of any size is rows of bounded size.
     """
-    least = int(np.floor(COMPONENTS * threshold - 5 * np.sqrt(COMPONENTS * threshold * (1 - threshold))))
-    full = members.join(sigs.select("doc", "sig"), "doc")
-    parts = F.ceil(F.col("n") / block).cast("int")
-    packed = (
-        full.withColumn("sub", F.pmod(F.xxhash64("doc"), parts)).groupBy("band", "key", "sub")
-        .agg(F.collect_list(F.struct("doc", "root", "sig")).alias("rows"), F.first("centre_root").alias("centre_root"))
-    )
+    names = [c for c in facts.columns if c != "doc"]
+    full = members.join(facts, "doc").withColumn("sub", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / block)))
+    packed = full.groupBy("band", "key", "sub").agg(F.collect_list(F.struct("doc", "root", *names)).alias("rows"), F.first("centre_root").alias("centre_root"))
     outside = packed.withColumn("rows", F.filter("rows", lambda x: x["root"] != F.col("centre_root"))).filter(F.size("rows") > 0)
-    meet = outside.select("band", "key", F.col("rows").alias("left")).join(packed.select("band", "key", F.col("rows").alias("right")), ["band", "key"])
+    return outside.select("band", "key", F.col("rows").alias("left")).join(packed.select("band", "key", F.col("rows").alias("right")), ["band", "key"]).select("left", "right")
 
-    def unpack(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        values = rows.values if isinstance(rows, pa.ListScalar) else rows
-        sig = np.frombuffer(b"".join(values.field("sig").to_pylist()), "<u4").reshape(-1, COMPONENTS)
-        return values.field("doc").to_numpy(zero_copy_only=False), values.field("root").to_numpy(zero_copy_only=False), sig
+
+def _ids(rows: pa.ListScalar) -> tuple[pa.StructArray, np.ndarray, np.ndarray]:
+    values = rows.values
+    return values, values.field("doc").to_numpy(zero_copy_only=False), values.field("root").to_numpy(zero_copy_only=False)
+
+
+def _pairs_of(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1), axis=1)
+    return pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+
+def _open_small(members: DataFrame, made: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different classes in small buckets whose signatures leave the threshold open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = fewest_equal(threshold)
         for batch in batches:
+            found = []
             for k in range(batch.num_rows):
-                (da, ra, sa), (db, rb, sb) = (unpack(batch.column(c)[k]) for c in ("left", "right"))
-                found: list[np.ndarray] = []
+                (va, da, ra), (vb, db, rb) = (_ids(batch.column(c)[k]) for c in ("left", "right"))
+                sa, sb = (np.frombuffer(b"".join(v.field("sig").to_pylist()), "<u4").reshape(-1, COMPONENTS) for v in (va, vb))
+                i, j = np.nonzero(((sa[:, None, :] == sb[None, :, :]).sum(axis=2) >= least) & (ra[:, None] != rb[None, :]))
+                found.append(np.stack([np.minimum(da[i], db[j]), np.maximum(da[i], db[j])]))
+            yield _pairs_of(found)
+
+    return _meetings(members, made.select("doc", "sig"), 64).mapInArrow(run, "a long, b long").distinct()
+
+
+def _open_large(members: DataFrame, texts: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """Pairs of different classes in large buckets that reach the threshold on 32-bit shingle hashes; one for each document and class.
+
+    Equal hashes can only add to an overlap, so no link is missed, and of many links
+    between a document and a class one tells as much as all.
+    """
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in pieces(batch.column("text"), 1 << 20):
+                part = batch.slice(lo, hi - lo)
+                row, s, weight = shingles(part.column("text"))
+                at = np.searchsorted(row, np.arange(len(part) + 1))
+                hashes, counts = (s >> np.uint64(32)).astype("<u4"), weight.astype("<u4")
+                columns = [pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary()) for x in (hashes, counts)]
+                yield pa.record_batch([part.column("doc"), *columns], ["doc", "hashes", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for k in range(batch.num_rows):
+                (va, da, ra), (vb, db, rb) = (_ids(batch.column(c)[k]) for c in ("left", "right"))
+                (ha, ca, ea), (hb, cb, eb) = (_bags(v) for v in (va, vb))
+                words, at = np.unique(np.concatenate([ha, hb]), return_inverse=True)
+                ia, ib = at[: len(ha)], at[len(ha) :]
+                held, total = np.zeros(len(words), np.int64), np.add.reduceat(cb, eb[:-1])
                 for i in range(len(da)):
-                    same = (sb == sa[i]).sum(axis=1)
-                    same[rb == ra[i]] = -1
-                    if best:
-                        j = int(same.argmax())
-                        hits = np.array([j] if same[j] >= least else [], np.int64)
-                    else:
-                        hits = np.flatnonzero(same >= least)
+                    mine = slice(ea[i], ea[i + 1])
+                    np.add.at(held, ia[mine], ca[mine])
+                    both = np.add.reduceat(np.minimum(held[ib], cb), eb[:-1])
+                    held[ia[mine]] = 0
+                    hits = np.flatnonzero((both >= threshold * (ca[mine].sum() + total - both)) & (rb != ra[i]))
+                    hits = hits[np.unique(rb[hits], return_index=True)[1]]
                     found.append(np.stack([np.minimum(da[i], db[hits]), np.maximum(da[i], db[hits])]))
-                pairs = np.concatenate(found, axis=1)
-                yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            yield _pairs_of(found)
+
+    docs = texts.join(members.select("doc").distinct(), "doc", "left_semi")
+    return _meetings(members, docs.mapInArrow(measure, "doc long, hashes binary, counts binary"), block).mapInArrow(run, "a long, b long").distinct()
+
 
-    return meet.select("left", "right").mapInArrow(run, "a long, b long").distinct()
+def _bags(values: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and counts of all documents of a pack end to end, and where each one's begin."""
+    hashes = values.field("hashes").to_pylist()
+    ends = np.concatenate([[0], np.cumsum([len(h) // 4 for h in hashes])])
+    return np.frombuffer(b"".join(hashes), "<u4"), np.frombuffer(b"".join(values.field("counts").to_pylist()), "<u4").astype(np.int64), ends
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -231,19 +296,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     buckets = members.groupBy("band", "key").agg(F.min("doc").alias("centre"), F.count("*").alias("n")).filter("n > 1")
     near = store(members.join(buckets, ["band", "key"]), "buckets")
     stars = near.filter("doc <> centre").select(F.col("doc").alias("a"), F.col("centre").alias("b")).distinct()
-    links = store(verified(stars, texts, threshold), "links")
+    links = store(verified(store(plausible(stars, made, threshold), "pairs"), texts, threshold), "links")
     roots = components(links)
-    open_ = near.filter("n > 2")
-    for best in (True, True, False):
-        labels = roots.withColumnRenamed("node", "doc")
-        known = open_.join(labels, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-        mixed = known.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "doc").alias("centre_root")).filter("low <> high")
-        left = store(known.join(mixed.select("band", "key", "centre_root"), ["band", "key"]), "open")
-        if left.isEmpty():
-            break
-        pairs = _open_pairs(left, reps, threshold, best)
-        links = links.union(store(verified(pairs, texts, threshold), "links"))
-        roots = components(links)
+    known = near.filter("n > 2").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    mixed = known.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "doc").alias("centre_root")).filter("low <> high")
+    left = store(known.join(mixed.select("band", "key", "centre_root"), ["band", "key"]), "open")
+    pairs = _open_small(left.filter(F.col("n") <= SMALL), made, threshold).union(_open_large(left.filter(F.col("n") > SMALL), texts, threshold))
+    new = store(verified(store(pairs, "pairs"), texts, threshold), "links")
+    if not new.isEmpty():
+        roots = components(links.union(new))
     rep_of = made.join(least, "print", "left").select("doc", F.coalesce("rep", "doc").alias("rep"))
     found = rep_of.join(roots, rep_of["rep"] == roots["node"], "left").select("doc", F.coalesce("root", "rep").alias("class_id"))
     lost = docs.filter(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("class_id"))
