@@ -31,19 +31,21 @@ MANIFEST = "shard long, seq int, file string, records long, bytes long, sha256 s
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, digest_ok boolean, payload binary"
 
 
-def plan_records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int) -> DataFrame:
-    """Rows to write: id, url, payload, its SHA-1, and for repeated payloads the least id that holds one.
-
-    Least ids are pre-aggregated per digest, and only digests that more than one id holds
-    are joined back.
-    """
+def plan_records(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
+    """Rows to write: id, url, payload, its SHA-1 and its size."""
     payload = F.coalesce(F.encode(F.col(payload_col).cast("string"), "utf-8"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
-    first = rows.groupBy("sha1").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha1", "first")
-    again = rows.join(first, "sha1", "left")
-    refers = F.when((F.col("size") >= min_bytes) & (F.col("id") > F.col("first")), F.col("first"))
-    return again.select("id", "url", "payload", "sha1", "size", refers.alias("refers_to"))
+    return rows.withColumn("sha1", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
+
+
+def references(rows: DataFrame, min_bytes: int) -> DataFrame:
+    """(id, sha1, refers_to) of rows that repeat the payload of a smaller id.
+
+    Least ids are pre-aggregated per digest, and no payload takes part in the join.
+    """
+    light = rows.filter(F.col("size") >= min_bytes).select("id", "sha1")
+    first = light.groupBy("sha1").agg(F.min("id").alias("refers_to"), F.max("id").alias("last")).filter("last > refers_to").select("sha1", "refers_to")
+    return light.join(first, "sha1").filter("id > refers_to").select("id", "sha1", "refers_to").distinct()
 
 
 def boundaries(rows: DataFrame, shards: int, sample: int = 20_000) -> list[int]:
@@ -126,25 +128,32 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     an empty manifest.
     """
     spark = pages.sparkSession
-    rows = plan_records(pages, id_col, url_col, payload_col, min_bytes)
+    rows = plan_records(pages, id_col, url_col, payload_col)
     total = rows.agg(F.sum("size").alias("b")).first().b or 0
     shards = max(int(total // shard_bytes) + 1, min(64, int(total // (2 << 20)) + 1))
     starts = boundaries(rows, shards)
-    placed = rows.withColumn("shard", shard_of(F.col("id"), starts)).repartitionByRange(max(1, len(starts) + 1), "shard").sortWithinPartitions("shard", "id", "sha1", "url")
+    # A reference travels as a row of its own and comes just before the rows it is for: payloads are shuffled once.
+    both = rows.select("id", "url", "payload", "sha1", F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("full")).unionByName(
+        references(rows, min_bytes).withColumn("full", F.lit(0)), allowMissingColumns=True)
+    placed = both.withColumn("shard", shard_of(F.col("id"), starts)).repartitionByRange(max(1, len(starts) + 1), "shard").sortWithinPartitions("shard", "id", "sha1", "full", "url")
     target, _ = fs.FileSystem.from_uri(folder)
     target.create_dir(f"{fs.FileSystem.from_uri(folder)[1]}/_temporary", recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
-        roller = None
+        roller = refers = None
         for batch in batches:
             for lo, hi in pieces(batch.column("payload"), 2 << 20):
                 for r in batch.slice(lo, hi - lo).to_pylist():
+                    if not r["full"]:
+                        refers = r
+                        continue
+                    known = refers is not None and (refers["id"], refers["sha1"]) == (r["id"], r["sha1"])
                     if roller is None or roller.shard != r["shard"]:
                         if roller is not None:
                             done.append(roller.close())
                         roller = _Roller(folder, r["shard"], file_bytes)
-                    done += roller.add(record_bytes(r["id"], r["url"], r["payload"], r["sha1"], r["refers_to"], date))
+                    done += roller.add(record_bytes(r["id"], r["url"], r["payload"], r["sha1"], refers["refers_to"] if known else None, date))
         if roller is not None:
             done.append(roller.close())
         if done:
@@ -152,7 +161,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["shard", "seq", "file", "records", "bytes", "sha256"])
 
-    files = placed.select("shard", "id", "url", "payload", "sha1", "refers_to").mapInArrow(run, MANIFEST)
+    files = placed.select("shard", "id", "url", "payload", "sha1", "refers_to", "full").mapInArrow(run, MANIFEST)
     files.write.mode("errorifexists").parquet(f"{folder}/_manifest")
     return spark.read.schema(files.schema).parquet(f"{folder}/_manifest")
 
