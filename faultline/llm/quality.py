@@ -209,13 +209,14 @@ class Scorer:
     def score(self, texts: pa.Array) -> np.ndarray:
         """Probability of a good document; 0 for a text without a letter or digit."""
         out = np.zeros(len(texts))
-        for lo, hi in ((lo, min(lo + 256, len(texts))) for lo in range(0, len(texts), 256)):
-            part = texts.slice(lo, hi - lo)
+        for lo in range(0, len(texts), 256):
+            for start, stop in pieces(part := texts.slice(lo, 256)):
+                data, at = text_bytes(part.slice(start, stop - start))
+                some = np.concatenate([[0], np.cumsum((CLASSES[data] >= LETTER) & (CLASSES[data] <= DIGIT))])
+                out[lo + start : lo + stop] = some[at[1:]] > some[at[:-1]]
             logit = features(part) @ self.weights.astype(np.float32) + self.bias
-            out[lo:hi] = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
-        data, at = text_bytes(texts)
-        some = np.concatenate([[0], np.cumsum((CLASSES[data] >= LETTER) & (CLASSES[data] <= DIGIT))])
-        return np.where(some[at[1:]] > some[at[:-1]], out, 0.0)
+            out[lo : lo + 256] *= 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
+        return out
 
 
 def fit_scorer(x: np.ndarray, soft: np.ndarray, weight: np.ndarray, steps: int = 400, ridge: float = 1e-4) -> Scorer:
@@ -316,7 +317,9 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = scorer.score(_texts(batch, text_col))
-            yield pa.record_batch([*batch.columns, pa.array(score), pa.array(score >= 0.5)], schema.names)
+            for lo, hi in pieces(_texts(batch, text_col), 2 << 20):  # small batches back, so that little is held twice
+                part = batch.slice(lo, hi - lo)
+                score = scorer.score(_texts(part, text_col))
+                yield pa.record_batch([*part.columns, pa.array(score), pa.array(score >= 0.5)], schema.names)
 
     return docs.mapInArrow(apply, schema)
