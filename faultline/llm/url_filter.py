@@ -2,8 +2,8 @@
 
 * The longest rule that fits decides. Rules are a short list given by the caller.
 * Host names are cut at dots, hyphens and digits, and what runs together is segmented by
-  Viterbi under a unigram model of words, counted over the pages' text and the hosts' own
-  parts. Words reach a part by a join of its substrings with the counts, so that the model
+  Viterbi under a unigram model of words, counted over the pages' text and the
+  hyphenated parts of hosts. Words reach a part by a join of its substrings with the counts, so that the model
   may be as large as the corpus makes it.
 * Multinomial naive Bayes scores the tokens. Pages whose segmented host holds one of a few
   seed words train the class to block, the others the class to allow. Counts are kept per
@@ -53,9 +53,15 @@ def _runs(text: Column) -> Column:
 
 
 def word_counts(pages: DataFrame, html_col: str) -> DataFrame:
-    """word, n: how often each run of letters stands in the pages' text and, as a part, in their hosts."""
+    """word, n: how often each run of letters stands in the pages' text, and in hosts between hyphens.
+
+    A host counts once, and its labels without a hyphen do not: they may be what is to be
+    segmented.
+    """
     text = F.regexp_replace(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "<[^>]*>", " ")
-    words = pages.select(F.explode(F.concat(_runs(text), _runs(F.col("host")))).alias("word"))
+    words = pages.select(F.explode(_runs(text)).alias("word"))
+    labels = pages.select("host").distinct().select(F.explode(F.split("host", "[.]")).alias("label")).filter(F.col("label").contains("-"))
+    words = words.union(labels.select(F.explode(_runs(F.col("label"))).alias("word")))
     return words.filter(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -126,7 +132,7 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id",
     known = known.withColumn("buckets", F.transform(F.concat(F.transform("words", lambda w: F.concat(F.lit("host:"), w)), tokens), bucket))
     scored = store(known, "tokens")
     sizes = {r.seeded: r.n for r in scored.groupBy("seeded").agg(F.count("*").alias("n")).collect()}  # two rows
-    table = np.full((2, BUCKETS), 0.01)  # a hundredth of a token seen in every bucket
+    table = np.full((2, BUCKETS), 16 / BUCKETS)  # 16 tokens of each class seen, spread over all buckets
     for r in scored.select("seeded", F.explode("buckets").alias("b")).groupBy("seeded", "b").agg(F.count("*").alias("n")).collect():  # two rows per bucket at most
         table[int(r.seeded), r.b] += r.n
     table = np.log(table / table.sum(1, keepdims=True))
