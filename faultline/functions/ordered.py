@@ -22,10 +22,28 @@ BROADCAST_ROWS = 200_000
 _SHIFT = 746 * _BINS_PER_EFOLD  # ln of the smallest double is above -746
 
 
+_EDGE = 4 * _SHIFT  # beyond the bin of any finite double
+
+
 def value_bin(value: Column) -> Column:
-    """A monotone integer bin of a double; equal values share a bin."""
-    scaled = F.floor(F.ln(F.abs(value)) * _BINS_PER_EFOLD) + F.lit(_SHIFT)
-    return F.when(value == 0, F.lit(0).cast("long")).when(value > 0, scaled).otherwise(-scaled)
+    """A monotone integer bin of a double; equal values share a bin.
+
+    The infinities and NaN have bins of their own, in Spark's order: NaN comes last.
+    """
+    finite = F.when(F.abs(value) < float("inf"), value)
+    scaled = F.floor(F.ln(F.abs(finite)) * _BINS_PER_EFOLD) + F.lit(_SHIFT)
+    return (
+        F.when(F.isnan(value), F.lit(_EDGE + 1)).when(value == float("inf"), F.lit(_EDGE)).when(value == float("-inf"), F.lit(-_EDGE))
+        .when(value == 0, F.lit(0).cast("long")).when(value > 0, scaled).otherwise(-scaled))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` in which a null key meets a null key; the keys are the left side's."""
+    renamed = right.withColumnsRenamed({k: f"_r{i}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & left[k].eqNullSafe(renamed[f"_r{i}"])
+    return left.join(renamed, same).drop(*[f"_r{i}" for i in range(len(keys))])
 
 
 def p95_rank(n: Column) -> Column:
@@ -53,7 +71,8 @@ def exact_ranks(
     Pass two reads back only the rows of the located bins and orders their distinct
     values. Few targets are broadcast, so pass two shuffles next to nothing; above
     ``BROADCAST_ROWS`` the values are counted first and joined by (group, bin),
-    which no single group can overload. Group keys may be null.
+    which no single group can overload; the result is the same either way. Group keys
+    may be null. Null values are left out; infinities and NaN are values, NaN the largest.
     """
     keys = list(keys)
     binned = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
@@ -112,7 +131,8 @@ def ordered_index(
     """0-based position of each row in its group, ordered by ``bucket`` then ``order``.
 
     Offsets come from counts per (group, bucket); only one bucket is sorted at a
-    time. ``bucket`` must be the leading sort key.
+    time. ``bucket`` must be the leading sort key. Keys and buckets may be null: nulls
+    are a key like any other, and a bucket that comes first.
     """
     keys = list(keys)
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -122,7 +142,7 @@ def ordered_index(
     )
     inside = Window.partitionBy(*keys, bucket).orderBy(*[as_col(o) for o in order])
     return (
-        df.join(offsets, [*keys, bucket])
+        null_safe_join(df, offsets, [*keys, bucket])
         .withColumn(out, F.col("_off") + F.row_number().over(inside) - 1)
         .drop("_off")
     )
@@ -131,7 +151,7 @@ def ordered_index(
 def running_sums(
     df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str | Column], sums: dict[str, Column]
 ) -> DataFrame:
-    """Inclusive running sums in (bucket, order), by bucket totals plus a local window."""
+    """Inclusive running sums in (bucket, order), by bucket totals plus a local window. Keys and buckets may be null."""
     keys = list(keys)
     staged = df.select("*", *[c.alias(f"_x_{name}") for name, c in sums.items()])
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -143,7 +163,7 @@ def running_sums(
         Window.partitionBy(*keys, bucket).orderBy(*[as_col(o) for o in order])
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    joined = staged.join(carried, [*keys, bucket])
+    joined = null_safe_join(staged, carried, [*keys, bucket])
     return joined.select(
         *df.columns,
         *[(F.col(f"_o_{n}") + F.sum(f"_x_{n}").over(inside)).alias(n) for n in sums],
@@ -179,9 +199,11 @@ def latest_before(
     Events and probes are laid out together in time buckets and swept once, so no
     pairs are formed; a bucket takes over the last event of the buckets before it.
     Of events at the same time the smallest ``tie`` wins. ``strict`` excludes
-    events at exactly ``at``.
+    events at exactly ``at``. Every probe comes back: with a null key or a null ``at`` it
+    finds nothing. Events with a null time are before no probe.
     """
     keys = list(keys)
+    events = events.where(F.col(time).isNotNull())
     tied = F.col(tie) if tie else F.lit(0)
     item = F.struct(*payload)
     moments = events.select(*keys, F.col(time).alias("_at"), tied.alias("_tie"), item.alias("_item"), F.lit(None).alias("_row"))
@@ -199,19 +221,23 @@ def latest_before(
     carried = both.groupBy(*keys, "_bucket").agg(newest.alias("_new")).select(
         *keys, "_bucket", F.last("_new", ignorenulls=True).over(earlier).alias("_carried"))
     swept = both.select(*keys, "_bucket", "_probe", "_row", F.last("_item", ignorenulls=True).over(sweep).alias("_here")).where("_probe")
-    return swept.join(carried, [*keys, "_bucket"]).select("_row.*", F.coalesce("_here", "_carried").alias("found"))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    met = null_safe_join(swept, carried, [*keys, "_bucket"])
+    return met.select("_row.*", F.when(known, F.coalesce("_here", "_carried")).alias("found"))
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Add ``prev_<column>``: the value on the row before, in (bucket, order).
 
     Windows stay inside one bucket; the first row of a bucket takes the last row of
-    the bucket before it.
+    the bucket before it. Keys and buckets may be null.
     """
     keys = list(keys)
     inside = Window.partitionBy(*keys, bucket).orderBy(*order)
     between = Window.partitionBy(*keys).orderBy(bucket)
     ends = df.groupBy(*keys, bucket).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_end")).select(
         *keys, bucket, F.lag("_end").over(between).alias("_end"))
-    staged = df.withColumn("_before", F.lag(F.struct(*columns)).over(inside)).join(ends, [*keys, bucket])
+    staged = null_safe_join(df.withColumn("_before", F.lag(F.struct(*columns)).over(inside)), ends, [*keys, bucket])
     return staged.select(*df.columns, *[F.coalesce(F.col(f"_before.{c}"), F.col(f"_end.{c}")).alias(f"prev_{c}") for c in columns])

@@ -99,6 +99,7 @@ def tag_objects() -> Column:
     return F.concat(F.lit("["), F.when(k == 0, one("error", F.lit("true"))).when(k == 1, one("rpc.grpc.status_code", (e % 4).cast("string")))
                     .when(k == 2, one("http.status_code", (F.lit(400) + e % 200).cast("string")))
                     .when(k == 3, one("otel.status_code", F.when(e % 4 == 1, F.lit('"error"')).otherwise(F.lit('"OK"'))))
+                    .when(k == 5, one("error", F.lit('"true"')))  # a string is no flag
                     .otherwise(one("feature_flag.key", F.lit('"secret"'))), F.lit(', {"key": "span.kind", "value": "'), "span_kind", F.lit('"}]'))
 
 
@@ -118,8 +119,7 @@ def _(t: Telemetry) -> DataFrame:
 
 @query("s6_span_status", with_views("spanev", body=f"select event_id, {_STATUS} as status from spanev"))
 def _(t: Telemetry) -> DataFrame:
-    pairs = F.from_json(tag_objects(), "array<struct<key: string, value: string>>")
-    tags = F.map_from_entries(pairs)
+    tags = F.from_json(tag_objects(), "array<struct<key: string, value: variant>>")
     return t.span_events.select("event_id", vendor.span_status(tags).alias("status"))
 
 
@@ -173,7 +173,7 @@ def _(t: Telemetry) -> DataFrame:
 select incident_id, time, service, 'm' as metric, round(value, 6) as value, 'u' as unit from metrics"""))
 def _(t: Telemetry) -> DataFrame:
     value = F.col("value").cast("string")
-    body = F.when(F.col("metric") == "cpu_cores", F.concat(F.lit('{"inner": {"95": '), value, F.lit("}}"))).otherwise(value)
+    body = F.when(F.col("metric") == "cpu_cores", F.concat(F.lit('{"s": "9 [", "l": [1, [2, {"x": 3}]], "a": {"b": {"c": {"d": {"95": '), value, F.lit("}}}}}"))).otherwise(value)
     doc = F.concat(F.lit('{"endTimeSeconds": 9, "flag": true, "name": "7", "v": '), body, F.lit(', "w": 1.5, "beginTimeSeconds": '),
                    (F.lit(BASE_S) + F.col("time")).cast("string"), F.lit("}"))
     rows = t.metrics.select("incident_id", "service", F.lit(_START_MS).alias("start_ms"), doc.alias("doc"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # fixed values: fault code to wording, category and indicator metric
@@ -197,13 +199,16 @@ def aliased_traces(rows: DataFrame, windows: DataFrame) -> DataFrame:
     return cut_and_rebase(mapped.where("time_abs IS NOT NULL AND trace_id IS NOT NULL AND span_id IS NOT NULL"), windows)
 
 
-def infer_span_kinds(spans: DataFrame) -> DataFrame:
+def infer_span_kinds(spans: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """Add ``span_kind``: the caller side of a cross-service link is client, the callee side server.
 
     Reads every span, windowed or not. Both roles are reduced to distinct ids
-    before the joins, so a parent of very many spans does not skew them.
+    before the joins, so a parent of very many spans does not skew them. Where spans
+    repeat an id the parent is the last one by ``order``, then by service name: rows of a
+    frame have no place of their own, so give a column that tells it where there is one.
     """
-    parents = spans.select("incident_id", F.col("span_id").alias("parent_span_id"), F.col("service").alias("_ps")).dropDuplicates(["incident_id", "parent_span_id"])
+    last = F.struct(*order, "service")
+    parents = spans.groupBy("incident_id", F.col("span_id").alias("parent_span_id")).agg(F.max_by("service", last).alias("_ps"))
     links = spans.where("parent_span_id IS NOT NULL").join(parents, ["incident_id", "parent_span_id"]).where(F.col("_ps") != F.col("service"))
     clients = links.select("incident_id", F.col("parent_span_id").alias("span_id"), F.lit(True).alias("_client")).distinct()
     servers = links.select("incident_id", "span_id", F.lit(True).alias("_server")).distinct()
@@ -221,7 +226,7 @@ def microsecond_traces(rows: DataFrame, windows: DataFrame) -> DataFrame:
         F.nullif(F.trim(pick(rows, "spanID", "spanId")), F.lit("")).alias("span_id"), F.nullif(F.trim(pick(rows, "parentSpanID")), F.lit("")).alias("parent_span_id"),
         pick(rows, "serviceName", default="unknown").alias("service"), pick(rows, "operationName", default="unknown").alias("operation"),
         F.greatest(F.lit(0.0), micros / 1000).alias("duration_ms"), F.when(F.coalesce(status, F.lit(0.0)) != 0, "ERROR").otherwise("OK").alias("status"))
-    kinds = infer_span_kinds(mapped.where("span_id IS NOT NULL"))
+    kinds = infer_span_kinds(mapped.where("span_id IS NOT NULL"), ["time_abs"])
     return cut_and_rebase(kinds.where("time_abs IS NOT NULL AND trace_id IS NOT NULL"), windows)
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from faultline.functions.ordered import ordered_index, top_per_group
+from faultline.functions.ordered import null_safe_join, ordered_index, top_per_group
 
 CHUNK_SECONDS = 60
 
@@ -27,7 +27,7 @@ def priority_downsample(rows: DataFrame, priority: Column, cap: int, order: Sequ
     keys = ["incident_id", "_pri"]
     tagged = rows.withColumn("_pri", F.coalesce(priority, F.lit(False))).withColumn("_chunk", F.floor(F.col(time) / CHUNK_SECONDS))
     sizes = tagged.groupBy("incident_id").agg(F.count(F.lit(1)).alias("_all"), F.count_if("_pri").alias("_top"))
-    placed = ordered_index(tagged, keys, "_chunk", [time, *order], "_i").join(sizes, "incident_id")
+    placed = null_safe_join(ordered_index(tagged, keys, "_chunk", [time, *order], "_i"), sizes, ["incident_id"])
     room = F.lit(cap) - F.col("_top")
     rest = F.col("_all") - F.col("_top")
     step = rest / F.nullif(room.cast("double"), F.lit(0.0))

@@ -53,26 +53,30 @@ def prometheus_matrix(docs: DataFrame, metric: str, unit: str, service_label: st
 def span_status(tags: Column) -> Column:
     """ERROR from the error flag, a gRPC code other than 0, HTTP 5xx, or the OTel status, in that order.
 
-    ``tags`` maps key to JSON text of the value.
+    ``tags`` is an array of (key, value as variant); of a repeated key the last one
+    counts. The error flag must be the JSON value true: the string "true" is none.
     """
-    tag = lambda k: F.try_element_at(tags, F.lit(k))
-    http = F.coalesce(tag("http.response.status_code"), tag("http.status_code")).try_cast("double")
+    tag = lambda k: F.try_element_at(F.filter(tags, lambda t: t["key"] == k), F.lit(-1))["value"]
+    text = lambda k: tag(k).cast("string")
+    flagged = (F.schema_of_variant(tag("error")) == "BOOLEAN") & (text("error") == "true")
+    http = F.coalesce(text("http.response.status_code"), text("http.status_code")).try_cast("double")
     return (
-        F.when(tag("error") == "true", "ERROR").when(tag("rpc.grpc.status_code") != "0", "ERROR").when(http >= 500, "ERROR")
-        .when(F.upper(tag("otel.status_code")) == "ERROR", "ERROR").otherwise("OK"))
+        F.when(flagged, "ERROR").when(text("rpc.grpc.status_code") != "0", "ERROR").when(http >= 500, "ERROR")
+        .when(F.upper(text("otel.status_code")) == "ERROR", "ERROR").otherwise("OK"))
 
 
 def jaeger_traces(docs: DataFrame) -> DataFrame:
     """``docs``: incident_id, start_s, doc = {"processes": {}, "spans": []}."""
     schema = """struct<processes: map<string, struct<serviceName: string>>, spans: array<struct<traceID: string, spanID: string, processID: string,
       operationName: string, startTime: double, duration: double, references: array<struct<refType: string, spanID: string>>,
-      tags: array<struct<key: string, value: string>>>>>"""
+      tags: array<struct<key: string, value: variant>>>>>"""
     spans = docs.select("incident_id", "start_s", F.from_json("doc", schema).alias("d")).select(
         "incident_id", "start_s", "d.processes", F.explode("d.spans").alias("s"))
-    keyed = F.filter(F.coalesce("s.tags", F.array().cast("array<struct<key: string, value: string>>")), lambda t: t["key"].isNotNull())
+    keyed = F.filter(F.coalesce("s.tags", F.array().cast("array<struct<key: string, value: variant>>")), lambda t: t["key"].isNotNull())
     tags = F.aggregate(keyed, F.create_map().cast("map<string,string>"),
-                       lambda m, t: F.map_concat(F.map_filter(m, lambda k, v: k != t["key"]), F.create_map(t["key"], t["value"])))
-    staged = spans.withColumn("tags", public_attributes(tags))
+                       lambda m, t: F.map_concat(F.map_filter(m, lambda k, v: k != t["key"]), F.create_map(t["key"], t["value"].cast("string"))))
+    # The status comes from all tags, before private ones are taken out.
+    staged = spans.withColumn("status", span_status(keyed)).withColumn("tags", public_attributes(tags))
     parents = F.filter("s.references", lambda r: r["refType"] == "CHILD_OF")
     service = F.try_element_at("processes", F.col("s.processID"))["serviceName"]
     return staged.select(
@@ -80,7 +84,7 @@ def jaeger_traces(docs: DataFrame) -> DataFrame:
         _text(F.get(parents, F.lit(0))["spanID"]).alias("parent_span_id"),
         relative_second(F.col("s.startTime") / 1e6, F.col("start_s")).alias("time"), _text(service).alias("service"),
         F.coalesce(_text(F.col("s.operationName")), F.lit("unknown")).alias("operation"),
-        (F.coalesce("s.duration", F.lit(0.0)) / 1000).alias("duration_ms"), span_status(F.col("tags")).alias("status"),
+        (F.coalesce("s.duration", F.lit(0.0)) / 1000).alias("duration_ms"), "status",
         F.col("tags").alias("attributes"),
     ).where("trace_id IS NOT NULL AND span_id IS NOT NULL AND service IS NOT NULL")
 
@@ -151,29 +155,37 @@ def flat_changes(rows: DataFrame) -> DataFrame:
     return out.where("id IS NOT NULL AND service IS NOT NULL AND kind IS NOT NULL AND summary IS NOT NULL")
 
 
-def first_number(text: Column, depth: int = 3) -> Column:
-    """First number of a JSON value, looking into nested objects in key order; booleans and strings do not count."""
-    number = F.when(text.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), text.try_cast("double"))
-    if depth == 0:
-        return number
-    return F.when(text.startswith("{"), _first_of(text, [], depth - 1)).otherwise(number)
+_NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
 
 
-def _first_of(text: Column, skip: list[str], depth: int) -> Column:
-    """First number among the members of a JSON object text, in document order."""
+def first_number(text: Column) -> Column:
+    """First number of a JSON value, looking into nested objects of any depth in key order; booleans, strings and arrays do not count."""
+    bare = F.regexp_replace(text, r'"[^"\\]*(?:\\.[^"\\]*)*"', '""')  # strings may hold digits and brackets
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def step(state: Column, piece: Column) -> Column:
+        depth = state["depth"] + piece.startswith("[").cast("int") - piece.startswith("]").cast("int")
+        kept = F.when(depth == 0, F.regexp_replace(piece, r"^[\[\]]", "")).otherwise("")
+        return F.struct(depth.alias("depth"), F.concat(state["out"], kept).alias("out"))
+
+    outside = F.aggregate(F.split(bare, r"(?=[\[\]])"), start, step)["out"]
+    inner = F.nullif(F.regexp_extract(outside, _NUMBER, 0), F.lit(""))
+    return F.when(text.startswith("{"), inner.try_cast("double")).when(text.rlike(f"^{_NUMBER}$"), text.try_cast("double"))
+
+
+def _first_of(text: Column, skip: list[str]) -> Column:
+    """First number among the members of a JSON object text but those to skip, in document order."""
     kinds = F.from_json(text, "map<string,variant>")  # tells "7" from 7, which the text map cannot
-    entries = F.map_entries(F.from_json(text, "map<string,string>"))
-    if skip:
-        entries = F.filter(entries, lambda e: ~e["key"].isin(*skip))
+    entries = F.filter(F.map_entries(F.from_json(text, "map<string,string>")), lambda e: ~e["key"].isin(*skip))
     unquoted = F.filter(entries, lambda e: F.schema_of_variant(F.try_element_at(kinds, e["key"])) != "STRING")
-    values = F.transform(unquoted, lambda e: first_number(e["value"], depth))
+    values = F.transform(unquoted, lambda e: first_number(e["value"]))
     return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
 
 
 def bucketed_metrics(rows: DataFrame, metric: str, unit: str) -> DataFrame:
     """``rows``: incident_id, service, start_ms, doc = one time bucket with ``beginTimeSeconds`` and aggregates."""
     begin = F.get_json_object("doc", "$.beginTimeSeconds").try_cast("double")
-    value = _first_of(F.col("doc"), ["beginTimeSeconds", "endTimeSeconds"], 2)
+    value = _first_of(F.col("doc"), ["beginTimeSeconds", "endTimeSeconds"])
     return rows.select(
         "incident_id", relative_floor_ms(begin.cast("long") * 1000, F.col("start_ms")).alias("time"), "service", F.lit(metric).alias("metric"),
         value.alias("value"), F.lit(unit).alias("unit"), begin.alias("_b")).where("_b IS NOT NULL AND value IS NOT NULL").drop("_b")

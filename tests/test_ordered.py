@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.functions.ordered import exact_median, exact_p95, ordered_index, running_sums, top_per_group
+from faultline.functions.ordered import exact_median, exact_p95, latest_before, ordered_index, previous_value, running_sums, top_per_group
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +66,30 @@ def test_top_per_group_is_exact_for_small_and_large_limits(spark, k):
     df = spark.range(5000).select((F.col("id") % 2).alias("g"), F.col("id").alias("v")).repartition(7)
     got = sorted(r.v for r in top_per_group(df, ["g"], [F.col("v").desc()], k).collect())
     assert got == sorted(range(5000 - 2 * k, 5000))
+
+
+def test_infinities_and_nan_are_values(spark):
+    inf = float("inf")
+    rows = [("a", inf), ("a", 1.0), ("a", 2.0), ("b", -inf), ("b", 1.0), ("b", 2.0), ("c", 1.0), ("c", 2.0), ("c", float("nan")), ("d", None), ("d", 5.0)]
+    got = {r.k: (r.n, r.p95) for r in exact_p95(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    assert got["a"] == (3, inf) and got["b"] == (3, 2.0) and got["d"] == (1, 5.0)
+    assert got["c"][0] == 3 and got["c"][1] != got["c"][1]
+    low = {r.k: r.m for r in exact_median(spark.createDataFrame([("b", -inf), ("b", -inf), ("b", 1.0)], "k string, v double"), ["k"], "v", "m").collect()}
+    assert low == {"b": -inf}
+
+
+NULLS = [("k", 1, 1, 10.0), ("k", None, 2, 20.0), (None, 1, 3, 30.0), (None, None, 4, 40.0), ("k", 2, 5, 50.0), (None, 1, 6, 60.0)]
+
+
+def test_helpers_keep_rows_with_null_keys_and_buckets(spark):
+    df = spark.createDataFrame(NULLS, "k string, b int, i int, v double")
+    assert {r.i: r.idx for r in ordered_index(df, ["k"], "b", ["i"]).collect()} == {2: 0, 1: 1, 5: 2, 4: 0, 3: 1, 6: 2}
+    assert {r.i: r.s for r in running_sums(df, ["k"], "b", ["i"], {"s": F.col("v")}).collect()} == {2: 20.0, 1: 30.0, 5: 80.0, 4: 40.0, 3: 70.0, 6: 130.0}
+    assert {r.i: r.prev_v for r in previous_value(df, ["k"], "b", ["i"], ["v"]).collect()} == {2: None, 1: 20.0, 5: 10.0, 4: None, 3: 40.0, 6: 30.0}
+
+
+def test_probes_with_nulls_come_back_without_a_find(spark):
+    events = spark.createDataFrame([("a", 5, "x"), ("a", None, "y"), (None, 1, "z")], "k string, t long, id string")
+    probes = spark.createDataFrame([(1, "a", 9), (2, None, 9), (3, "a", None), (4, "b", 9), (5, "a", 4), (6, "a", 999_999)], "p int, k string, at long")
+    got = {r.p: r.found and r.found.id for r in latest_before(probes, events, ["k"], "at", "t", ["id"]).collect()}
+    assert got == {1: "x", 2: None, 3: None, 4: None, 5: None, 6: "x"}

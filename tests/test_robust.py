@@ -64,3 +64,11 @@ def test_effect_size_matches_brute_force(spark, series, array_max):
         assert got[key].effect_z == pytest.approx(effect(pre, post, key[1]), rel=1e-9, abs=1e-9), key
         assert (got[key].n_pre, got[key].n_post) == (len(pre), len(post))
         assert got[key].pre_mean == pytest.approx(sum(pre) / len(pre) if pre else 0.0)
+
+
+@pytest.mark.parametrize("array_max", [200_000, 0])
+def test_one_infinite_point_is_no_failure(spark, array_max):
+    rows = [("m", t, float(t % 3), "pre") for t in range(12)] + [("m", 100 + t, 50.0 + t, "post") for t in range(8)] + [("m", 200, float("inf"), "post")]
+    df = spark.createDataFrame(rows, "metric string, time long, value double, side string")
+    got = effect_sizes(df, ["metric"], array_max=array_max).first()
+    assert (got.n_pre, got.n_post) == (12, 9) and 30 < got.effect_z < float("inf")
