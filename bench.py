@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 HEADLINE = [
@@ -17,10 +18,10 @@ HEADLINE = [
 def main() -> None:
     sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
     from faultline.plans import runnable
-    from faultline.session import local_session
+    from faultline.session import local_session, release
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = local_session(int(os.environ.get("BENCH_CPUS", "8")))
+    spark = local_session(int(os.environ.get("BENCH_CPUS", "8")), folder=tempfile.mkdtemp(prefix="bench-"))
     spark.sparkContext.setLogLevel("ERROR")
     queries = runnable()
     # Start the executors and let the JVM compile its hot paths before the clock.
@@ -32,6 +33,7 @@ def main() -> None:
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         taken[name] = round(time.time() - start, 3)
         print(f"{name} {taken[name]}", file=sys.stderr, flush=True)
+    release(spark)
     spark.stop()
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(taken.values()), 3), "unit": "sec", "queries": taken,
                       "sf": os.path.basename(sf_dir.rstrip("/"))}))

@@ -280,18 +280,27 @@ def hypotheses(t: Telemetry) -> DataFrame:
     return services.unionByName(edges)
 
 
+def malformed_hypotheses(t: Telemetry) -> DataFrame:
+    """Per incident a service hypothesis without a service and one of an unknown kind."""
+    none = F.lit(None).cast("string")
+    kinds = t.spans.select("incident_id").distinct().withColumn("kind", F.explode(F.array(F.lit("service"), F.lit("guess"))))
+    return kinds.select("incident_id", F.concat(F.lit("m_"), "kind").alias("id"), "kind", none.alias("service"), none.alias("caller"), none.alias("callee"))
+
+
 @query("r9_gather_evidence", with_views("metrics", "changes", "incidents", extra=_SIG | {
+    "allhyp": """select * from hyp union all select incident_id, concat('m_', kind), kind, null, null, null
+      from (select distinct incident_id from spans) cross join (select unnest(['service', 'guess']) as kind)""",
     "ce": "select incident_id, service as caller, callee, count(*) as client_errors from resolved where status='ERROR' and span_kind='client' and callee is not null group by 1, 2, 3",
     "j": """select h.incident_id, h.id, h.kind, coalesce(h.service, h.caller) as service, coalesce(s.server_errors, 0) as own, coalesce(c.client_errors, 0) as nc, coalesce(k.server_errors, 0) as ns,
-      coalesce(s.error_rise > 0.02 or s.latency_rise > 100 or s.resource_rises > 0, false) as moved from hyp h
+      coalesce(s.error_rise > 0.02 or s.latency_rise > 100 or s.resource_rises > 0, false) as moved from allhyp h
       left join sig s on s.incident_id=h.incident_id and s.service=h.service left join sig k on k.incident_id=h.incident_id and k.service=h.callee
       left join ce c on c.incident_id=h.incident_id and c.caller=h.caller and c.callee=h.callee""",
     "near": "select c.incident_id, c.service, arg_min(c.id, row(-c.time, c.id)) as suspect from changes c join incidents using (incident_id) where c.time < onset_second group by 1, 2"},
-    body="""select incident_id, id, kind, service, case kind when 'service' then own > 0 or moved else nc > 0 and ns = 0 end as supported,
-  case when kind='service' then case when own > 0 then 0.9e0 when moved then 0.6e0 else 0.1e0 end when nc > 0 and ns = 0 then 0.8e0 when nc > 0 then 0.3e0 else 0.0e0 end as confidence,
-  case kind when 'service' then own else ns end as server_errors, suspect as suspect_change_id from j left join near using (incident_id, service)"""))
+    body="""select incident_id, id, kind, service, case when id like 'm_%' then false when kind='service' then own > 0 or moved else nc > 0 and ns = 0 end as supported,
+  case when id like 'm_%' then 0.0e0 when kind='service' then case when own > 0 then 0.9e0 when moved then 0.6e0 else 0.1e0 end when nc > 0 and ns = 0 then 0.8e0 when nc > 0 then 0.3e0 else 0.0e0 end as confidence,
+  case when id like 'm_%' then null when kind='service' then own else ns end as server_errors, suspect as suspect_change_id from j left join near using (incident_id, service)"""))
 def _(t: Telemetry) -> DataFrame:
-    return hypothesis.gather_evidence(hypotheses(t), t.spans, t.metrics, t.changes, t.incidents).drop("client_errors")
+    return hypothesis.gather_evidence(hypotheses(t).union(malformed_hypotheses(t)), t.spans, t.metrics, t.changes, t.incidents).drop("client_errors")
 
 
 @query("r10_rule_out_services", with_views("metrics", "incidents", extra=_SIG, body="""

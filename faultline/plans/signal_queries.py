@@ -307,12 +307,16 @@ def _(t: Telemetry) -> DataFrame:
 
 
 @query("c4_nearest_change", with_views("spans", "changes", extra={
-    "probe": "select incident_id, service, max(time) as onset_second from spans where status='ERROR' group by 1, 2"}, body="""
+    "known": "select incident_id, service, max(time) as onset_second from spans where status='ERROR' group by 1, 2",
+    "probe": """select * from known union all select incident_id, null, max(onset_second) from known group by 1
+      union all select incident_id, min(service), null from known group by 1"""}, body="""
 select p.incident_id, p.service, p.onset_second, arg_min(id, row(-c.time, id)) as change_id, max(c.time) as change_time
 from probe p left join changes c on c.incident_id=p.incident_id and c.service=p.service and c.time < p.onset_second group by 1, 2, 3"""))
 def _(t: Telemetry) -> DataFrame:
-    probes = t.spans.where("status = 'ERROR'").groupBy("incident_id", "service").agg(F.max("time").alias("onset_second"))
-    return changes.nearest_before(t.changes, probes)
+    known = t.spans.where("status = 'ERROR'").groupBy("incident_id", "service").agg(F.max("time").alias("onset_second"))
+    unnamed = known.groupBy("incident_id").agg(F.lit(None).cast("string").alias("service"), F.max("onset_second").alias("onset_second"))
+    untimed = known.groupBy("incident_id").agg(F.min("service").alias("service"), F.lit(None).cast("long").alias("onset_second"))
+    return changes.nearest_before(t.changes, known.union(unnamed).union(untimed))
 
 
 # ---- correlation ----------------------------------------------------------------------------

@@ -10,12 +10,13 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from faultline.session import local_session
+def spark(tmp_path_factory):
+    from faultline.session import local_session, release
 
-    session = local_session(8, partitions=4)
+    session = local_session(8, partitions=4, folder=str(tmp_path_factory.mktemp("scratch")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import decimal
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -62,9 +63,9 @@ def compare(spark, sf_dir: str, con, build, sql: str | None) -> tuple[str, float
 def main(sf: str, prefixes: list[str]) -> None:
     sys.path.insert(0, ".")
     import __spark_entry__ as entry
-    from faultline.session import local_session
+    from faultline.session import local_session, release
 
-    spark = local_session(8)
+    spark = local_session(8, folder=tempfile.mkdtemp(prefix="harness-"))
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"/root/testdata/sf{sf}"
     con = oracle_connection(sf_dir)
@@ -77,6 +78,7 @@ def main(sf: str, prefixes: list[str]) -> None:
         except Exception as exc:  # report every query, then go on
             verdict, took, rows = f"FAILED {type(exc).__name__}: {str(exc)[:600]}", 0.0, 0
         print(f"{name:32s} {took:6.2f}s {rows:7d} {verdict}", flush=True)
+    release(spark)
 
 
 if __name__ == "__main__":
