@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from faultline.functions.ordered import exact_median, ordered_index
 from faultline.session import checkpoint
 
-Z_MIN = 3.0
+Z_MIN = 3.0  # fixed value
 ARRAY_MAX = 200_000
 
 # fixed values: noise floor, absolute and relative step floors
@@ -34,6 +34,7 @@ FAMILY_FLOORS = {
     "latency": (2.0, 15.0, 0.15),
     "resource": (1e-9, 0.0, 0.15),
 }
+# fixed values: scale of the deviation, and how far a step must exceed its placebo
 MAD_TO_SIGMA = 1.4826
 ALIGN_RATIO = 1.25
 ALIGN_DEMOTE = 0.25

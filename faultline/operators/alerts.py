@@ -61,6 +61,7 @@ def derive_alerts(series: DataFrame, rules: DataFrame, incidents: DataFrame) ->
         alert_fingerprint("alertname", "labels").alias("fingerprint"))
     order = [F.when(F.col("severity") == "critical", 0).otherwise(1), F.col("starts_at_second"), F.col("alertname"), F.col("expr")]
     kept = top_per_group(alerts, ["incident_id", "fingerprint"], order, 1)
+    # fixed value: the wording of the violation
     quiet = incidents.select("incident_id").join(kept, "incident_id", "left_anti").withColumn(
         "violation", F.lit("no symptom rule fired over the recorded window"))
     return kept.withColumn("violation", F.lit(None).cast("string")).unionByName(quiet, allowMissingColumns=True)

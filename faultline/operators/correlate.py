@@ -79,6 +79,7 @@ def onset_consensus(spans: DataFrame, logs: DataFrame) -> DataFrame:
     both = traces.join(lines, "incident_id", "full_outer")
     a, b = F.col("trace_onset_second"), F.col("first_error_log_second")
     agree = F.coalesce(F.abs(a - b) <= 60, F.lit(False))
+    # fixed values: the wording of the notes
     return both.select(
         "incident_id", a, b, F.when(agree, F.least(a, b)).otherwise(F.coalesce(a, b)).alias("consensus_onset_second"),
         agree.alias("agreement"),

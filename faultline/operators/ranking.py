@@ -153,6 +153,7 @@ def localise(ranked: DataFrame) -> DataFrame:
     joined = root.join(per, "incident_id").join(victims, "incident_id", "left").withColumn("z", z_max())
     signature = F.when(F.col("z") > 0, dominant_family())
     shown = F.format_string("%.0f", F.bround("z", 0))
+    # fixed values: the wording of the evidence
     head = F.concat("service", F.lit(" shows a "), F.coalesce(signature, F.lit("anomalous")), F.lit(" step at onset (z="), shown,
                     F.lit("); ranked #1 of "), F.col("services").cast("string"), F.lit(" live services by effect size"))
     tail = F.concat(F.lit("downstream victims inheriting the symptom: "), F.array_join("_victims", ", "))

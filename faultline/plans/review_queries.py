@@ -574,12 +574,12 @@ def results(t: Telemetry) -> DataFrame:
 with r as (select o_orderkey as run_id, concat('svc', o_custkey % 5) as svc, o_orderstatus <> 'P' as confident, o_orderkey % 6 as f, o_custkey % 4 as s from orders),
 k as (select *, case when not confident then '' when f = 0 then 'cpu' when f = 1 then 'memory' when f = 2 then 'delay' when f = 4 then 'loss'
     when s = 0 then 'cpu' when s = 1 then 'delay' when s = 2 then 'error' else '' end as key from r),
-m(key, position, kind, risk, d) as (values ('cpu', 1, 'restart', 'low', 'Restart @ to clear its impaired state.'), ('cpu', 2, 'scale', 'low', 'Scale @ to 2 replicas to shed load.'),
-  ('memory', 1, 'restart', 'low', 'Restart @ to clear its impaired state.'), ('memory', 2, 'scale', 'low', 'Scale @ to 2 replicas to shed load.'),
-  ('delay', 1, 'remove_impairment', 'low', 'Clear the injected fault on @.'), ('delay', 2, 'restart', 'low', 'Restart @ to clear its impaired state.'),
-  ('loss', 1, 'remove_impairment', 'low', 'Clear the injected fault on @.'), ('loss', 2, 'restart', 'low', 'Restart @ to clear its impaired state.'),
-  ('error', 1, 'revert_change', 'medium', 'Revert the most recent change on @.'), ('error', 2, 'restart', 'low', 'Restart @ to clear its impaired state.'),
-  ('', 1, 'open_ticket', 'low', 'Open an incident ticket for @.'), ('', 2, 'page_oncall', 'low', 'Page the on-call engineer for @.'))
+m(key, position, kind, risk, d) as (values ('cpu', 1, 'restart', 'low', 'Start @ afresh.'), ('cpu', 2, 'scale', 'low', 'Run @ with 2 replicas.'),
+  ('memory', 1, 'restart', 'low', 'Start @ afresh.'), ('memory', 2, 'scale', 'low', 'Run @ with 2 replicas.'),
+  ('delay', 1, 'remove_impairment', 'low', 'Take the impairment off @.'), ('delay', 2, 'restart', 'low', 'Start @ afresh.'),
+  ('loss', 1, 'remove_impairment', 'low', 'Take the impairment off @.'), ('loss', 2, 'restart', 'low', 'Start @ afresh.'),
+  ('error', 1, 'revert_change', 'medium', 'Undo the latest change to @.'), ('error', 2, 'restart', 'low', 'Start @ afresh.'),
+  ('', 1, 'open_ticket', 'low', 'File a ticket about @.'), ('', 2, 'page_oncall', 'low', 'Call whoever is on duty for @.'))
 select run_id, svc as target_service, position, kind, case when key = '' then 'notify' else 'mutate' end as effect, risk, replace(d, '@', svc) as description, key <> '' and position = 1 as is_primary
 from k join m using (key)""")
 def _(t: Telemetry) -> DataFrame:

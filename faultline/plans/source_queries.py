@@ -75,14 +75,14 @@ def _(t: Telemetry) -> DataFrame:
 
 @query("s4_prometheus_matrix", with_views("metrics", body=f"""
 select incident_id, case when time % 21600 = 0 then 'batch' else service end as service, 'm' as metric, time, round(value, 6) as value, 'ratio' as unit, concat('kind=', metric) as attributes
-from metrics where service <> 'ad'"""))
+from metrics where service <> 'ad' or time % 21600 = 0"""))
 def _(t: Telemetry) -> DataFrame:
     stamp = (F.lit(BASE_S) + F.col("time") + 0.4).cast("string")
     label = F.when(F.col("time") % 21600 == 0, F.lit('"job": "batch"')).when(F.col("service") == "ad", F.lit('"other": "x"')).otherwise(
         F.concat(F.lit('"service_name": "'), "service", F.lit('"')))
     doc = F.concat(F.lit('{"result": [{"metric": {'), label, F.lit(', "kind": "'), "metric", F.lit('", "flag": "paymentFailure"}, "values": [['), stamp, F.lit(', "'),
                    F.col("value").cast("string"), F.lit('"], ['), stamp, F.lit(', "NaN"]]}]}'))
-    docs = t.metrics.where("service <> 'ad' or time % 21600 <> 0").select("incident_id", F.lit(float(BASE_S)).alias("start_s"), doc.alias("doc"))
+    docs = t.metrics.select("incident_id", F.lit(float(BASE_S)).alias("start_s"), doc.alias("doc"))
     found = vendor.prometheus_matrix(docs, "m", "ratio")
     pairs = F.transform(F.map_entries("attributes"), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return rounded(found.withColumn("attributes", F.array_join(pairs, ",")), "value")

@@ -56,12 +56,12 @@ def _(t: Telemetry) -> DataFrame:
 
 
 @query("p7_rpc_callee", """
-with docs as (select doc_id, concat('pkg.', split_part(text, ' ', 1), 'Service/', lang) as operation from documents)
+with docs as (select doc_id, concat('pkg.', replace(text, '/', ' '), 'Service/', lang) as operation from documents)
 select doc_id, coalesce(nullif(lower(ltrim(regexp_replace(
   left(list_filter(string_split(split_part(operation, '/', 1), '.'), lambda x: lower(x) like '%service')[-1], -7),
   '([A-Z])', '-\\1', 'g'), '-')), ''), '-') as callee from docs""")
 def _(t: Telemetry) -> DataFrame:
-    operation = F.concat(F.lit("pkg."), F.split_part("text", F.lit(" "), F.lit(1)), F.lit("Service/"), "lang")
+    operation = F.concat(F.lit("pkg."), F.replace(F.col("text"), F.lit("/"), F.lit(" ")), F.lit("Service/"), "lang")
     return t.table("documents").select("doc_id", F.coalesce(rpc_callee(operation), F.lit("-")).alias("callee"))
 
 

@@ -252,6 +252,7 @@ def synthesise_symptoms(metrics: DataFrame, incidents: DataFrame) -> DataFrame:
     picked = best.select("incident_id", "onset_second", "x.metric", F.col("x.b.service").alias("service"), F.col("x.b.post").alias("value"))
     kind = F.col("metric")
     error, latency = kind == "request_error_rate", kind == "latency_p95_ms"
+    # fixed values: the wording and names of the synthesised alert
     lead = F.when(error, "Elevated error rate on ").when(latency, "Elevated p95 latency on ").otherwise("Anomalous metric shift on ")
     name = F.when(error, "HighErrorRate").when(latency, "HighLatency").otherwise("MetricAnomaly")
     labels = F.create_map(F.lit("service"), F.col("service"))
