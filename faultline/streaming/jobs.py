@@ -58,24 +58,34 @@ def dedup_spans(spans: DataFrame, delay: str = DELAY) -> DataFrame:
 _COMPARE = {">": lambda v, t: v > t, ">=": lambda v, t: v >= t, "<": lambda v, t: v < t, "<=": lambda v, t: v <= t}
 
 
-def _watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Advance one rule over new samples; state is the open run and whether it fired."""
-    start, value, fired = state.get if state.exists else (None, None, False)
-    # One sample per step after the windowed maximum, so a batch is small.
-    samples = pd.concat(list(batches)).sort_values("ts")
-    out = []
-    for row in samples.itertuples(index=False):
-        finite = row.value is not None and abs(row.value) != float("inf") and row.value == row.value
-        if finite and _COMPARE[row.comparison](row.value, row.threshold):
-            if start is None:
-                start, value = row.ts, row.value
-            if not fired and row.ts - start >= row.for_seconds:
-                fired = True
-                out.append((key[0], key[1], int(start), float(value)))
+def _watch(idle_ms: int):
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Advance one rule over new samples; state is the open run and whether it fired."""
+        start, value, fired = state.get if state.exists else (None, None, False)
+        out = []
+        if state.hasTimedOut:
+            start, fired = None, False
+        else:
+            # One sample per step after the windowed maximum, so a batch is small.
+            samples = pd.concat(list(batches)).sort_values("ts")
+            for row in samples.itertuples(index=False):
+                finite = row.value is not None and abs(row.value) != float("inf") and row.value == row.value
+                if finite and _COMPARE[row.comparison](row.value, row.threshold):
+                    if start is None:
+                        start, value = row.ts, row.value
+                    if not fired and row.ts - start >= row.for_seconds:
+                        fired = True
+                        out.append((key[0], key[1], int(start), float(value)))
+                else:
+                    start = value = None
+        if start is None and not fired:
+            state.remove()
         else:
-            start = value = None
-    state.update((start, value, fired))
-    yield pd.DataFrame(out, columns=["incident_id", "rule_id", "fired_epoch", "value"])
+            state.update((start, value, fired))
+            state.setTimeoutTimestamp(max(int(samples["ts"].max()) * 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["incident_id", "rule_id", "fired_epoch", "value"])
+
+    return step
 
 
 def step_maxima(points: DataFrame, step: str = "15 seconds", delay: str = DELAY) -> DataFrame:
@@ -89,16 +99,19 @@ def step_maxima(points: DataFrame, step: str = "15 seconds", delay: str = DELAY)
     return grouped.agg(F.max("value").alias("value")).select("incident_id", "metric", F.col("w.start").cast("long").alias("ts"), "value")
 
 
-def sustained_alerts(samples: DataFrame, rules: DataFrame) -> DataFrame:
+def sustained_alerts(samples: DataFrame, rules: DataFrame, delay: str = DELAY, idle_seconds: int = 30 * 86400) -> DataFrame:
     """First firing per incident and rule, as :func:`faultline.operators.alerts.sustained_breaches`.
 
-    ``samples``: the stream of :func:`step_maxima`. ``rules`` is a static frame.
+    ``samples``: the stream of :func:`step_maxima`. ``rules`` is a static frame. State is
+    held for open runs and fired rules only, and given up once an incident has sent
+    nothing for ``idle_seconds``; one that resumes after that may fire again.
     """
-    joined = samples.join(rules.select("rule_id", "metric", "threshold", "comparison", "for_seconds"), "metric").select(
-        "incident_id", "rule_id", "ts", "value", "threshold", "comparison", "for_seconds")
+    timed = samples.withColumn("event_ts", F.timestamp_seconds("ts")).withWatermark("event_ts", delay)
+    joined = timed.join(rules.select("rule_id", "metric", "threshold", "comparison", "for_seconds"), "metric").select(
+        "incident_id", "rule_id", "ts", "value", "threshold", "comparison", "for_seconds", "event_ts")
     return joined.groupBy("incident_id", "rule_id").applyInPandasWithState(
-        _watch, "incident_id string, rule_id int, fired_epoch long, value double", "start long, value double, fired boolean",
-        "append", GroupStateTimeout.NoTimeout)
+        _watch(idle_seconds * 1000), "incident_id string, rule_id int, fired_epoch long, value double", "start long, value double, fired boolean",
+        "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def activity_sessions(spans: DataFrame, gap: str = "60 seconds", delay: str = DELAY) -> DataFrame:
@@ -116,6 +129,7 @@ TRANSITIONS = {
     "expired": (("proposed", "posted", "approved"), "expired"), "execute_started": (("approved",), "executing"),
 }
 _OPEN = ("proposed", "posted", "approved")
+_CLOSED = ("denied", "expired", "done", "failed")
 
 
 def _fold(ttl_ms: int | None):
@@ -140,7 +154,9 @@ def _fold(ttl_ms: int | None):
             if new is not None:
                 status, seq = new, int(row.seq)
                 out.append((key[0], seq, status))
-        if status is not None:
+        if status in _CLOSED:  # nothing but a new proposal can follow, which starts afresh
+            state.remove()
+        elif status is not None:
             state.update((status, seq, due))
             if due is not None and status in _OPEN:
                 state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
@@ -153,7 +169,8 @@ def journal_transitions(events: DataFrame, ttl_seconds: int | None = None, delay
     """Legal transitions of every action as they happen; open proposals expire after the TTL.
 
     ``events``: action_id, seq, kind, ok, event_ts. The current state of an action
-    is its last transition.
+    is its last transition. State is held until an action is denied, expired, done or
+    failed.
     """
     ttl = None if ttl_seconds is None else ttl_seconds * 1000
     timeout = GroupStateTimeout.NoTimeout if ttl is None else GroupStateTimeout.EventTimeTimeout
