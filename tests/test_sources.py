@@ -128,3 +128,24 @@ def test_open_proposals_expire(spark, tmp_path):
     moves = jobs.run_available(jobs.journal_transitions(stream_of(spark, tmp_path, batches, schema), ttl_seconds=300), "t")
     got = {r.action_id: r.status for r in moves.groupBy("action_id").agg(F.max_by("status", F.struct("seq", F.col("status") == "expired")).alias("status")).collect()}
     assert got == {"a": "expired", "b": "executing", "c": "posted"}
+
+
+def rows_of_state(stream, folder):
+    job = stream.writeStream.format("noop").option("checkpointLocation", str(folder / "state")).outputMode("append").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return job.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_closed_actions_leave_no_state(spark, tmp_path):
+    schema = "action_id string, seq long, kind string, ok boolean, event_ts timestamp"
+    at = lambda s: __import__("datetime").datetime(2024, 1, 1, 0, s // 60, s % 60)
+    batches = [[("a", 0, "proposed", None, at(0)), ("b", 1, "proposed", None, at(1))], [("a", 2, "denied", None, at(2)), ("b", 3, "approved", None, at(3))],
+               [("b", 4, "execute_started", None, at(4)), ("b", 5, "execute_result", True, at(5))]]
+    assert rows_of_state(jobs.journal_transitions(stream_of(spark, tmp_path, batches, schema)), tmp_path) == 0
+
+
+def test_quiet_rules_leave_no_state(spark, tmp_path):
+    schema = "incident_id string, metric string, ts long, value double"
+    batches = [[("i", "m", 0, 0.9), ("i", "m", 15, 0.9)], [("i", "m", 30, 0.1)]]
+    rules = spark.createDataFrame([(1, "m", 0.5, ">", 60)], "rule_id int, metric string, threshold double, comparison string, for_seconds int")
+    assert rows_of_state(jobs.sustained_alerts(stream_of(spark, tmp_path, batches, schema), rules), tmp_path) == 0
