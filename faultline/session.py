@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
 
 from pyspark import SparkContext
@@ -62,8 +63,9 @@ def release(spark: SparkSession) -> None:
 
 @atexit.register
 def _release_at_exit() -> None:
-    if SparkContext._active_spark_context is not None and (spark := SparkSession.getActiveSession()) is not None:
-        release(spark)
+    with contextlib.suppress(Exception):  # the JVM may be gone by now, and the folder with it
+        if SparkContext._active_spark_context is not None and (spark := SparkSession.getActiveSession()) is not None:
+            release(spark)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
