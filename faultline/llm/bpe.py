@@ -54,7 +54,6 @@ WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{L}{N}\t-\r \x85\xa
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\t-\r ]+")
 BLANK = re.compile(r"[^\S\x1c-\x1f]")
 ODD = re.compile(r"[\x1c-\x1f]")  # white space to str.split(), not to the vocabulary's pattern
-PRINTED = re.compile(r"[!-~]+")  # bytes that stand for themselves
 CHUNK = 1 << 18
 MOST_CACHED = 600_000
 
@@ -154,7 +153,7 @@ class Encoder(dict):
 
     def word(self, text: str) -> list[int]:
         """Ids of one word or run of marks, already composed and in lower case."""
-        if not PRINTED.fullmatch(text):
+        if not (text.isascii() and text.isprintable()):  # printable bytes stand for themselves
             text = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(ALPHABET)
         string = text + MARK
         whole = self.reached.get(string)

@@ -56,16 +56,15 @@ class SumOfSquares:
         2 (N[h + length] - N[h]) + 2, and by -2 N[h] + 1 if that fills it.
         Ties go to the fullest window.
         """
-        levels = np.fromiter(self.open, np.int64, len(self.open))
-        levels = levels[levels + length <= self.size]
-        best, cost = 0, (2 * int(self.level[length]) + 1)
-        if len(levels):
-            full = levels + length == self.size
-            change = np.where(full, 1 - 2 * self.level[levels], 2 * (self.level[np.where(full, 0, levels + length)] - self.level[levels]) + 2)
-            k = int(np.lexsort((-levels, change))[0])
-            if change[k] <= cost:
-                best = int(levels[k])
-        return best
+        levels = np.flatnonzero(self.level[1 : self.size - length + 1]) + 1
+        if not len(levels):
+            return 0
+        filled = levels + length
+        change = 2 * (self.level[filled % self.size] - self.level[levels]) + 2  # a filled window leaves the count: level 0 is empty
+        if filled[-1] == self.size:
+            change[-1] = 1 - 2 * self.level[levels[-1]]
+        k = len(change) - 1 - int(change[::-1].argmin())
+        return int(levels[k]) if change[k] <= 2 * int(self.level[length]) + 1 else 0
 
     def _put(self, level: int, window: list[Piece]) -> None:
         self.open.setdefault(level, []).append(window)
