@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.llm.frames import others, with_columns
+from faultline.session import store
 
 BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,6 +59,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lines.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("doc").alias("n"), F.max("doc").alias("keeper"))
         .filter(F.col("n") >= min_docs)
     )
+    shared = store(shared, "shared_lines")  # as a table of its own it is joined by a plain exchange, whose hot keys Spark splits
     drops = (
         held.join(shared, ["h1", "h2"]).filter(~F.col("doc").eqNullSafe(F.col("keeper")))
         .groupBy("doc", "which").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("drop"))
