@@ -115,8 +115,8 @@ def _floats(column: pa.Array, width: int) -> np.ndarray:
     return matrix(column if isinstance(column, pa.ListArray) else column.combine_chunks(), width)
 
 
-def build_index(base: DataFrame, space: Space, block: int) -> tuple[DataFrame, dict[int, int]]:
-    """Stored blocks (list, sub, ids, vectors and their rotated column blocks), and the number of blocks of each list."""
+def build_index(base: DataFrame, space: Space, block: int) -> tuple[DataFrame, dict[int, int], dict[int, int]]:
+    """Stored blocks (list, sub, ids, vectors and their rotated column blocks), and the number of blocks and of rows of each list."""
     width = space.width
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +125,8 @@ def build_index(base: DataFrame, space: Space, block: int) -> tuple[DataFrame, d
             yield pa.record_batch([*batch.columns, pa.array(near, pa.int32())], ["id", "v", "list"])
 
     rows = store(base.mapInArrow(assign, "id long, v array<double>, list int"), "assigned")
-    blocks = {r.list: -(-r.n // block) for r in rows.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row per list
+    sizes = {r.list: r.n for r in rows.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row per list
+    blocks = {x: -(-n // block) for x, n in sizes.items()}
     parts = base.sparkSession.createDataFrame(list(blocks.items()) or [(0, 1)], "list int, parts int")
     subs = rows.join(F.broadcast(parts), "list").withColumn("sub", F.pmod(F.xxhash64("id"), "parts").cast("int"))  # parts: a row per list
     grouped = subs.groupBy("list", "sub").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
@@ -143,7 +144,7 @@ def build_index(base: DataFrame, space: Space, block: int) -> tuple[DataFrame, d
                 ], ["list", "sub", "ids", "data", "columns"])
 
     index = grouped.mapInArrow(turn, "list int, sub int, ids binary, data binary, columns array<binary>")
-    return store(index, "index"), blocks
+    return store(index, "index"), blocks, sizes
 
 
 def _scan(index: DataFrame, blocks: dict[int, int], probes: DataFrame, space: Space, k: int, doubt: float, chunk: int = 256) -> DataFrame:
@@ -200,7 +201,7 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     """query_id, rank (from 1), vec_id, score (double): ``k`` rows of ``table`` with about the largest inner products per query.
 
     Candidates are all rows with another id than the query's; scores are exact, ties go
-    to the smaller vec_id; with fewer than ``k`` found there are fewer rows. ``sample``
+    to the smaller vec_id; only with fewer than ``k`` candidates there are fewer rows. ``sample``
     bounds the rows that centroids are fitted on, ``calibration`` the queries that set the
     number of probed lists for ``recall``; ``doubt`` is the width of the abandonment test.
 
@@ -215,20 +216,26 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     n = base.count()
     space = fit_space(base, width, int(np.clip(np.sqrt(n) / 2, 1, 4096)), sample)
     most = probes_needed(base, asked, space, k, recall, calibration)
-    index, blocks = build_index(base, space, block)
+    index, blocks, sizes = build_index(base, space, block)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         real = np.array(sorted(blocks) or [0])
+        held = np.array([sizes.get(int(x), 0) for x in real])
         for batch in batches:
             far = space.distances(space.lift(_floats(batch.column("v"), width), True))[:, real]
-            near = real[far.argsort(1, kind="stable")[:, :most]].astype(np.int32)
-            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1) * near.shape[1], pa.int32()), pa.array(near.ravel()))
-            yield pa.record_batch([*batch.columns, rows], ["id", "v", "lists"])
-
+            order = far.argsort(1, kind="stable")
+            before = np.cumsum(held[order], axis=1) - held[order]  # rows in nearer lists
+            taken = (np.arange(len(real))[None, :] < most) | (before < k + batch.column("own").to_numpy()[:, None])
+            at = np.concatenate([[0], np.cumsum(taken.sum(1))])
+            rows = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(real[order][taken].astype(np.int32)))
+            yield pa.record_batch([batch.column("id"), batch.column("v"), rows], ["id", "v", "lists"])
+
+    own = base.groupBy("id").agg(F.count("*").alias("own"))  # rows under the query's id, none of its candidates
+    asked = asked.join(own, "id", "left").select("id", "v", F.coalesce("own", F.lit(0)).alias("own"))
     probed = store(asked.mapInArrow(probe, "id long, v array<double>, lists array<int>"), "probes")
     never = F.lit(float("-inf"))
     home = store(_scan(index, blocks, probed.select("id", "v", F.col("lists")[0].alias("list"), never.alias("floor")), space, k, doubt), "home")
     floor = ranked(home, k).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
     rest = probed.filter(F.size("lists") > 1).join(floor, "id", "left").withColumn("floor", F.coalesce("floor", never))
-    rest = rest.select("id", "v", F.explode(F.slice("lists", 2, max(1, most))).alias("list"), "floor")
+    rest = rest.select("id", "v", F.explode(F.slice("lists", F.lit(2), F.size("lists"))).alias("list"), "floor")
     return ranked(home.union(_scan(index, blocks, rest, space, k, doubt)), k)

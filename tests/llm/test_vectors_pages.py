@@ -83,6 +83,22 @@ def test_search_splits_a_list_of_many_equal_vectors(spark):
     assert got == sorted(plain_top(rows, 4, 300, inner, zero=False))
 
 
+def test_search_of_outlier_lists_is_never_short(spark):
+    """Dense bunches set how many lists are probed; lists of outliers hold fewer rows than are asked for."""
+    rng = np.random.default_rng(1)
+    sites = rng.normal(size=(16, 8))
+    dense = (sites / np.linalg.norm(sites, axis=1)[:, None])[rng.integers(0, 16, 3000)] + rng.normal(size=(3000, 8)) * 0.005
+    sites = rng.normal(size=(40, 8))
+    far = np.repeat(sites / np.linalg.norm(sites, axis=1)[:, None], 5, axis=0) + rng.normal(size=(200, 8)) * 0.005
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(np.concatenate([dense, far]))]
+    table = spark.createDataFrame(rows, SCHEMA)
+    ranks = {q: [] for q in range(0, 3200, 20)}
+    for q, n, i, s in ann.search(table, table.filter("vec_id % 20 = 0")).collect():
+        ranks[q].append(n)
+        assert i != q and s == inner(rows[q][1], rows[i][1])
+    assert {q: len(n) for q, n in ranks.items() if sorted(n) != list(range(1, 21))} == {}
+
+
 # 9: exact top-k
 
 
