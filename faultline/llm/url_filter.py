@@ -6,8 +6,9 @@
   hyphenated parts of hosts. Words reach a part by a join of its substrings with the counts, so that the model
   may be as large as the corpus makes it.
 * Multinomial naive Bayes scores the tokens. Pages whose segmented host holds one of a few
-  seed words train the class to block, the others the class to allow. Counts are kept per
-  hash bucket, in a table of fixed size.
+  seed words train the class to block, the others the class to allow. Every token has its
+  own counts; they reach the pages by a join on the token. Tokens that are more than one in
+  ``OFTEN`` of all, fewer than ``OFTEN`` in number, are joined by broadcast, so that no task gets all rows of one.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from faultline.session import store
 
 Rule = tuple[str, str, str]  # verdict, host, path
 LONGEST = 24  # letters of a word
-BUCKETS = 1 << 16
+OFTEN = 1000
+SEEN = 16.0  # tokens of each class taken as seen beforehand, spread over all distinct tokens
 #: Words in a host name that mark pages to block, for training only.
 SEEDS = ("adult", "ads", "bet", "bets", "betting", "casino", "cheap", "gambling", "jackpot", "loan", "loans", "malware", "phish", "pills", "poker", "porn",
          "replica", "scam", "sex", "slots", "spam", "torrent", "tracker", "viagra", "warez", "xxx")
@@ -109,6 +111,18 @@ def segmented(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.select("host", F.flatten(F.transform("rows", lambda r: r["words"])).alias("words"))
 
 
+def token_weights(tokens: DataFrame) -> DataFrame:
+    """(token, n, weight) of each distinct token of ``tokens`` (token, seeded): its count and its log odds of the class to block."""
+    each = tokens.groupBy("token").agg(F.count_if("seeded").alias("block"), F.count("*").alias("n"))
+    each = store(each, "token_counts")
+    sums = each.agg(F.count("*").alias("kinds"), F.sum("block").alias("block"), F.sum("n").alias("n")).first()
+    block, total = sums.block or 0, sums.n or 0
+    before = SEEN / max(1, sums.kinds)
+    share = lambda count, of: (count + F.lit(before)) / F.lit(of + SEEN)
+    weight = F.log(share(F.col("block"), block)) - F.log(share(F.col("n") - F.col("block"), total - block))
+    return each.select("token", "n", weight.alias("weight"))
+
+
 def url_filter(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", seeds: Sequence[str] = SEEDS) -> DataFrame:
     """(id, host, path, rule, verdict, score, words): a row per page.
 
@@ -128,27 +142,20 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id",
     tokens = F.filter(F.split(F.regexp_replace(F.lower("path"), "[0-9]+", "#"), "[^a-z#]+"), lambda t: t != "")
     known = urls.join(hosts, "host", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
     known = known.withColumn("seeded", F.arrays_overlap("words", F.array(*[F.lit(s) for s in seeds])))
-    bucket = lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int")
-    known = known.withColumn("buckets", F.transform(F.concat(F.transform("words", lambda w: F.concat(F.lit("host:"), w)), tokens), bucket))
-    scored = store(known, "tokens")
+    known = known.withColumn("tokens", F.concat(F.transform("words", lambda w: F.concat(F.lit("host:"), w)), tokens))
+    scored = store(known.withColumn("row", F.monotonically_increasing_id()), "tokens")
     sizes = {r.seeded: r.n for r in scored.groupBy("seeded").agg(F.count("*").alias("n")).collect()}  # two rows
-    table = np.full((2, BUCKETS), 16 / BUCKETS)  # 16 tokens of each class seen, spread over all buckets
-    for r in scored.select("seeded", F.explode("buckets").alias("b")).groupBy("seeded", "b").agg(F.count("*").alias("n")).collect():  # two rows per bucket at most
-        table[int(r.seeded), r.b] += r.n
-    table = np.log(table / table.sum(1, keepdims=True))
-    weight = table[1] - table[0]
     prior = float(np.log((sizes.get(True, 0) + 0.5) / (sizes.get(False, 0) + 0.5))) if sizes.get(True) else -np.inf
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("buckets")
-            at = lists.offsets.to_numpy()
-            sums = np.concatenate([[0], np.cumsum(weight[lists.flatten().to_numpy(zero_copy_only=False).astype(int)])])
-            score = sums[at[1:] - at[0]] - sums[at[:-1] - at[0]] + prior
-            yield pa.record_batch([*[batch.column(c) for c in ("id", "host", "path", "words")], pa.array(score)], ["id", "host", "path", "words", "score"])
-
-    kind = urls.schema["id"].dataType.simpleString()
-    judged = scored.select("id", "host", "path", "words", "buckets").mapInArrow(run, f"id {kind}, host string, path string, words array<string>, score double")
+    each = scored.select("row", "seeded", F.explode("tokens").alias("token"))
+    weights = store(token_weights(each), "weights")
+    total = weights.agg(F.sum("n")).first()[0] or 0
+    often = weights.filter(F.col("n") * OFTEN > total).select("token", "weight")  # fewer than OFTEN rows
+    rest = weights.filter(F.col("n") * OFTEN <= total).select("token", "weight")
+    met = each.join(F.broadcast(often.withColumnRenamed("weight", "known")), "token", "left").select("row", "token", "known")
+    met = met.filter("known is not null").select("row", F.col("known").alias("weight")).union(met.filter("known is null").join(rest, "token").select("row", "weight"))
+    # sorted, so that a sum does not depend on the order in which rows arrive
+    sums = met.groupBy("row").agg(F.aggregate(F.sort_array(F.collect_list("weight")), F.lit(0.0), lambda a, x: a + x).alias("sum"))
+    judged = scored.join(sums, "row", "left").withColumn("score", F.coalesce("sum", F.lit(0.0)) + F.lit(prior))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("score") > 0, "block").otherwise("allow")
     return judged.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "score", "words")

@@ -171,6 +171,22 @@ def test_url_query_matches_a_plain_version(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule) and (verdict is None or r.verdict == verdict)
 
 
+def test_token_weights_do_not_depend_on_the_number_of_other_tokens(spark):
+    """70,000 other words in paths of both classes; each word that is judged stands on two pages of one class."""
+    hosts = {True: "free-bets.example.com", False: "river-garden.example.com"}
+    slug = lambda n: "".join(chr(97 + n // 26**d % 26) for d in range(4))
+    many = [" ".join(slug(i) for i in range(p * 350, p * 350 + 350)).replace(" ", "/") for p in range(200)]
+    rows = [(i, f"http://{hosts[i % 4 == 0]}/{path}", "free bets river garden") for i, path in enumerate(many)]
+    rows += [(1000 + i, f"http://{hosts[i % 2 == 0]}/{'blockword' if i % 2 == 0 else 'allowword'}", "") for i in range(4)]
+    rows += [(2000, "http:///blockword", ""), (2001, "http:///allowword", "")]
+    got = {r.page_id: r.score for r in url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string"), []).collect()}
+    count = {True: 50 * (350 + 4) + 2 * 5, False: 150 * (350 + 4) + 2 * 5 + 2}
+    before = 16 / (70_000 + 6 + 2)
+    pages = math.log((52 + 0.5) / (154 + 0.5))
+    odds = lambda block, allow: math.log((block + before) / (count[True] + 16)) - math.log((allow + before) / (count[False] + 16)) + pages
+    assert got[2000] == pytest.approx(odds(2, 1)) and got[2001] == pytest.approx(odds(0, 3))
+
+
 # 10: WARC
 
 PAGES = [(1, "http://a/", "same"), (2, "http://b/\r\nx", "same"), (3, None, None), (4, "", ""), (5, "http://ü/", "ünï\x00\r\n\r\n"), (6, "u", "same"), (None, "u", "no id"), (7, "u", "x" * 3_000_000)]
