@@ -86,7 +86,7 @@ def _votes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     final = np.bincount(of, FINAL[data[ends - 1]], minlength=n)
     code, size = _codes(data, kind, starts, ends)
     common = np.bincount(of, _function_words(code, size), minlength=n)
-    same = (code[1:] == code[:-1]) & (size[1:] == size[:-1]) & (of[1:] == of[:-1])
+    same = _repeats(data, kind, starts, code, size) & (of[1:] == of[:-1])
     again = np.bincount(of[1:], same, minlength=n)
     runs = np.bincount(of[2:], same[1:] & same[:-1], minlength=n)
     some = np.maximum(words, 1)
@@ -121,6 +121,20 @@ def _codes(data: np.ndarray, kind: np.ndarray, starts: np.ndarray, ends: np.ndar
     return code & MASKS[np.minimum(size, 8)], size
 
 
+def _repeats(data: np.ndarray, kind: np.ndarray, starts: np.ndarray, code: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each word but the first is the one before it, in lower case: all its bytes count."""
+    same = (code[1:] == code[:-1]) & (size[1:] == size[:-1])
+    long = np.flatnonzero(same & (size[1:] > 8))
+    lower = lambda at: np.where(kind[at] == CAPITAL, data[at] | 32, data[at])
+    for part in np.split(long, np.flatnonzero(np.diff(np.cumsum(size[long]) >> 20)) + 1) if len(long) else []:
+        rest = size[part] - 8
+        begin = np.cumsum(rest) - rest
+        step = np.arange(rest.sum()) - np.repeat(begin, rest)
+        one, two = (np.repeat(starts[x] + 8, rest) + step for x in (part, part + 1))
+        same[part] = np.logical_and.reduceat(lower(one) == lower(two), begin)
+    return same
+
+
 def _function_words(code: np.ndarray, size: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(WORD_HASHES, code), len(WORD_HASHES) - 1)
     return (WORD_HASHES[at] == code) & (size <= 8)
@@ -195,7 +209,7 @@ def features(texts: pa.Array) -> np.ndarray:
         kind = CLASSES[data]
         solid = np.flatnonzero(np.diff((kind != SPACE).astype(np.int8), prepend=0, append=0))
         code, size = _codes(data, kind, solid[::2], solid[1::2])
-        out[i, BUCKETS] = np.count_nonzero((code[1:] == code[:-1]) & (size[1:] == size[:-1])) / max(40, len(code))
+        out[i, BUCKETS] = np.count_nonzero(_repeats(data, kind, solid[::2], code, size)) / max(40, len(code))
     return np.sqrt(out)
 
 

@@ -43,6 +43,19 @@ def test_quality_of_odd_rows(odd_docs, no_docs):
     assert quality.classify(no_docs).collect() == []
 
 
+def test_words_with_an_equal_start_are_no_repeats():
+    dates = "days: " + " ".join(f"2024-01-{d:02d}" for d in range(1, 29))
+    codes = " ".join(f"document{n:03d}" for n in range(40))
+    slavic = "программа программы программой программе программу программам программах программист"
+    again = " ".join(["Document001 document001, document001"] * 8)
+    long = f"{'x' * 3_000_000}a {'x' * 3_000_000}b {'x' * 3_000_000}b"
+    texts = pa.array([dates, codes, slavic, again, long])
+    votes, columns = quality.votes(texts), [quality.LABELLERS.index(name) for name in ("repeats", "runs")]
+    assert votes[:4, columns].tolist() == [[1, 1]] * 3 + [[-1, -1]]
+    shares = quality.features(texts)[:, quality.BUCKETS] ** 2
+    assert shares == pytest.approx([0, 0, 0, 23 / 40, 1 / 40])
+
+
 def test_labellers_are_weighed_by_their_accuracy():
     rng = np.random.default_rng(0)
     truth = rng.random(5000) < 0.8
