@@ -166,6 +166,19 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     return spark.read.schema(files.schema).parquet(f"{folder}/_manifest")
 
 
+class _Hashed:
+    """A stream that keeps the size and hash of what was read from it."""
+
+    def __init__(self, stream: object) -> None:
+        self.stream, self.bytes, self.sha256 = stream, 0, hashlib.sha256()
+
+    def read(self, size: int) -> bytes:
+        data = self.stream.read(size)
+        self.bytes += len(data)
+        self.sha256.update(data)
+        return data
+
+
 def _members(stream: object) -> Iterator[bytes]:
     """The decompressed gzip members of a stream, read a piece at a time."""
     inflate, out, rest = zlib.decompressobj(31), [], b""
@@ -202,19 +215,21 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """The records of all files of the manifest, one row each (see RECORD), with ``digest_ok``; a task per few files.
 
     A revisit's payload is null; its size and digest are those of the full payload. A file
-    whose bytes are not the manifest's fails the job.
+    whose bytes or records are not the manifest's fails the job once it has been read.
     """
-    files = spark.read.parquet(f"{folder}/_manifest").select("file", "sha256")
+    files = spark.read.parquet(f"{folder}/_manifest").select("file", "records", "bytes", "sha256")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         disk, root = fs.FileSystem.from_uri(folder)
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()),
                             ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("digest_ok", pa.bool_()), ("payload", pa.binary())])
         for batch in batches:
-            for name in batch.column("file").to_pylist():
-                rows, held = [], 0
+            for name, *said in zip(*(batch.column(c).to_pylist() for c in ("file", "records", "bytes", "sha256"))):
+                rows, held, records = [], 0, 0
                 with disk.open_input_stream(f"{root}/{name}", compression=None) as stream:
-                    for record in _members(stream):
+                    hashed = _Hashed(stream)
+                    for record in _members(hashed):
+                        records += 1
                         rows.append(parse(record))
                         if not payloads:
                             rows[-1] = (*rows[-1][:-1], None)
@@ -224,6 +239,8 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
                             rows, held = [], 0
                 if rows:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                if [records, hashed.bytes, hashed.sha256.hexdigest()] != said:
+                    raise ValueError(f"{name} is not the file of the manifest: {records} records, {hashed.bytes} bytes")
 
     spread = files.repartition(max(1, min(files.count(), 4096)), "file")
     return spread.mapInArrow(run, RECORD)

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import math
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -231,5 +232,16 @@ def test_changed_archives_are_noticed(spark, tmp_path):
     assert not warc.read(spark, f"file://{tmp_path}/a").first().digest_ok
 
 
+def test_a_file_cut_between_records_fails_the_job(spark, tmp_path):
+    table = spark.createDataFrame([(i, "u", f"text {i}") for i in range(3)], "page_id long, url string, html string")
+    name = warc.write(table, f"file://{tmp_path}/a").first().file
+    whole = (tmp_path / "a" / name).read_bytes()
+    inflate = zlib.decompressobj(31)
+    inflate.decompress(whole)
+    (tmp_path / "a" / name).write_bytes(whole[: len(whole) - len(inflate.unused_data)])
+    with pytest.raises(Exception, match="not the file of the manifest: 1 records"):
+        warc.read(spark, f"file://{tmp_path}/a").collect()
+
+
 def test_archive_of_no_pages(spark):
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
