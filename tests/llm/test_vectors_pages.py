@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import collections
 import hashlib
 import math
 import re
@@ -188,6 +189,42 @@ def test_token_weights_do_not_depend_on_the_number_of_other_tokens(spark):
     assert got[2000] == pytest.approx(odds(2, 1)) and got[2001] == pytest.approx(odds(0, 3))
 
 
+def plain_words(part: str, counts: collections.Counter, total: int) -> list[str]:
+    """The most probable words; of equal ways the one whose last words are longer."""
+    best = [(0.0, [])]
+    for end in range(1, len(part) + 1):
+        ways = []
+        for start in range(max(0, end - 24), end):
+            n, size = counts[part[start:end]], end - start
+            ways.append((best[start][0] + (math.log(n / total) if n else -math.log(total + 1) - size * math.log(10)), best[start][1] + [part[start:end]]))
+        best.append(max(ways, key=lambda w: w[0]))
+    return best[-1][1]
+
+
+def test_words_scores_and_verdicts_match_a_plain_version(spark):
+    runs = lambda text: [w for w in re.split("[^a-z]+", text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if w]
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    parts = {r.page_id: plain_url(r.url) for r in pages}
+    counts = collections.Counter(w for r in pages for w in runs(re.sub("<[^>]*>", " ", r.html or "")) if len(w) <= 24)
+    counts.update(w for h in {p[0] for p in parts.values()} for label in h.split(".") if "-" in label for w in runs(label) if len(w) <= 24)
+    total = sum(counts.values())
+    words = {i: [w for run in runs(p[0]) for w in plain_words(run, counts, total)] for i, p in parts.items()}
+    tokens = {i: ["host:" + w for w in words[i]] + [t for t in re.split("[^a-z#]+", re.sub("[0-9]+", "#", p[1].lower())) if t] for i, p in parts.items()}
+    seeded = {i: bool(set(w) & set(url_filter.SEEDS)) for i, w in words.items()}
+    seen = {c: collections.Counter(t for i in tokens if seeded[i] == c for t in tokens[i]) for c in (True, False)}
+    before = 16 / len(seen[True] | seen[False])
+    share = lambda t, c: math.log((seen[c][t] + before) / (sum(seen[c].values()) + 16))
+    odds = {t: share(t, True) - share(t, False) for t in seen[True] | seen[False]}
+    n = sum(seeded.values())
+    prior = math.log((n + 0.5) / (len(seeded) - n + 0.5)) if n else -math.inf
+    got = QUERIES["op8_url_filter"](spark, SF).collect()
+    assert len(got) == len(pages) == len(parts)
+    for r in got:
+        score = prior + sum(odds[t] for t in tokens[r.page_id])
+        assert r.words == words[r.page_id] and r.score == pytest.approx(score, abs=1e-9)
+        assert r.verdict == (parts[r.page_id][3] or ("block" if r.score > 0 else "allow"))
+
+
 # 10: WARC
 
 PAGES = [(1, "http://a/", "same"), (2, "http://b/\r\nx", "same"), (3, None, None), (4, "", ""), (5, "http://ü/", "ünï\x00\r\n\r\n"), (6, "u", "same"), (None, "u", "no id"), (7, "u", "x" * 3_000_000)]
