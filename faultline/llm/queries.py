@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import ann, bpe, line_dedup, near_dedup, packing, quality, token_files, topk, url_filter, warc
+from faultline.llm import ann, bpe, divergence, line_dedup, near_dedup, packing, quality, token_files, topk, url_filter, warc
 
 #: Where every executor has the public vocabulary.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -106,3 +106,24 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive(table(spark, sf_dir, "pages"), min_bytes=0)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+
+
+@query("op11_source_divergence", r"""
+with d as (select row_number() over () as row_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+tok as (select row_id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term, count(*) as total from tok group by lang, term having count(distinct row_id) >= 3),
+sized as (select lang, count(*) as v, sum(total) as n_lang from kept group by lang),
+counted as (select lang, source, term, count(*) as c from tok group by lang, source, term),
+grouped as (select distinct lang, source from d),
+dense as (select g.lang, g.source, k.term, coalesce(c.c, 0) as c, k.total from grouped g join kept k using (lang) left join counted c using (lang, source, term)),
+shares as (select lang, source, term, c, 1 + (1000000000::hugeint * (c + 1)) // (sum(c) over (partition by lang, source) + s.v)::hugeint as p,
+  1 + (1000000000::hugeint * (total + 1)) // (s.n_lang + s.v)::hugeint as q from dense join sized s using (lang)),
+pair as (select g.lang, g.source, 'pair' as part, o.source as item, coalesce(t.value, 0) as value from grouped g join grouped o on g.lang = o.lang and g.source <> o.source
+  left join (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value from shares a join shares b
+    on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source) t on t.lang = g.lang and t.source = g.source and t.item = o.source),
+own as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q)) // q as value from shares where c > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pair union all select * from own))
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from ranked where part = 'pair' or rank <= 200""")
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
