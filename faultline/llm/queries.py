@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import ann, bpe, divergence, line_dedup, near_dedup, packing, quality, token_files, topk, url_filter, warc
+from faultline.llm import ann, bpe, divergence, line_dedup, near_dedup, packing, quality, token_files, topk, toxicity, url_filter, warc
 
 #: Where every executor has the public vocabulary.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -127,3 +127,9 @@ ranked as (select *, row_number() over (partition by lang, source, part order by
 select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from ranked where part = 'pair' or rank <= 200""")
 def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op12_toxicity")
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
