@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import ann, bpe, divergence, line_dedup, near_dedup, packing, quality, token_files, topk, toxicity, url_filter, warc
+from faultline.llm import alignment, ann, bpe, divergence, line_dedup, near_dedup, packing, quality, token_files, topk, toxicity, url_filter, warc
 
 #: Where every executor has the public vocabulary.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY, PIECE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -133,3 +134,10 @@ def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op13_tokenizer_alignment")
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, PIECE_VOCABULARY)
+    spelled = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", spelled)
