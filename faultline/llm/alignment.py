@@ -24,7 +24,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import sentencepiece
 import tiktoken
 import zstandard
@@ -38,9 +37,9 @@ from faultline.llm.bpe import byte_alphabet
 from faultline.llm.frames import pieces, text_bytes
 from faultline.session import store
 
-PACK_BYTES = 4 << 20
+PACK_BYTES = 1 << 20
 #: Links that are laid out at once.
-LINKS = 2 << 20
+LINKS = 1 << 20
 #: Fixed value: how the byte-level vocabulary cuts text before it merges.
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 STORED = "pack long, ids array<{id}>, a_tokens array<int>, b_tokens array<int>, blob binary, pairs array<bigint>, docs array<int>"
@@ -60,17 +59,14 @@ class Names:
         return self.data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[ids] - ends + sizes, sizes)]
 
 
-def _young() -> regex.Pattern:
-    """Characters whose kind (letter, number, mark, space ...) is not the same in all versions of Unicode since 3.2."""
-    old, points = unicodedata.ucd_3_2_0.category, []
-    for point in range(sys.maxunicode + 1):
-        kind = old(chr(point))
-        if kind == "Cn" or kind[0] != unicodedata.category(chr(point))[0]:
-            if points and points[-1][1] == point - 1:
-                points[-1][1] = point
-            else:
-                points.append([point, point])
-    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in points) + "]")
+def _young() -> np.ndarray:
+    """Marks the code points that are not a letter, a number, a space or neither alike in all versions of Unicode since 3.2."""
+    kind = lambda category: category[0] if category[0] in "LNZ" else "other"
+    old, marks = unicodedata.ucd_3_2_0.category, np.zeros(sys.maxunicode + 1, bool)
+    for point in range(len(marks)):
+        was = old(chr(point))
+        marks[point] = was == "Cn" or kind(was) != kind(unicodedata.category(chr(point)))
+    return marks
 
 
 class ByteSide:
@@ -101,7 +97,7 @@ class ByteSide:
             self.fast, self.young = tiktoken.Encoding("byte_side", pat_str=CUT, mergeable_ranks=ranks, special_tokens={}), _young()
 
     def encode(self, text: str) -> np.ndarray:
-        if self.fast is None or (not text.isascii() and self.young.search(text)):
+        if self.fast is None or (not text.isascii() and self.young[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any()):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
 
@@ -176,6 +172,12 @@ def common_ends(ends_a: np.ndarray, ends_b: np.ndarray, at_a: np.ndarray, at_b:
     return tuple(np.sort(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in (in_a, in_b))
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """In order, each once; whole numbers from 0 on."""
+    values = np.sort(values)
+    return values[np.diff(values, prepend=-1) > 0]
+
+
 class Groups:
     """The groups of a pack: ids of both sides end to end, and where each group ends in them."""
 
@@ -191,13 +193,14 @@ class Groups:
         at = np.searchsorted(of, np.arange(self.n_docs + 1))
         return run[at[1:]] - run[at[:-1]]
 
+    def single(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the groups of one token on either side, and their id pairs."""
+        one = np.flatnonzero((self.many_a == 1) & (self.many_b == 1))
+        return one, self.a[self.cut_a[one]] << 16 | self.b[self.cut_b[one]]
+
     def links(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(document, id pair, how many links) in parts of bounded size, each with rising documents; a pair may come again."""
+        """(document, id pair, how many links) of the other groups in parts of bounded size, each with rising documents; a pair may come again."""
         made = self.many_a * self.many_b
-        one = np.flatnonzero(made == 1)
-        for lo in range(0, len(one), LINKS):
-            g = one[lo : lo + LINKS]
-            yield self.of[g], self.a[self.cut_a[g]] << 16 | self.b[self.cut_b[g]], np.ones(len(g), np.int64)
         several = np.flatnonzero((made > 1) & (made <= LINKS))
         total = np.cumsum(made[several])
         for part in np.split(several, np.flatnonzero(np.diff(total // LINKS)) + 1) if len(several) else []:
@@ -216,15 +219,17 @@ class Groups:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Each distinct id pair and how many documents hold it."""
-        held = np.zeros(0, np.int64)
+        one, pair = self.single()
+        held = _distinct(self.of[one] << 32 | pair)
         waiting, size = [], 0
         for of, pair, _ in self.links():
-            waiting.append(np.unique(of << 32 | pair))
+            waiting.append(_distinct(of << 32 | pair))
             size += len(waiting[-1])
             if size > max(4 * LINKS, 2 * len(held)):
-                held, waiting, size = np.unique(np.concatenate([held, *waiting])), [], 0
-        held = np.unique(np.concatenate([held, *waiting]))
-        return np.unique(held & 0xFFFFFFFF, return_counts=True)
+                held, waiting, size = _distinct(np.concatenate([held, *waiting])), [], 0
+        held = np.sort(_distinct(np.concatenate([held, *waiting])) & 0xFFFFFFFF)
+        first = np.flatnonzero(np.diff(held, prepend=-1))
+        return held[first], np.diff(np.append(first, len(held)))
 
     def spelled(self) -> pa.Array:
         """Each document's groups as text: ids joined by commas, sides by a bar, groups by semicolons."""
@@ -252,44 +257,70 @@ DIGITS = np.frombuffer(b"".join(str(i).encode().ljust(5, b"\0") for i in range(1
 def align_pack(texts: pa.Array, a_side: ByteSide, b_side: PieceSide) -> Groups:
     """Encode and align texts without nulls; a text that either side does not give back byte by byte has no tokens."""
     given = texts.to_pylist()
-    a = [a_side.encode(" " + t) if t else np.zeros(0, np.int64) for t in given]
-    b = b_side.encode(given)
+    many, flat = [], []
+    for ids in ([a_side.encode(" " + t) if t else np.zeros(0, np.int64) for t in given], b_side.encode(given)):
+        many.append(np.array([len(x) for x in ids], np.int64))
+        flat.append(np.concatenate([np.zeros(0, np.int64), *ids]))
     data, at = text_bytes(texts)
-    whole = np.zeros(len(data) + len(given), np.uint8)  # each text with a space before it
-    whole[np.arange(len(data)) + np.repeat(np.arange(1, len(given) + 1), np.diff(at))] = data
-    whole[at[:-1] + np.arange(len(given))] = ord(" ")
-    at = at + np.arange(len(given) + 1)
-    for side, ids in ((a_side, a), (b_side, b)):
-        for i, found in enumerate(ids):
-            if len(found) and not (len(b[i]) and np.array_equal(side.names.join(found), whole[at[i] : at[i + 1]])):
-                a[i] = b[i] = found[:0]
-    for i in range(len(given)):
-        if not len(a[i]) or not len(b[i]):
-            a[i] = b[i] = np.zeros(0, np.int64)
-    at_a, at_b = (np.concatenate([[0], np.cumsum([len(x) for x in ids])]) for ids in (a, b))
-    a, b = (np.concatenate([np.zeros(0, np.int64), *ids]) for ids in (a, b))
+    sizes = np.diff(at) + 1
+    good = sizes > 1
+    for side, n, ids in zip((a_side, b_side), many, flat):
+        run = np.concatenate([[0], np.cumsum(side.names.size[ids])])
+        good &= np.diff(run[np.concatenate([[0], np.cumsum(n)])]) == sizes
+    whole = np.full(sizes.sum(), ord(" "), np.uint8)  # each text with a space before it
+    starts = np.cumsum(sizes) - sizes
+    inner = np.ones(len(whole), bool)
+    inner[starts] = False
+    whole[inner] = data
+    for side, n, ids in zip((a_side, b_side), many, flat):
+        if side is a_side and a_side.fast is not None:
+            continue  # merged bytes: they are the text's if they are as many
+        back = side.names.join(ids[np.repeat(good, n)])
+        wrong = np.flatnonzero(back != whole[np.repeat(good, sizes)])
+        there = np.flatnonzero(good)
+        good[there[np.searchsorted(np.cumsum(sizes[there]), wrong, side="right")]] = False
+    many_a, many_b = (np.where(good, n, 0) for n in many)
+    a, b = (ids[np.repeat(good, n)] for ids, n in zip(flat, many))
+    at_a, at_b = (np.concatenate([[0], np.cumsum(n)]) for n in (many_a, many_b))
     cut_a, cut_b = common_ends(np.cumsum(a_side.names.size[a]), np.cumsum(b_side.names.size[b]), at_a, at_b)
     return Groups(a, b, at_a, at_b, cut_a, cut_b)
 
 
-def _pressed(groups: Groups) -> bytes:
-    """Ids as 16-bit numbers and ends of groups as bits, compressed."""
-    bits = []
-    for n, cut in ((len(groups.a), groups.cut_a), (len(groups.b), groups.cut_b)):
-        mark = np.zeros(n, bool)
-        mark[cut] = True
-        bits.append(np.packbits(mark).tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([groups.a.astype("<u2").tobytes(), groups.b.astype("<u2").tobytes(), *bits]))
-
-
-def _restored(blob: bytes, n_a: np.ndarray, n_b: np.ndarray) -> Groups:
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    at_a, at_b = (np.concatenate([[0], np.cumsum(n)]).astype(np.int64) for n in (n_a, n_b))
-    cuts = np.cumsum([0, 2 * at_a[-1], 2 * at_b[-1], -(-at_a[-1] // 8), -(-at_b[-1] // 8)])
-    part = [data[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
-    a, b = (p.view("<u2").astype(np.int64) for p in part[:2])
-    cut_a, cut_b = (np.flatnonzero(np.unpackbits(p, count=int(n))) for p, n in zip(part[2:], (at_a[-1], at_b[-1])))
-    return Groups(a, b, at_a, at_b, cut_a, cut_b)
+def _pressed(groups: Groups, pairs: np.ndarray) -> bytes:
+    """The groups, compressed: which have one token on either side, those as places in ``pairs``, then sizes and ids of the others."""
+    one, pair = groups.single()
+    alone = np.zeros(len(groups.cut_a), bool)
+    alone[one] = True
+    sizes = [x[~alone].astype("<u4") for x in (groups.many_a, groups.many_b)]
+    rest = [ids[~np.repeat(alone, many)].astype("<u2") for ids, many in ((groups.a, groups.many_a), (groups.b, groups.many_b))]
+    head = np.array([len(alone), len(one), len(rest[0]), len(rest[1])], "<i8")
+    parts = [head, np.packbits(alone), np.searchsorted(pairs, pair).astype("<u4" if len(pairs) > 1 << 16 else "<u2"), *sizes, *rest]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in parts))
+
+
+def _restored(blob: bytes, pairs: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[Groups, np.ndarray, np.ndarray]:
+    """What was compressed; places of the groups of one token on either side; their places in ``pairs``."""
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n, n_one, n_rest_a, n_rest_b = (int(x) for x in np.frombuffer(data, "<i8", 4))
+    at = 32
+
+    def take(kind: str, count: int) -> np.ndarray:
+        nonlocal at
+        found = np.frombuffer(data, kind, count, at)
+        at += found.nbytes
+        return found
+
+    alone = np.unpackbits(take("u1", -(-n // 8)), count=n).astype(bool)
+    places = take("<u4" if len(pairs) > 1 << 16 else "<u2", n_one).astype(np.int64)
+    many_a, many_b = np.ones(n, np.int64), np.ones(n, np.int64)
+    many_a[~alone], many_b[~alone] = take("<u4", n - n_one), take("<u4", n - n_one)
+    both = []
+    for many, count, ids in ((many_a, n_rest_a, pairs[places] >> 16), (many_b, n_rest_b, pairs[places] & 0xFFFF)):
+        mine = np.repeat(alone, many)
+        both.append(np.empty(len(mine), np.int64))
+        both[-1][mine], both[-1][~mine] = ids, take("<u2", count)
+    at_a, at_b = (np.concatenate([[0], np.cumsum(x)]).astype(np.int64) for x in (n_a, n_b))
+    return Groups(*both, at_a, at_b, np.cumsum(many_a) - 1, np.cumsum(many_b) - 1), np.flatnonzero(alone), places
 
 
 def _listed(values: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -312,7 +343,7 @@ def packs(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str) -> DataF
                 ids = part.column("id")
                 columns = [
                     pa.array([made], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), _listed(np.diff(groups.at_a), pa.int32()),
-                    _listed(np.diff(groups.at_b), pa.int32()), pa.array([_pressed(groups)], pa.binary()), _listed(pair, pa.int64()), _listed(held, pa.int32()),
+                    _listed(np.diff(groups.at_b), pa.int32()), pa.array([_pressed(groups, pair)], pa.binary()), _listed(pair, pa.int64()), _listed(held, pa.int32()),
                 ]
                 yield pa.record_batch(columns, schema.names)
                 made += 1
@@ -351,8 +382,8 @@ def align(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str, id_col:
         for batch in batches:
             for k in range(batch.num_rows):
                 n_a, n_b, pair, n, best = (_values(batch.column(c)[k]) for c in ("a_tokens", "b_tokens", "pairs", "n", "best"))
-                groups = _restored(batch.column("blob")[k].as_buffer(), n_a, n_b)
-                sums = np.zeros((3, groups.n_docs), np.int64)
+                groups, one, at = _restored(batch.column("blob")[k].as_buffer(), pair, n_a, n_b)
+                sums = np.stack([groups.per_doc(x, groups.of[one]) for x in (np.ones(len(one), np.int64), best[at], n[at])])
                 for of, key, times in groups.links():
                     at = np.searchsorted(pair, key)
                     sums += [groups.per_doc(x, of) for x in (times, times * best[at], times * n[at])]
