@@ -66,7 +66,7 @@ def sort_pointers(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tu
     new = np.ones(n, bool)
     new[1:] = keys[1:] != keys[:-1]
     open_ = np.arange(n)
-    for depth in range(1, n + 1):
+    for depth in range(1, DEEPEST + 1):
         run = np.cumsum(new[open_]) - 1  # a run is open as a whole or not at all
         longer = np.bincount(run, sizes[order[open_]] > 8 * depth) > 0
         longer &= np.bincount(run) > 1
@@ -82,8 +82,6 @@ def sort_pointers(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tu
         by = np.lexsort((keys, run))
         order[open_], keys = order[open_][by], keys[by]
         new[open_[1:]] |= keys[1:] != keys[:-1]
-        if depth == DEEPEST:
-            break
     return order, new
 
 
