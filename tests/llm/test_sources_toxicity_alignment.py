@@ -150,19 +150,24 @@ def plain_groups(text: str | None) -> list[tuple[list[int], list[int]]]:
     if not text:
         return []
     a, ids_b = A.encode(" " + text, add_special_tokens=False), B.encode(text)
-    bytes_a = [bytes(BYTES[c] for c in token) for token in a.tokens]
+    ids_a, bytes_a = a.ids, [bytes(BYTES[c] for c in token) for token in a.tokens]
     names = [B.id_to_piece(i) for i in ids_b]
     bytes_b = [bytes([int(p[3:5], 16)]) if B.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids_b, names)]
     if not b"".join(bytes_a) == b"".join(bytes_b) == (" " + text).encode():
         return []
     ends_a, ends_b = ({end: i + 1 for i, end in enumerate(itertools.accumulate(map(len, x)))} for x in (bytes_a, bytes_b))
     cuts = [(0, 0), *[(ends_a[c], ends_b[c]) for c in sorted(ends_a.keys() & ends_b.keys())]]
-    return [(a.ids[i:k], ids_b[j:m]) for (i, j), (k, m) in itertools.pairwise(cuts)]
+    return [(ids_a[i:k], ids_b[j:m]) for (i, j), (k, m) in itertools.pairwise(cuts)]
 
 
 def plain_alignment(texts: list[str | None]) -> list[tuple]:
     groups = [plain_groups(t) for t in texts]
-    links = [collections.Counter((x, y) for a, b in g for x in a for y in b) for g in groups]
+    links = []
+    for g in groups:
+        links.append(collections.Counter())
+        for a, b in g:
+            both = itertools.product(collections.Counter(a).items(), collections.Counter(b).items())  # a long text without a common end is one group
+            links[-1].update({(x, y): n * m for (x, n), (y, m) in both})
     held = collections.Counter(p for found in links for p in found)
     best: dict[int, int] = {}
     for (x, _), n in held.items():
