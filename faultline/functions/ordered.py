@@ -1,19 +1,23 @@
 """Order statistics, running sums and top-k that never sort a hot group in one task.
 
 A plain window over ``incident_id`` sends every row of one incident to one task.
-The helpers here first reduce each group to counts per bin with a map-side
-combine, order the bins, and then touch only the rows of one bin per target, so a
-key that holds a third of the table is still spread over the whole cluster.
+Ranks reduce each group to counts per bin with a map-side combine, order the bins,
+and touch only the rows of one bin per target. Whatever follows an order (positions,
+running sums, previous values, as-of look-ups) lays the rows out in range partitions
+over (keys, order), which Spark balances by rows: each partition's part of a group is
+swept alone, and totals per group and partition, which are few, carry over to the next
+ones. A key that holds a third of the table, or one second of it, is spread over the
+whole cluster all the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from faultline.functions.expr import as_col
-from faultline.session import checkpoint
+from faultline.session import checkpoint, store
 
 # Bins per e-fold of the value. A bin spans a relative width of 1.5e-5, so the
 # rows left to order exactly within one bin share almost five leading digits.
@@ -125,45 +129,60 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
     return both.withColumn(name, (F.col("_lo") + F.col("_hi")) / 2).drop("_lo", "_hi")
 
 
-def ordered_index(
-    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str | Column], out: str = "idx"
-) -> DataFrame:
-    """0-based position of each row in its group, ordered by ``bucket`` then ``order``.
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or (isinstance(kind, T.ArrayType) and _has_map(kind.elementType))
+
+
+def range_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """The rows with ``_part``, the range partition over (keys, order) they fall in; lower parts come first.
+
+    Parts are balanced by rows wherever their keys or times lie. Rows that are equal in
+    the order are told apart by a hash of the whole row, so only rows equal in every
+    column cannot be split. Nulls come first. The boundaries are sampled, so the result
+    is written once and every later step reads the same parts.
+    """
+    whole = [F.col(f"`{f.name}`") for f in df.schema.fields if not _has_map(f.dataType)]
+    spread = df.repartitionByRange(*[F.col(k) for k in keys], *[as_col(o) for o in order], F.xxhash64(*whole))
+    return store(spread.withColumn("_part", F.spark_partition_id()), "parts")
+
 
-    Offsets come from counts per (group, bucket); only one bucket is sorted at a
-    time. ``bucket`` must be the leading sort key. Keys and buckets may be null: nulls
-    are a key like any other, and a bucket that comes first.
+def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str = "idx") -> DataFrame:
+    """0-based position of each row in its group, in ``order``.
+
+    Offsets come from counts per group and part; only one part of a group is sorted at a
+    time. Keys and order may be null: a null key is a key like any other.
     """
     keys = list(keys)
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    laid = range_parts(df, keys, order)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_c"))
-        .select(*keys, bucket, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+        laid.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c"))
+        .select(*keys, "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
     )
-    inside = Window.partitionBy(*keys, bucket).orderBy(*[as_col(o) for o in order])
+    inside = Window.partitionBy(*keys, "_part").orderBy(*[as_col(o) for o in order])
     return (
-        null_safe_join(df, offsets, [*keys, bucket])
+        null_safe_join(laid, offsets, [*keys, "_part"])
         .withColumn(out, F.col("_off") + F.row_number().over(inside) - 1)
-        .drop("_off")
+        .drop("_off", "_part")
     )
 
 
-def running_sums(
-    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str | Column], sums: dict[str, Column]
-) -> DataFrame:
-    """Inclusive running sums in (bucket, order), by bucket totals plus a local window. Keys and buckets may be null."""
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sums: dict[str, Column]) -> DataFrame:
+    """Inclusive running sums in ``order``, by totals of parts plus a local window. Keys and order may be null."""
     keys = list(keys)
-    staged = df.select("*", *[c.alias(f"_x_{name}") for name, c in sums.items()])
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = staged.groupBy(*keys, bucket).agg(*[F.sum(f"_x_{n}").alias(f"_t_{n}") for n in sums])
+    laid = range_parts(df.select("*", *[c.alias(f"_x_{name}") for name, c in sums.items()]), keys, order)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = laid.groupBy(*keys, "_part").agg(*[F.sum(f"_x_{n}").alias(f"_t_{n}") for n in sums])
     carried = totals.select(
-        *keys, bucket, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
+        *keys, "_part", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
     )
     inside = (
-        Window.partitionBy(*keys, bucket).orderBy(*[as_col(o) for o in order])
+        Window.partitionBy(*keys, "_part").orderBy(*[as_col(o) for o in order])
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    joined = null_safe_join(staged, carried, [*keys, bucket])
+    joined = null_safe_join(laid, carried, [*keys, "_part"])
     return joined.select(
         *df.columns,
         *[(F.col(f"_o_{n}") + F.sum(f"_x_{n}").over(inside)).alias(n) for n in sums],
@@ -172,19 +191,18 @@ def running_sums(
 
 def top_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | Column, rank: str | None = None,
-    salt: Sequence[str] = (), salts: int = 64,
+    salt: Sequence[str] = (),
 ) -> DataFrame:
     """First ``k`` rows of each group.
 
     A small constant ``k`` lets Spark limit each group before the shuffle. Any
-    other ``k`` is applied to salted sub-groups first, so that no task orders more
-    than ``salts * k`` rows of a hot group.
+    other ``k`` is a bound on the position in the group, which :func:`ordered_index`
+    finds in parts, so that no task orders a hot group.
     """
     name = rank or "_rn"
     if not isinstance(k, int) or k > 1000:
-        spread = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in salt or df.columns]), F.lit(salts)))
-        partial = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = spread.withColumn("_rn0", F.row_number().over(partial)).where(F.col("_rn0") <= k).drop("_rn0", "_salt")
+        placed = ordered_index(df, keys, order, name).withColumn(name, F.col(name) + 1).where(F.col(name) <= k)
+        return placed.withColumn(name, F.col(name).cast("int")) if rank else placed.drop(name)
     full = Window.partitionBy(*keys).orderBy(*order)
     top = df.withColumn(name, F.row_number().over(full)).where(F.col(name) <= k)
     return top if rank else top.drop(name)
@@ -192,12 +210,12 @@ def top_per_group(
 
 def latest_before(
     probes: DataFrame, events: DataFrame, keys: Sequence[str], at: str, time: str, payload: Sequence[str],
-    strict: bool = False, tie: str | None = None, width: int = 3600,
+    strict: bool = False, tie: str | None = None,
 ) -> DataFrame:
     """As-of look-up: ``probes`` plus ``found`` (struct of ``payload``), the latest event at or before ``at``.
 
-    Events and probes are laid out together in time buckets and swept once, so no
-    pairs are formed; a bucket takes over the last event of the buckets before it.
+    Events and probes are laid out together in range parts and swept once, so no
+    pairs are formed; a part takes over the last event of the parts before it.
     Of events at the same time the smallest ``tie`` wins. ``strict`` excludes
     events at exactly ``at``. Every probe comes back: with a null key or a null ``at`` it
     finds nothing. Events with a null time are before no probe.
@@ -211,33 +229,36 @@ def latest_before(
         *keys, F.col(at).alias("_at"), F.lit(None).cast(moments.schema["_tie"].dataType).alias("_tie"),
         F.lit(None).cast(moments.schema["_item"].dataType).alias("_item"), F.struct(*probes.columns).alias("_row"))
     both = moments.withColumn("_row", F.col("_row").cast(asked.schema["_row"].dataType)).unionByName(asked)
-    both = both.withColumn("_bucket", F.floor(F.col("_at") / width)).withColumn("_probe", F.col("_row").isNotNull())
+    both = both.withColumn("_probe", F.col("_row").isNotNull())
     place = F.when(F.col("_probe"), 0 if strict else 2).otherwise(1)
-    sweep = (
-        Window.partitionBy(*keys, "_bucket").orderBy("_at", place, F.col("_tie").desc())
-        .rowsBetween(Window.unboundedPreceding, 0))
+    order = ["_at", place, F.col("_tie").desc()]
+    laid = range_parts(both, keys, order)
+    sweep = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     newest = F.min_by("_item", F.when(~F.col("_probe"), F.struct((-F.col("_at")).alias("a"), "_tie")))
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = both.groupBy(*keys, "_bucket").agg(newest.alias("_new")).select(
-        *keys, "_bucket", F.last("_new", ignorenulls=True).over(earlier).alias("_carried"))
-    swept = both.select(*keys, "_bucket", "_probe", "_row", F.last("_item", ignorenulls=True).over(sweep).alias("_here")).where("_probe")
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = laid.groupBy(*keys, "_part").agg(newest.alias("_new")).select(
+        *keys, "_part", F.last("_new", ignorenulls=True).over(earlier).alias("_carried"))
+    swept = laid.select(*keys, "_part", "_probe", "_row", F.last("_item", ignorenulls=True).over(sweep).alias("_here")).where("_probe")
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
-    met = null_safe_join(swept, carried, [*keys, "_bucket"])
+    met = null_safe_join(swept, carried, [*keys, "_part"])
     return met.select("_row.*", F.when(known, F.coalesce("_here", "_carried")).alias("found"))
 
 
-def previous_value(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Add ``prev_<column>``: the value on the row before, in (bucket, order).
+def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Add ``prev_<column>``: the value on the row before, in ``order``.
 
-    Windows stay inside one bucket; the first row of a bucket takes the last row of
-    the bucket before it. Keys and buckets may be null.
+    Windows stay inside one part; the first row of a group's part takes the last row of
+    its part before. Keys and order may be null.
     """
     keys = list(keys)
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order)
-    between = Window.partitionBy(*keys).orderBy(bucket)
-    ends = df.groupBy(*keys, bucket).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_end")).select(
-        *keys, bucket, F.lag("_end").over(between).alias("_end"))
-    staged = null_safe_join(df.withColumn("_before", F.lag(F.struct(*columns)).over(inside)), ends, [*keys, bucket])
-    return staged.select(*df.columns, *[F.coalesce(F.col(f"_before.{c}"), F.col(f"_end.{c}")).alias(f"prev_{c}") for c in columns])
+    laid = range_parts(df, keys, order)
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    between = Window.partitionBy(*keys).orderBy("_part")
+    ends = laid.groupBy(*keys, "_part").agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_end")).select(
+        *keys, "_part", F.lag("_end").over(between).alias("_end"))
+    marked = laid.withColumns({"_before": F.lag(F.struct(*columns)).over(inside), "_lead": F.row_number().over(inside) == 1})
+    staged = null_safe_join(marked, ends, [*keys, "_part"])
+    prev = F.when(F.col("_lead"), F.col("_end")).otherwise(F.col("_before"))
+    return staged.withColumn("_prev", prev).select(*df.columns, *[F.col(f"_prev.{c}").alias(f"prev_{c}") for c in columns])

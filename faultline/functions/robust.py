@@ -158,8 +158,7 @@ def _array_stats(points: DataFrame, keys: Sequence[str], order: Sequence[str]) -
 def _spread_stats(points: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The same statistics without arrays: positions, equi joins and exact ranks."""
     keys = list(keys)
-    chunk = F.floor(F.col(order[0]) / 3600).alias("chunk")
-    level = ordered_index(points.select(*keys, "side", *order, "value", chunk), [*keys, "side"], "chunk", [*order, "value"])
+    level = ordered_index(points.select(*keys, "side", *order, "value"), [*keys, "side"], [*order, "value"])
     level = level.select(*keys, "side", "idx", "value")
     shifted = level.select(*keys, "side", (F.col("idx") + 1).alias("idx"), F.col("value").alias("_prev"))
     slope = level.join(shifted, [*keys, "side", "idx"]).select(

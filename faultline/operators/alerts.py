@@ -25,22 +25,21 @@ def breaches(value: Column, comparison: Column, threshold: Column) -> Column:
         .when(comparison == "<", value < threshold).when(comparison == "<=", value <= threshold))
 
 
-def sustained_breaches(series: DataFrame, rules: DataFrame, chunk: int = 3600) -> DataFrame:
+def sustained_breaches(series: DataFrame, rules: DataFrame) -> DataFrame:
     """First run of breaching samples that lasts ``for_seconds``, per incident and rule.
 
     ``series``: incident_id, metric, time, value (several services allowed: the
     largest value per second counts). ``rules``: rule_id, metric, threshold,
     comparison, for_seconds, and whatever the alert should carry. A missing,
     infinite or non-breaching sample ends a run; runs are numbered by a running
-    sum of those ends, taken chunk by chunk.
+    sum of those ends, taken part by part.
     """
     top = series.groupBy("incident_id", "metric", "time").agg(F.max("value").alias("value"))
     judged = top.join(rules.select("rule_id", "metric", "threshold", "comparison", "for_seconds"), "metric")
     finite = ~F.isnan("value") & (F.abs("value") < float("inf"))
     hit = F.coalesce(finite & breaches(F.col("value"), F.col("comparison"), F.col("threshold")), F.lit(False))
-    points = judged.select("incident_id", "rule_id", "for_seconds", "time", "value", hit.alias("hit"),
-                           F.floor(F.col("time") / chunk).alias("chunk"))
-    runs = running_sums(points, ["incident_id", "rule_id"], "chunk", ["time"], {"run": (~F.col("hit")).cast("int")})
+    points = judged.select("incident_id", "rule_id", "for_seconds", "time", "value", hit.alias("hit"))
+    runs = running_sums(points, ["incident_id", "rule_id"], ["time"], {"run": (~F.col("hit")).cast("int")})
     spans = runs.where("hit").groupBy("incident_id", "rule_id", "run", "for_seconds").agg(
         F.min("time").alias("start"), F.max("time").alias("stop"), F.min_by("value", "time").alias("value"))
     return spans.where(F.col("stop") - F.col("start") >= F.col("for_seconds")).groupBy("incident_id", "rule_id").agg(

@@ -13,8 +13,6 @@ RED_METRICS = ("request_error_rate", "latency_p95_ms")
 # fixed values: absolute rise that counts as significant
 SIGNIFICANT_RISE = {"request_error_rate": 0.02, "latency_p95_ms": 100.0, "cpu_cores": 1.0}
 SERIES = ["incident_id", "service", "metric"]
-# Long series are ordered in chunks of this many seconds, never whole.
-CHUNK_SECONDS = 3600
 
 
 def significant_rise(metric: str | Column, pre: Column, post: Column) -> Column:
@@ -51,8 +49,7 @@ def sampled_series(
         F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"),
         F.max_by("value", F.struct("time", "value")).alias("last"), F.count(F.lit(1)).alias("count"),
     )
-    chunked = metrics.select(*SERIES, "time", "value", F.floor(F.col("time") / CHUNK_SECONDS).alias("chunk"))
-    indexed = ordered_index(chunked, SERIES, "chunk", ["time", "value"]).drop("chunk").join(summary, SERIES)
+    indexed = ordered_index(metrics.select(*SERIES, "time", "value"), SERIES, ["time", "value"]).join(summary, SERIES)
     # Point j is sampled when some i has floor(i * n / max_points) = j.
     step = F.col("count") / F.lit(float(max_points))
     guess = F.ceil(F.col("idx") / step)
@@ -89,8 +86,7 @@ def level_shift(metrics: DataFrame) -> DataFrame:
     """Split point that separates the means most, from running sums in one pass over time."""
     points = metrics.select(*SERIES, "time", "value")
     totals = points.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_n"), F.sum("value").alias("_sum"))
-    points = points.withColumn("chunk", F.floor(F.col("time") / CHUNK_SECONDS))
-    runs = running_sums(points, SERIES, "chunk", ["time", "value"], {"_k": F.lit(1), "_s": F.col("value")}).join(totals, SERIES)
+    runs = running_sums(points, SERIES, ["time", "value"], {"_k": F.lit(1), "_s": F.col("value")}).join(totals, SERIES)
     before_n = F.col("_k") - 1
     before = (F.col("_s") - F.col("value")) / F.nullif(before_n, F.lit(0))
     after = (F.col("_sum") - F.col("_s") + F.col("value")) / (F.col("_n") - before_n)
@@ -187,8 +183,7 @@ def counter_rate(points: DataFrame, bucket: int = 60, scale: float = 1e9) -> Dat
     value is the increase since it.
     """
     keys = ["incident_id", "container"]
-    chunked = points.select(*keys, "time", "value", F.floor(F.col("time") / CHUNK_SECONDS).alias("chunk"))
-    steps = previous_value(chunked, keys, "chunk", ["time", "value"], ["time", "value"]).where(F.col("prev_value").isNotNull())
+    steps = previous_value(points.select(*keys, "time", "value"), keys, ["time", "value"], ["time", "value"]).where(F.col("prev_value").isNotNull())
     increase = F.when(F.col("value") < F.col("prev_value"), F.col("value")).otherwise(F.col("value") - F.col("prev_value"))
     return steps.groupBy(*keys, (F.floor(F.col("time") / bucket) * bucket).alias("time")).agg(
         (F.sum(increase) / F.nullif(F.sum(steps["time"] - F.col("prev_time")), F.lit(0)) / scale).alias("cpu_cores"))
@@ -237,12 +232,6 @@ def chart_series(spans: DataFrame, points: DataFrame, bucket: int = 15) -> DataF
     return long.unionByName(errors.withColumn("series", F.lit("err")))
 
 
-def chart_arrays(series: DataFrame) -> DataFrame:
-    """Chart series folded to sorted point arrays, one row per service and series."""
-    return series.groupBy("incident_id", "service", "series").agg(
-        F.array_sort(F.collect_list(F.struct("t", "value"))).alias("points"))
-
-
 def trailing_health(
     spans: DataFrame, points: DataFrame, now: DataFrame, cpu_window: int = 90, error_window: int = 120
 ) -> DataFrame:

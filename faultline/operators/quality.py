@@ -36,7 +36,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
-    return ordered_index(raw, ["path"], "split", ["seq"]).select(
+    return ordered_index(raw, ["path"], ["split", "seq"]).select(
         "path", (F.col("idx") + 1).alias("line_number"), "line")
 
 

@@ -410,8 +410,8 @@ def span_tree(spans: DataFrame, traces: DataFrame) -> DataFrame:
     wanted = traces.select("incident_id", "trace_id").distinct()
     picked = spans.join(wanted, ["incident_id", "trace_id"], "left_semi")
     placed = paths.tree_paths(picked, ["incident_id", "trace_id"])
-    rows = picked.join(placed, ["incident_id", "trace_id", "span_id"]).withColumn("_top", F.slice("path", 1, 2))
-    indexed = ordered_index(rows, ["incident_id", "trace_id"], "_top", ["path"], "position")
+    rows = picked.join(placed, ["incident_id", "trace_id", "span_id"])
+    indexed = ordered_index(rows, ["incident_id", "trace_id"], ["path"], "position")
     return indexed.select(
         "incident_id", "trace_id", "position", "depth", "span_id", "service", "operation",
         F.lower("span_kind").alias("span_kind"), "status", "duration_ms",

@@ -48,11 +48,11 @@ def log_records(logs: DataFrame, base_ms: int) -> DataFrame:
 def payloads(records: DataFrame, signal: str, batch: int = 2000) -> DataFrame:
     """Payload documents (incident_id, service, batch, doc) of at most ``batch`` records in time order.
 
-    Batches are numbered from counts per second, so a busy service yields more
+    Batches are numbered from counts per range part, so a busy service yields more
     documents, never a larger one.
     """
     keys = ["incident_id", "service", *(["metric"] if signal == "metrics" else [])]
-    placed = ordered_index(records.withColumn("j", F.to_json("record")), keys, "time", ["j"])
+    placed = ordered_index(records.withColumn("j", F.to_json("record")), keys, ["time", "j"])
     packed = placed.groupBy(*keys, F.floor(F.col("idx") / batch).alias("batch")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("idx", "record"))), lambda s: s["record"]).alias("r"))
     resource = _resource(F.col("service"))

@@ -14,20 +14,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.functions.ordered import null_safe_join, ordered_index, top_per_group
 
-CHUNK_SECONDS = 60
-
 
 def priority_downsample(rows: DataFrame, priority: Column, cap: int, order: Sequence[str | Column], time: str = "time") -> DataFrame:
     """At most ``cap`` rows per incident: priority rows first, then evenly spaced others.
 
-    ``order`` ranks rows within a second. Positions come from counts per time
-    chunk, so a large incident is never sorted in one task. Row j of the rest is
+    ``order`` ranks rows within a second. Positions come from counts per range
+    part, so a large incident, or a second of it, is never sorted in one task. Row j of the rest is
     taken when some i has floor(i * step) = j.
     """
     keys = ["incident_id", "_pri"]
-    tagged = rows.withColumn("_pri", F.coalesce(priority, F.lit(False))).withColumn("_chunk", F.floor(F.col(time) / CHUNK_SECONDS))
+    tagged = rows.withColumn("_pri", F.coalesce(priority, F.lit(False)))
     sizes = tagged.groupBy("incident_id").agg(F.count(F.lit(1)).alias("_all"), F.count_if("_pri").alias("_top"))
-    placed = null_safe_join(ordered_index(tagged, keys, "_chunk", [time, *order], "_i"), sizes, ["incident_id"])
+    placed = null_safe_join(ordered_index(tagged, keys, [time, *order], "_i"), sizes, ["incident_id"])
     room = F.lit(cap) - F.col("_top")
     rest = F.col("_all") - F.col("_top")
     step = rest / F.nullif(room.cast("double"), F.lit(0.0))
@@ -73,7 +71,7 @@ def whole_trace_sample(spans: DataFrame, cap: int) -> DataFrame:
     fits = crowded.where((F.col("size") <= cap) | first)
     order = [F.col("calm"), F.col("trace_id")]
     quota = F.greatest(F.lit(1), F.floor(F.lit(cap) / F.col("size")))
-    bounded = top_per_group(fits, ["incident_id", "size"], order, quota, salt=["trace_id"])
+    bounded = top_per_group(fits, ["incident_id", "size"], order, quota)
     slim = bounded.select("incident_id", "trace_id", F.col("size").cast("long"), F.col("calm").cast("int"))
     run = _fill(cap)
     chosen = slim.groupBy("incident_id").applyInPandas(
@@ -93,5 +91,5 @@ def bucketed_pull(rows: DataFrame, incidents: DataFrame, limit: int, order: Sequ
         F.col("time").between(F.col("window_start"), F.col("window_end"))).withColumn("slot", slot).drop("window_start", "window_end")
     share = max(1, -(-limit // buckets))
     ordering = [F.col("time"), *[F.col(o) if isinstance(o, str) else o for o in order]]
-    pulled = top_per_group(inside, ["incident_id", "slot"], ordering, share, salt=[doc_id])
+    pulled = top_per_group(inside, ["incident_id", "slot"], ordering, share)
     return top_per_group(pulled, ["incident_id", doc_id], [F.col("slot"), *ordering], 1)

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.functions.ordered import exact_median, exact_p95, latest_before, ordered_index, previous_value, running_sums, top_per_group
+from faultline.functions.ordered import exact_median, exact_p95, latest_before, ordered_index, previous_value, range_parts, running_sums, top_per_group
 
 
 @pytest.fixture(scope="module")
@@ -51,13 +51,13 @@ def test_index_and_running_sums_match_a_sort(spark):
     data = [("k", rng.randrange(50), i, rng.random()) for i in range(500)]
     df = spark.createDataFrame(data, "k string, b int, i int, v double").repartition(5)
     order = sorted(data, key=lambda r: (r[1], r[2]))
-    got = {r.i: r.idx for r in ordered_index(df, ["k"], "b", ["i"]).collect()}
+    got = {r.i: r.idx for r in ordered_index(df, ["k"], ["b", "i"]).collect()}
     assert got == {r[2]: n for n, r in enumerate(order)}
     total, want = 0.0, {}
     for r in order:
         total += r[3]
         want[r[2]] = total
-    sums = {r.i: r.s for r in running_sums(df, ["k"], "b", ["i"], {"s": F.col("v")}).collect()}
+    sums = {r.i: r.s for r in running_sums(df, ["k"], ["b", "i"], {"s": F.col("v")}).collect()}
     assert all(abs(sums[i] - want[i]) < 1e-9 for i in want)
 
 
@@ -83,9 +83,9 @@ NULLS = [("k", 1, 1, 10.0), ("k", None, 2, 20.0), (None, 1, 3, 30.0), (None, Non
 
 def test_helpers_keep_rows_with_null_keys_and_buckets(spark):
     df = spark.createDataFrame(NULLS, "k string, b int, i int, v double")
-    assert {r.i: r.idx for r in ordered_index(df, ["k"], "b", ["i"]).collect()} == {2: 0, 1: 1, 5: 2, 4: 0, 3: 1, 6: 2}
-    assert {r.i: r.s for r in running_sums(df, ["k"], "b", ["i"], {"s": F.col("v")}).collect()} == {2: 20.0, 1: 30.0, 5: 80.0, 4: 40.0, 3: 70.0, 6: 130.0}
-    assert {r.i: r.prev_v for r in previous_value(df, ["k"], "b", ["i"], ["v"]).collect()} == {2: None, 1: 20.0, 5: 10.0, 4: None, 3: 40.0, 6: 30.0}
+    assert {r.i: r.idx for r in ordered_index(df, ["k"], ["b", "i"]).collect()} == {2: 0, 1: 1, 5: 2, 4: 0, 3: 1, 6: 2}
+    assert {r.i: r.s for r in running_sums(df, ["k"], ["b", "i"], {"s": F.col("v")}).collect()} == {2: 20.0, 1: 30.0, 5: 80.0, 4: 40.0, 3: 70.0, 6: 130.0}
+    assert {r.i: r.prev_v for r in previous_value(df, ["k"], ["b", "i"], ["v"]).collect()} == {2: None, 1: 20.0, 5: 10.0, 4: None, 3: 40.0, 6: 30.0}
 
 
 def test_probes_with_nulls_come_back_without_a_find(spark):
@@ -93,3 +93,56 @@ def test_probes_with_nulls_come_back_without_a_find(spark):
     probes = spark.createDataFrame([(1, "a", 9), (2, None, 9), (3, "a", None), (4, "b", 9), (5, "a", 4), (6, "a", 999_999)], "p int, k string, at long")
     got = {r.p: r.found and r.found.id for r in latest_before(probes, events, ["k"], "at", "t", ["id"]).collect()}
     assert got == {1: "x", 2: None, 3: None, 4: None, 5: None, 6: "x"}
+
+
+@pytest.fixture
+def small_parts(spark):
+    """Parts of a few kilobytes, so that a small table has many."""
+    names = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield 8
+    for n, v in old.items():
+        spark.conf.set(n, v)
+
+
+def test_one_key_and_one_second_are_spread_over_all_parts(spark, small_parts):
+    df = spark.range(20_000).select(F.lit("hot").alias("k"), F.lit(5).alias("t"), (F.col("id") % 7).alias("v"), F.col("id").alias("i"))
+    laid = range_parts(df, ["k"], ["t", "v"])
+    sizes = [r["count"] for r in laid.groupBy("_part").count().collect()]
+    assert len(sizes) == small_parts and max(sizes) <= 2 * 20_000 / small_parts
+    bounds = sorted((r.lo, r.hi) for r in laid.groupBy("_part").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
+    assert all(a[1] <= b[0] for a, b in zip(bounds, bounds[1:]))
+
+
+def test_helpers_carry_over_parts_of_one_second(spark, small_parts):
+    rng = random.Random(5)
+    data = [(rng.choice(["hot", "hot", "hot", "cold", None]), 5 if n % 3 else n % 50, n, float(n % 11)) for n in range(3000)]
+    df = spark.createDataFrame(data, "k string, t int, i int, v double").withColumn("m", F.create_map(F.lit("a"), F.col("i")))
+    want = {}
+    for key in {d[0] for d in data}:
+        total, before = 0.0, None
+        for n, d in enumerate(sorted((d for d in data if d[0] == key), key=lambda d: (d[1], d[2]))):
+            total += d[3]
+            want[d[2]] = (n, total, before)
+            before = d[3]
+    order = ["t", "i"]
+    assert {r.i: r.idx for r in ordered_index(df, ["k"], order).collect()} == {i: w[0] for i, w in want.items()}
+    assert {r.i: r.s for r in running_sums(df, ["k"], order, {"s": F.col("v")}).collect()} == {i: w[1] for i, w in want.items()}
+    assert {r.i: r.prev_v for r in previous_value(df, ["k"], order, ["v"]).collect()} == {i: w[2] for i, w in want.items()}
+    top = top_per_group(df, ["k"], [F.col("t"), F.col("i")], F.lit(700), rank="r")
+    assert {r.i: r.r for r in top.collect()} == {i: w[0] + 1 for i, w in want.items() if w[0] < 700}
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_as_of_over_parts_of_one_second(spark, small_parts, strict):
+    rng = random.Random(6)
+    events = [("hot" if n % 4 else "cold", 5 if n % 2 else rng.randrange(40), n) for n in range(1500)]
+    probes = [(n, rng.choice(["hot", "cold", "none"]), rng.choice([5, 6, rng.randrange(45)])) for n in range(1500)]
+    found = latest_before(
+        spark.createDataFrame(probes, "p int, k string, at int"), spark.createDataFrame(events, "k string, t int, id int"), ["k"], "at", "t", ["t", "id"], strict=strict, tie="id")
+    got = {r.p: r.found and tuple(r.found) for r in found.collect()}
+    for p, k, at in probes:
+        known = [(t, i) for key, t, i in events if key == k and (t < at if strict else t <= at)]
+        assert got[p] == (max(known, key=lambda e: (e[0], -e[1])) if known else None)
