@@ -23,13 +23,13 @@ def transitive_closure(
     if starts is not None:
         frontier = frontier.join(starts.select("incident_id", "node").distinct(), ["incident_id", "node"], "left_semi")
     frontier = checkpoint(frontier)
-    seen = frontier
+    seen = frontier  # grows as a union of stored rounds; none is written twice
     while not frontier.isEmpty():
         step = frontier.join(
             links.select("incident_id", F.col("src").alias("reached"), "dst"), ["incident_id", "reached"]
         ).select("incident_id", "node", F.col("dst").alias("reached")).distinct()
         frontier = checkpoint(step.join(seen, ["incident_id", "node", "reached"], "left_anti"))
-        seen = checkpoint(seen.unionByName(frontier)) if not frontier.isEmpty() else seen
+        seen = seen.unionByName(frontier)
     return seen if keep_self else seen.where(F.col("node") != F.col("reached"))
 
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from faultline.session import checkpoint
+from faultline.session import checkpoint, store
 
 
 def _climb(nodes: DataFrame, keys: Sequence[str], carry: Sequence[str] = ("top", "seg")) -> tuple[DataFrame, bool]:
@@ -98,6 +98,32 @@ def span_depths(spans: DataFrame) -> DataFrame:
     return ids.join(depths, [*keys, "span_id"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
 
 
+def leaf_depths(leaves: DataFrame, spans: DataFrame, climbs: int = 16) -> DataFrame:
+    """(incident_id, span_id, depth) of ``leaves``: parent hops inside the incident, by climbing from the leaves.
+
+    Each round joins the leaves that still climb to their ancestors' parents, so no span
+    is read into a result that is not an ancestor of a leaf, and a round's rows are
+    written once. Leaves that still climb after ``climbs`` rounds are very deep or run
+    into a cycle; pointer doubling over their incidents tells their depths.
+    """
+    keys = ["incident_id"]
+    start = leaves.select(*keys, "span_id", "parent_span_id").distinct()
+    touched = leaves.select(*keys).distinct()
+    links = store(spans.join(touched, keys, "left_semi").select(*keys, F.col("span_id").alias("anc"), F.col("parent_span_id").alias("_next")).distinct(), "links")
+    climbed = start.select(*keys, "span_id", F.lit(0).cast("long").alias("depth"))
+    live = start.select(*keys, "span_id", F.col("parent_span_id").alias("anc")).where(F.col("anc").isNotNull())
+    for hop in range(1, climbs + 1):
+        step = store(live.join(links, [*keys, "anc"]).select(*keys, "span_id", F.col("_next").alias("anc")).distinct(), "climb")
+        climbed = climbed.unionByName(step.select(*keys, "span_id", F.lit(hop).cast("long").alias("depth")))
+        live = step.where(F.col("anc").isNotNull())
+        if live.isEmpty():
+            return climbed.groupBy(*keys, "span_id").agg(F.max("depth").alias("depth"))
+    rest = live.select(*keys, "span_id").distinct()
+    known = climbed.join(rest, [*keys, "span_id"], "left_anti").groupBy(*keys, "span_id").agg(F.max("depth").alias("depth"))
+    doubled = span_depths(spans.join(rest.select(*keys).distinct(), keys, "left_semi"))
+    return known.unionByName(doubled.join(rest, [*keys, "span_id"], "left_semi").distinct())
+
+
 def tree_paths(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, span_id, depth, path) where sorting by ``path`` lists each tree depth first.
 

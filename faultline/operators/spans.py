@@ -238,10 +238,8 @@ def edge_shifts(resolved: DataFrame, incidents: DataFrame) -> DataFrame:
     ).withColumn("shift_ms", F.col("post_p95_ms") - F.col("pre_p95_ms"))
 
 
-def edge_latency_origin(
-    spans: DataFrame, incidents: DataFrame, min_shift_ms: float = 50.0, resolved: DataFrame | None = None
-) -> DataFrame:
-    """Service that best explains slower call edges, and whether the slowdown is in its code.
+def _explanations(shifts: DataFrame, min_shift_ms: float) -> tuple[DataFrame, DataFrame]:
+    """The degraded edges, and per incident the service that explains most of them.
 
     An edge is explained by X when it enters X, leaves X, or its callee reaches X
     over degraded edges. Reachability is an equi join against the closure of the
@@ -249,7 +247,6 @@ def edge_latency_origin(
     """
     from faultline.operators.graph import transitive_closure
 
-    shifts = checkpoint(edge_shifts(resolved if resolved is not None else resolve_callees(spans), incidents))
     degraded = shifts.where((F.col("shift_ms") >= min_shift_ms) & (F.col("post_samples") > 0))
     reach = transitive_closure(degraded.select("incident_id", "caller", "callee"), keep_self=True)
     into = degraded.groupBy("incident_id", F.col("callee").alias("x")).agg(
@@ -275,8 +272,21 @@ def edge_latency_origin(
         .withColumn("coverage", F.col("inbound") / F.col("all_callers"))
     )
     order = [F.col(c).desc() for c in ("explained_ratio", "coverage", "inbound", "_loudest")] + [F.col("x")]
-    best = top_per_group(scored, ["incident_id"], order, 1)
-    servers = with_onset(spans.where(kind_is("server")), incidents).withColumn("after", F.col("time") >= F.col("onset_second"))
+    return degraded, checkpoint(top_per_group(scored, ["incident_id"], order, 1))
+
+
+def edge_latency_origin(
+    spans: DataFrame, incidents: DataFrame, min_shift_ms: float = 50.0, resolved: DataFrame | None = None
+) -> DataFrame:
+    """Service that best explains slower call edges, and whether the slowdown is in its code.
+
+    Only the chosen services' server spans are ranked, one service per incident.
+    """
+    shifts = checkpoint(edge_shifts(resolved if resolved is not None else resolve_callees(spans), incidents))
+    _, best = _explanations(shifts, min_shift_ms)
+    chosen = best.select("incident_id", F.col("x").alias("service"))
+    servers = spans.where(kind_is("server")).join(chosen, ["incident_id", "service"], "left_semi")
+    servers = with_onset(servers, incidents).select("incident_id", "service", "duration_ms", (F.col("time") >= F.col("onset_second")).alias("after"))
     own = exact_p95(servers, ["incident_id", "service", "after"]).groupBy("incident_id", F.col("service").alias("x")).agg(
         (F.coalesce(F.max(F.when(F.col("after"), F.col("p95"))), F.lit(0.0))
          - F.coalesce(F.max(F.when(~F.col("after"), F.col("p95"))), F.lit(0.0))).alias("own_shift_ms")
@@ -304,6 +314,30 @@ def edge_latency_origin(
     )
 
 
+def edge_roles(
+    spans: DataFrame, incidents: DataFrame, min_shift_ms: float = 50.0, resolved: DataFrame | None = None
+) -> DataFrame:
+    """What every degraded edge is to the origin of its incident: a row each.
+
+    ``role``: ``own_outbound`` leaves the origin, ``into_origin`` enters it,
+    ``victim_path`` reaches it over other degraded edges, and ``not_explained`` does
+    none of these. The first that holds counts.
+    """
+    from faultline.operators.graph import transitive_closure
+
+    shifts = checkpoint(edge_shifts(resolved if resolved is not None else resolve_callees(spans), incidents))
+    degraded, best = _explanations(shifts, min_shift_ms)
+    origin = best.select("incident_id", F.col("x").alias("origin_service"))
+    upstream = transitive_closure(
+        degraded.select("incident_id", "caller", "callee"), reverse=True, starts=origin.withColumnRenamed("origin_service", "node"), keep_self=True
+    ).select("incident_id", F.col("reached").alias("callee"), F.lit(True).alias("_leads")).distinct()
+    judged = degraded.join(origin, "incident_id").join(upstream, ["incident_id", "callee"], "left")
+    role = (
+        F.when(F.col("caller") == F.col("origin_service"), "own_outbound").when(F.col("callee") == F.col("origin_service"), "into_origin")
+        .when(F.col("_leads"), "victim_path").otherwise("not_explained"))
+    return judged.select("incident_id", "origin_service", "caller", "callee", "shift_ms", role.alias("role"))
+
+
 def degraded_edges(
     spans: DataFrame, incidents: DataFrame, min_shift_ms: float = 50.0, limit: int = 20, resolved: DataFrame | None = None
 ) -> DataFrame:
@@ -359,20 +393,35 @@ def error_summary(spans: DataFrame, start: int | None = None, resolved: DataFram
     ).agg(F.count(F.lit(1)).alias("error_count"), F.min(span_order()).alias("first_seen"))
 
 
+def resolve_picked(picked: DataFrame, spans: DataFrame) -> DataFrame:
+    """:func:`resolve_callees` for a few spans: only their own children are read from ``spans``."""
+    asked = picked.select("incident_id", F.col("span_id").alias("parent_span_id")).distinct()
+    children = spans.where(kind_is("server")).join(asked, ["incident_id", "parent_span_id"], "left_semi")
+    first = children.groupBy("incident_id", F.col("parent_span_id").alias("span_id")).agg(F.min_by("service", span_order()).alias("_child"))
+    named = F.col("operation")
+    if "rpc_method" in picked.columns:
+        named = F.coalesce(F.nullif(F.col("rpc_method"), F.lit("")), named)
+    return picked.join(first, ["incident_id", "span_id"], "left").withColumn("callee", F.coalesce("_child", rpc_callee(named))).drop("_child")
+
+
 def error_origin(spans: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
-    """Vote of the deepest error spans without an erroring child: a service or an edge."""
-    base = resolved if resolved is not None else resolve_callees(spans)
-    errors = store(base.where(is_error()), "errors")
+    """Vote of the deepest error spans without an erroring child: a service or an edge.
+
+    Depths come from climbing from these spans alone, and only the spans that vote have
+    their callees looked up.
+    """
+    errors = store((resolved if resolved is not None else spans).where(is_error()), "errors")
     parents = errors.where(F.col("parent_span_id").isNotNull()).select(
         "incident_id", F.col("parent_span_id").alias("span_id")
     ).distinct()
     frontier = errors.join(parents, ["incident_id", "span_id"], "left_anti")
     covered = frontier.select("incident_id").distinct()
-    leaves = frontier.unionByName(errors.join(covered, "incident_id", "left_anti"))
-    depths = paths.span_depths(spans.join(errors.select("incident_id").distinct(), "incident_id", "left_semi"))
-    deep = leaves.join(depths, ["incident_id", "span_id"])
+    leaves = store(frontier.unionByName(errors.join(covered, "incident_id", "left_anti")), "leaves")
+    deep = leaves.join(paths.leaf_depths(leaves, spans), ["incident_id", "span_id"])
     deepest = deep.groupBy("incident_id").agg(F.max("depth").alias("depth"))
     picked = checkpoint(deep.join(deepest, ["incident_id", "depth"]))
+    if resolved is None:
+        picked = checkpoint(resolve_picked(picked, spans))
     servers = (
         errors.where(kind_is("server"))
         .select("incident_id", F.col("service").alias("callee"), F.lit(True).alias("_fails")).distinct()

@@ -190,6 +190,16 @@ def _(t: Telemetry) -> DataFrame:
         round6(c).alias(c) for c in ("explained_ratio", "coverage", "own_shift_ms")])
 
 
+@query("t4_edge_roles", with_views("spans", "incidents", extra=_EXPLAIN, body="""
+select d.incident_id, b.x as origin_service, d.caller, d.callee, round(d.ms, 6) as shift_ms,
+  case when d.caller = b.x then 'own_outbound' when d.callee = b.x then 'into_origin'
+    when exists (select 1 from reach r where r.incident_id = d.incident_id and r.node = d.callee and r.reached = b.x) then 'victim_path'
+    else 'not_explained' end as role
+from deg d join best b on b.incident_id = d.incident_id and b.r = 1"""))
+def _(t: Telemetry) -> DataFrame:
+    return spans.edge_roles(t.spans, t.incidents, min_shift_ms=20.0).withColumn("shift_ms", round6("shift_ms"))
+
+
 @query("t5_emission_gaps", with_views("spans", "incidents", extra={
     "active": "select distinct incident_id, service, cast(floor(time/600) as bigint) as b from spans",
     "nexts": """select *, lead(b) over (partition by incident_id, service order by b) as nxt,

@@ -150,3 +150,30 @@ def test_shortest_path_is_least_by_name(spark, edges):
     targets = spark.createDataFrame([("i", "e"), ("i", "nowhere")], "incident_id string, target string")
     got = {r.target: (r.path, r.found) for r in graph.critical_path(edges, targets, source="a").collect()}
     assert got == {"e": (["a", "b", "d", "e"], True), "nowhere": ([], False)}
+
+
+def test_leaf_depths_agree_with_the_depths_of_all_spans(spark, make_spans):
+    chain = [(f"d{i}", f"d{i - 1}" if i else None, i, "web", "server", 1, "OK", "op") for i in range(40)]
+    ring = [(f"r{i}", f"r{(i + 1) % 3}", i, "web", "server", 1, "OK", "op") for i in range(3)] + [("tail", "r0", 9, "web", "server", 1, "OK", "op")]
+    few = [("top", None, 0, "web", "server", 1, "OK", "op"), ("mid", "top", 1, "web", "server", 1, "OK", "op"), ("low", "mid", 2, "web", "server", 1, "OK", "op"),
+           ("lost", "nowhere", 3, "web", "server", 1, "OK", "op")]
+    df = make_spans(chain + ring + few)
+    asked = ["d39", "d16", "d17", "d3", "tail", "r1", "low", "top", "lost"]
+    all_depths = {r.span_id: r.depth for r in paths.span_depths(df).collect()}
+    got = {r.span_id: r.depth for r in paths.leaf_depths(df.where(F.col("span_id").isin(asked)), df).collect()}
+    assert got == {i: all_depths[i] for i in asked} and got["d39"] == 39 and got["tail"] == 4
+
+
+def test_only_ancestors_of_leaves_are_climbed(spark, make_spans, monkeypatch):
+    written = {}
+    real = paths.store
+    monkeypatch.setattr(paths, "store", lambda df, label: written.setdefault(f"{label}{len(written)}", real(df, label)))
+    df = make_spans([(f"a{i}", f"a{i - 1}" if i else None, i, "web", "server", 1, "OK", "op") for i in range(5)] + [(f"b{i}", "a0", i, "web", "server", 1, "OK", "op") for i in range(50)])
+    assert paths.leaf_depths(df.where("span_id = 'a4'"), df).first().depth == 4
+    assert all(t.count() <= 1 for label, t in written.items() if label.startswith("climb"))
+
+
+def test_every_degraded_edge_has_its_role(make_spans, one_incident):
+    calls = [("web", "db", 10, 200), ("api", "db", 10, 190), ("front", "web", 10, 210), ("db", "disk", 5, 120), ("other", "far", 5, 70), ("calm", "web", 5, 5)]
+    roles = {(r.caller, r.callee): r.role for r in spans.edge_roles(edge_case(make_spans, calls), one_incident(ONSET)).collect()}
+    assert roles == {("web", "db"): "into_origin", ("api", "db"): "into_origin", ("front", "web"): "victim_path", ("db", "disk"): "own_outbound", ("other", "far"): "not_explained"}
