@@ -231,10 +231,10 @@ def _open_small(members: DataFrame, made: DataFrame, threshold: float) -> DataFr
 
 
 def _open_large(members: DataFrame, texts: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
-    """Pairs of different classes in large buckets that reach the threshold on 32-bit shingle hashes; one for each document and class.
+    """Pairs of different classes in large buckets that reach the threshold on 64-bit shingle hashes; the closest for each document and class.
 
-    Equal hashes can only add to an overlap, so no link is missed, and of many links
-    between a document and a class one tells as much as all.
+    The hashes are those that links are verified with, so the pair that is told is a link
+    if any is, and of many links between a document and a class one tells as much as all.
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +243,7 @@ def _open_large(members: DataFrame, texts: DataFrame, threshold: float, block: i
                 part = batch.slice(lo, hi - lo)
                 row, s, weight = shingles(part.column("text"))
                 at = np.searchsorted(row, np.arange(len(part) + 1))
-                hashes, counts = (s >> np.uint64(32)).astype("<u4"), weight.astype("<u4")
+                hashes, counts = s.astype("<u8"), weight.astype("<u4")
                 columns = [pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary()) for x in (hashes, counts)]
                 yield pa.record_batch([part.column("doc"), *columns], ["doc", "hashes", "counts"])
 
@@ -261,7 +261,9 @@ def _open_large(members: DataFrame, texts: DataFrame, threshold: float, block: i
                     np.add.at(held, ia[mine], ca[mine])
                     both = np.add.reduceat(np.minimum(held[ib], cb), eb[:-1])
                     held[ia[mine]] = 0
-                    hits = np.flatnonzero((both >= threshold * (ca[mine].sum() + total - both)) & (rb != ra[i]))
+                    near = both / (ca[mine].sum() + total - both)
+                    hits = np.flatnonzero((near >= threshold) & (rb != ra[i]))
+                    hits = hits[np.argsort(-near[hits], kind="stable")]  # the closest of a class comes first
                     hits = hits[np.unique(rb[hits], return_index=True)[1]]
                     found.append(np.stack([np.minimum(da[i], db[hits]), np.maximum(da[i], db[hits])]))
             yield _pairs_of(found)
@@ -273,8 +275,8 @@ def _open_large(members: DataFrame, texts: DataFrame, threshold: float, block: i
 def _bags(values: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes and counts of all documents of a pack end to end, and where each one's begin."""
     hashes = values.field("hashes").to_pylist()
-    ends = np.concatenate([[0], np.cumsum([len(h) // 4 for h in hashes])])
-    return np.frombuffer(b"".join(hashes), "<u4"), np.frombuffer(b"".join(values.field("counts").to_pylist()), "<u4").astype(np.int64), ends
+    ends = np.concatenate([[0], np.cumsum([len(h) // 8 for h in hashes])])
+    return np.frombuffer(b"".join(hashes), "<u8"), np.frombuffer(b"".join(values.field("counts").to_pylist()), "<u4").astype(np.int64), ends
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -294,13 +296,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     reps = made.join(least.select(F.col("rep").alias("doc")), "doc", "left_semi")
     members = reps.select("doc", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("band", "key").agg(F.min("doc").alias("centre"), F.count("*").alias("n")).filter("n > 1")
+    buckets = store(buckets, "centres")  # as tables of their own, these and the mixed ones below are joined by plain exchanges, whose hot keys Spark splits
     near = store(members.join(buckets, ["band", "key"]), "buckets")
     stars = near.filter("doc <> centre").select(F.col("doc").alias("a"), F.col("centre").alias("b")).distinct()
     links = store(verified(store(plausible(stars, made, threshold), "pairs"), texts, threshold), "links")
     roots = components(links)
     known = near.filter("n > 2").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     mixed = known.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "doc").alias("centre_root")).filter("low <> high")
-    left = store(known.join(mixed.select("band", "key", "centre_root"), ["band", "key"]), "open")
+    mixed = store(mixed.select("band", "key", "centre_root"), "mixed")
+    left = store(known.join(mixed, ["band", "key"]), "open")
     pairs = _open_small(left.filter(F.col("n") <= SMALL), made, threshold).union(_open_large(left.filter(F.col("n") > SMALL), texts, threshold))
     new = store(verified(store(pairs, "pairs"), texts, threshold), "links")
     if not new.isEmpty():
