@@ -18,28 +18,49 @@ from faultline.session import scratch_path
 DELAY = "60 seconds"
 
 
-def run_available(stream: DataFrame, label: str) -> DataFrame:
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_available(stream: DataFrame, label: str, timers: bool = False) -> DataFrame:
     """Process everything available now into a parquet folder on shared storage."""
     spark = stream.sparkSession
-    out = drain(stream, label)
+    out = drain(stream, label, timers)
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def drain(stream: DataFrame, label: str) -> str:
-    """The folder that :func:`run_available` writes; another stream may read it."""
+def drain(stream: DataFrame, label: str, timers: bool = False) -> str:
+    """The folder that :func:`run_available` writes; another stream may read it.
+
+    ``timers``: the query keeps state with timers, which needs the RocksDB state store.
+    """
     spark = stream.sparkSession
     out, state = scratch_path(spark, f"{label}-out"), scratch_path(spark, f"{label}-state")
-    job = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    if timers:
+        spark.conf.set(setting, ROCKS)
+    try:  # a query takes the setting when it starts
+        job = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(setting, before)
     job.awaitTermination()
     return out
 
 
-def windowed_red(spans: DataFrame, window: str = "3 minutes", slide: str = "15 seconds", delay: str = DELAY) -> DataFrame:
-    """Requests, error rate, p95 estimate and peak duration per service and sliding window."""
-    grouped = spans.withWatermark("event_ts", delay).groupBy("incident_id", "service", F.window("event_ts", window, slide).alias("w"))
+def windowed_red(spans: DataFrame, window: str = "3 minutes", slide: str = "15 seconds", delay: str = DELAY, k: int = 400) -> DataFrame:
+    """Requests, error rate, p95 estimate and peak duration per service and sliding window.
+
+    Every span is counted once, in the pane of one slide that holds it; a window merges
+    its panes. p95 comes from mergeable KLL sketches: exact up to ``k`` spans a window,
+    beyond that within about 1.7 / k**0.9 of the rank (0.8 % at 400).
+    """
+    panes = spans.withWatermark("event_ts", delay).groupBy("incident_id", "service", F.window("event_ts", slide).alias("pane")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(is_error()).alias("failed"), F.max("duration_ms").alias("top"),
+        F.kll_sketch_agg_double(F.col("duration_ms").cast("double"), k).alias("sketch"))
+    grouped = panes.groupBy("incident_id", "service", F.window(F.window_time("pane"), window, slide).alias("w"))
     return grouped.agg(
-        F.count(F.lit(1)).alias("requests"), (F.count_if(is_error()) / F.count(F.lit(1))).alias("error_rate"),
-        F.percentile_approx("duration_ms", 0.95, 10000).alias("p95_ms"), F.max("duration_ms").alias("max_ms"),
+        F.sum("n").alias("requests"), (F.sum("failed") / F.sum("n")).alias("error_rate"),
+        F.kll_sketch_get_quantile_double(F.kll_merge_agg_double("sketch", k), F.lit(0.95)).alias("p95_ms"), F.max("top").alias("max_ms"),
     ).select("incident_id", "service", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "requests", "error_rate", "p95_ms", "max_ms")
 
 
