@@ -580,10 +580,15 @@ m(key, position, kind, risk, d) as (values ('cpu', 1, 'restart', 'low', 'Start @
   ('loss', 1, 'remove_impairment', 'low', 'Take the impairment off @.'), ('loss', 2, 'restart', 'low', 'Start @ afresh.'),
   ('error', 1, 'revert_change', 'medium', 'Undo the latest change to @.'), ('error', 2, 'restart', 'low', 'Start @ afresh.'),
   ('', 1, 'open_ticket', 'low', 'File a ticket about @.'), ('', 2, 'page_oncall', 'low', 'Call whoever is on duty for @.'))
-select run_id, svc as target_service, position, kind, case when key = '' then 'notify' else 'mutate' end as effect, risk, replace(d, '@', svc) as description, key <> '' and position = 1 as is_primary
+select run_id, svc as target_service, position, kind, case when key = '' then 'notify' else 'mutate' end as effect, risk, replace(d, '@', svc) as description, key <> '' and position = 1 as is_primary,
+  true as reversible, case when kind = 'scale' then '2' else '-' end as replicas, concat('trace of ', svc, ';', run_id) as citations,
+  sha256(concat('{"kind": "', kind, '", "params": {', case when kind = 'scale' then '"replicas": 2' else '' end, '}, "target_service": "', svc, '"}')) as content_hash
 from k join m using (key)""")
 def _(t: Telemetry) -> DataFrame:
-    return audit.suggest_actions(results(t))
+    cited = F.array(F.concat(F.lit("trace of "), "target_service"), F.col("run_id").cast("string"))
+    found = audit.suggest_actions(results(t).withColumn("citations", cited))
+    return found.withColumn("replicas", F.coalesce(F.try_element_at("params", F.lit("replicas")), F.lit("-"))).withColumn(
+        "citations", F.array_join("citations", ";")).drop("params")
 
 
 @query("j5_briefs", """
