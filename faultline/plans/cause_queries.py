@@ -115,11 +115,13 @@ def _(t: Telemetry) -> DataFrame:
 
 
 @query("g10_topology_source", with_views("spans", "incidents", extra=EDGES | STATIC, body="""
-select incident_id, caller, callee, 'static' as source from static_edges where incident_id <> 'inc_2'
-union all select incident_id, caller, callee, 'trace' from edges where incident_id = 'inc_2'"""))
+select incident_id, caller, callee, 'static' as source from static_edges
+union all select concat(incident_id, '_traced'), caller, callee, 'trace' from edges"""))
 def _(t: Telemetry) -> DataFrame:
-    static = t.static_edges.where("incident_id <> 'inc_2'")
-    return graph.resolve_topology(static, spans.call_edges(t.spans)).select("incident_id", "caller", "callee", "source")
+    """Every incident has static edges; a copy of each, under its own id, has traces only."""
+    seen = spans.call_edges(t.spans)
+    copies = seen.withColumn("incident_id", F.concat("incident_id", F.lit("_traced")))
+    return graph.resolve_topology(t.static_edges, seen.unionByName(copies)).select("incident_id", "caller", "callee", "source")
 
 
 # ---- ranking --------------------------------------------------------------------------------

@@ -374,17 +374,24 @@ def _(t: Telemetry) -> DataFrame:
 
 
 @query("s22_symptoms", with_views("metrics", "incidents", extra=ONSET_EFFECTS | {
-    "up": "select * from shifts where post_mean > pre_mean and not (incident_id in ('inc_1', 'inc_2', 'inc_3') and metric='request_error_rate') and not (incident_id in ('inc_2', 'inc_3') and metric='latency_p95_ms')",
+    "up": """select * from shifts where post_mean > pre_mean
+      union all select * replace (concat(incident_id, '_noerr') as incident_id) from shifts where post_mean > pre_mean and metric <> 'request_error_rate'
+      union all select * replace (concat(incident_id, '_bare') as incident_id) from shifts where post_mean > pre_mean and metric not in ('request_error_rate', 'latency_p95_ms')""",
     "b": "select *, row_number() over (partition by incident_id, metric order by round(post_mean - pre_mean, 9) desc, service) as r from up",
     "o": """select *, row_number() over (partition by incident_id order by case metric when 'request_error_rate' then 0 when 'latency_p95_ms' then 1 else 2 end, case when pre_mean > 0 then (post_mean - pre_mean) / pre_mean else 'inf'::double end desc, metric) as p from b where r = 1"""},
     body="""select incident_id, concat(case metric when 'request_error_rate' then 'Elevated error rate on ' when 'latency_p95_ms' then 'Elevated p95 latency on ' else 'Anomalous metric shift on ' end, service, ' beginning around second 216000.') as symptom,
   case metric when 'request_error_rate' then 'HighErrorRate' when 'latency_p95_ms' then 'HighLatency' else 'MetricAnomaly' end as alertname, case metric when 'request_error_rate' then 'critical' else 'warning' end as severity,
   round(post_mean, 6) as value, left(sha1(concat(case metric when 'request_error_rate' then 'HighErrorRate' when 'latency_p95_ms' then 'HighLatency' else 'MetricAnomaly' end, '|service=', service)), 16) as fingerprint from o where p = 1"""))
 def _(t: Telemetry) -> DataFrame:
-    """Some incidents lack the error rate, some the latency too, so every branch is taken."""
-    drop_error = F.col("incident_id").isin("inc_1", "inc_2", "inc_3") & (F.col("metric") == "request_error_rate")
-    drop_latency = F.col("incident_id").isin("inc_2", "inc_3") & (F.col("metric") == "latency_p95_ms")
-    found = benchmark.synthesise_symptoms(t.metrics.where(~drop_error & ~drop_latency), t.incidents)
+    """Copies of every incident, under ids of their own, lack the error rate or the latency too, so every branch is taken."""
+    def copied(df: DataFrame, name: str) -> DataFrame:
+        return df.withColumn("incident_id", F.concat("incident_id", F.lit(name)))
+
+    given, incidents = t.metrics, t.incidents
+    for name, absent in (("_noerr", ["request_error_rate"]), ("_bare", ["request_error_rate", "latency_p95_ms"])):
+        given = given.unionByName(copied(t.metrics.where(~F.col("metric").isin(absent)), name))
+        incidents = incidents.unionByName(copied(t.incidents, name))
+    found = benchmark.synthesise_symptoms(given, incidents)
     return rounded(found.select("incident_id", "symptom", "alertname", "severity", "value", "fingerprint"), "value")
 
 
