@@ -455,13 +455,10 @@ def error_origin(spans: DataFrame, resolved: DataFrame | None = None) -> DataFra
 # ---- single traces and services -----------------------------------------------------------
 
 def span_tree(spans: DataFrame, traces: DataFrame) -> DataFrame:
-    """Depth-first listing of traces: position, depth and the span's fields."""
+    """Depth-first listing of traces: position, depth and the span's fields; see :func:`paths.tour`."""
     wanted = traces.select("incident_id", "trace_id").distinct()
     picked = spans.join(wanted, ["incident_id", "trace_id"], "left_semi")
-    placed = paths.tree_paths(picked, ["incident_id", "trace_id"])
-    rows = picked.join(placed, ["incident_id", "trace_id", "span_id"])
-    indexed = ordered_index(rows, ["incident_id", "trace_id"], ["path"], "position")
-    return indexed.select(
+    return paths.tour(picked, ["incident_id", "trace_id"]).select(
         "incident_id", "trace_id", "position", "depth", "span_id", "service", "operation",
         F.lower("span_kind").alias("span_kind"), "status", "duration_ms",
     )

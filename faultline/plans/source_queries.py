@@ -327,11 +327,19 @@ def _numbered_logs(t: Telemetry) -> DataFrame:
     return t.span_events.select(*log_columns(), "span_id")
 
 
-@query("s18_whole_trace_sample")
+@query("s18_whole_trace_sample", """
+with recursive spans as (select * from (%s)),
+traces as (select incident_id, trace_id, count(*) as size, max(case when status='ERROR' then 1 else 0 end) as bad from spans group by all),
+ranked as (select *, sum(size) over (partition by incident_id) as whole, row_number() over (partition by incident_id order by bad desc, trace_id) as i from traces),
+fill as (
+  select incident_id, trace_id, size, i, true as taken, size as used from ranked where i = 1
+  union all
+  select r.incident_id, r.trace_id, r.size, r.i, f.used + r.size <= 700, f.used + case when f.used + r.size <= 700 then r.size else 0 end
+  from fill f join ranked r on r.incident_id = f.incident_id and r.i = f.i + 1)
+select incident_id, trace_id, size as spans from fill join ranked using (incident_id, trace_id, size) where taken or whole <= 700""" % with_views("spans", body="select * from spans"))
 def _(t: Telemetry) -> DataFrame:
-    """Greedy fill in order: its running total depends on what was skipped before, which SQL cannot say."""
-    return sampling.whole_trace_sample(t.spans, 700).groupBy("incident_id").agg(
-        F.count(F.lit(1)).alias("spans"), F.countDistinct("trace_id").alias("traces"))
+    kept = sampling.whole_trace_sample(t.spans, 700)
+    return kept.groupBy("incident_id", "trace_id").agg(F.count(F.lit(1)).alias("spans"))
 
 
 @query("s19_bucketed_pull", with_views("logs", "incidents", extra={

@@ -6,13 +6,12 @@ drops rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.functions.ordered import null_safe_join, ordered_index, top_per_group
+from faultline.session import store
 
 
 def priority_downsample(rows: DataFrame, priority: Column, cap: int, order: Sequence[str | Column], time: str = "time") -> DataFrame:
@@ -37,21 +36,26 @@ def priority_downsample(rows: DataFrame, priority: Column, cap: int, order: Sequ
     return placed.where(kept).select(*rows.columns)
 
 
-def _fill(cap: int):
-    """Greedy fill over one incident's candidate traces, already bounded by the cap."""
-    def run(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in groups:
-            g = g.sort_values(["calm", "trace_id"], kind="stable")
-            size = g["size"].to_numpy()
-            take = np.zeros(len(g), dtype=bool)
-            used = 0
-            for i, n in enumerate(size):
-                if used == 0 or used + n <= cap:
-                    take[i] = True
-                    used += n
-            yield g.loc[take, ["incident_id", "trace_id"]]
+def _fill(traces: Column, cap: int) -> Column:
+    """Where a greedy fill over sorted (calm, trace_id, size) begins to refuse: cuts (i, size) in order.
 
-    return run
+    Room only shrinks, so once a size is refused at trace i every trace after it of that
+    size or more is refused too. The cuts are as few as the distinct sizes, and the fold
+    carries them instead of the traces taken.
+    """
+    start = F.struct(
+        F.lit(0).alias("i"), F.lit(0).cast("long").alias("used"), F.lit(2**62).alias("limit"),
+        F.array().cast("array<struct<i:int,size:bigint>>").alias("cuts"))
+
+    def step(acc: Column, trace: Column) -> Column:
+        size = trace["size"]
+        taken = (acc["used"] == 0) | (acc["used"] + size <= cap)
+        cut = ~taken & (size < acc["limit"])
+        return F.struct(
+            (acc["i"] + 1).alias("i"), (acc["used"] + F.when(taken, size).otherwise(0)).alias("used"), F.when(cut, size).otherwise(acc["limit"]).alias("limit"),
+            F.when(cut, F.concat(acc["cuts"], F.array(F.struct(acc["i"].alias("i"), size.alias("size"))))).otherwise(acc["cuts"]).alias("cuts"))
+
+    return F.aggregate(traces, start, step, lambda acc: acc["cuts"])
 
 
 def whole_trace_sample(spans: DataFrame, cap: int) -> DataFrame:
@@ -60,24 +64,25 @@ def whole_trace_sample(spans: DataFrame, cap: int) -> DataFrame:
     A trace that would overflow is skipped and later smaller ones may still fit;
     the first trace is always taken. Of the traces with n spans only the first
     cap / n in order can ever be taken, so at most about cap * ln(cap) traces per
-    incident reach the sequential fill, however many there are.
+    incident reach the sequential fill, however many there are. A span without a status
+    does not make its trace failing; spans without a trace id are one trace, the first in
+    order, and a null incident is an incident like any other.
     """
-    failed = ~F.upper("status").isin("OK", "UNSET")
-    traces = spans.groupBy("incident_id", "trace_id").agg(F.count(F.lit(1)).alias("size"), (~F.max(failed)).cast("int").alias("calm"))
+    failed = F.coalesce(~F.upper("status").isin("OK", "UNSET"), F.lit(False))
+    keys = ["incident_id", "trace_id"]
+    traces = store(spans.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), (~F.max(failed)).cast("int").alias("calm")), "traces")
     totals = traces.groupBy("incident_id").agg(F.sum("size").alias("_all"), F.min(F.struct("calm", "trace_id")).alias("_first"))
-    over = totals.where(F.col("_all") > cap).drop("_all")
-    crowded = traces.join(over, "incident_id")
-    first = F.struct("calm", "trace_id") == F.col("_first")
-    fits = crowded.where((F.col("size") <= cap) | first)
-    order = [F.col("calm"), F.col("trace_id")]
+    crowded = null_safe_join(traces, totals, ["incident_id"])
+    first = F.struct("calm", "trace_id").eqNullSafe(F.col("_first"))
+    fits = crowded.where((F.col("_all") > cap) & ((F.col("size") <= cap) | first))
     quota = F.greatest(F.lit(1), F.floor(F.lit(cap) / F.col("size")))
-    bounded = top_per_group(fits, ["incident_id", "size"], order, quota)
-    slim = bounded.select("incident_id", "trace_id", F.col("size").cast("long"), F.col("calm").cast("int"))
-    run = _fill(cap)
-    chosen = slim.groupBy("incident_id").applyInPandas(
-        lambda pdf: next(run(iter([pdf]))), "incident_id string, trace_id string")
-    small = totals.where(F.col("_all") <= cap).select("incident_id")
-    return spans.join(small, "incident_id", "left_semi").unionByName(spans.join(chosen, ["incident_id", "trace_id"], "left_semi"))
+    bounded = top_per_group(fits, ["incident_id", "size"], [F.col("calm"), F.col("trace_id")], quota)
+    listed = bounded.groupBy("incident_id").agg(F.sort_array(F.collect_list(F.struct("calm", "trace_id", "size"))).alias("_t"))
+    judged = listed.withColumn("_cuts", _fill(F.col("_t"), cap)).select("incident_id", "_cuts", F.posexplode("_t").alias("_i", "_x"))
+    refused = F.exists("_cuts", lambda c: (c["i"] <= F.col("_i")) & (c["size"] <= F.col("_x.size")))
+    chosen = judged.where(~refused).select("incident_id", "_x.trace_id")
+    quiet = crowded.where(F.col("_all") <= cap).select(*keys)
+    return null_safe_join(spans, store(chosen.unionByName(quiet), "chosen"), keys)
 
 
 def bucketed_pull(rows: DataFrame, incidents: DataFrame, limit: int, order: Sequence[str | Column], buckets: int = 12, doc_id: str = "doc_id") -> DataFrame:

@@ -14,12 +14,10 @@ from faultline.plans import runnable
 from harness import compare, oracle_connection
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["p6_callee_resolution", "t1_dependency_graph", "t4_edge_latency_origin", "t6_error_origin", "t9_slowest_operations", "m2_series_sample", "m4_level_shift",
+SAMPLE = ["p6_callee_resolution", "t1_dependency_graph", "t4_edge_latency_origin", "t6_error_origin", "t9_slowest_operations", "t11_span_tree", "m2_series_sample", "m4_level_shift",
           "z1_step_effect", "l3_error_clusters", "c4_nearest_change", "k5_onset_consensus", "g7_critical_path", "r5_localise", "r9_gather_evidence", "a2_derive_alerts",
-          "d7_incident_fingerprints", "e5_scorecard", "j3_gate_decisions", "s5_jaeger_traces", "s17_priority_downsample", "w2_level_counts", "w4_stateful_alerts"]
-#: Only these have no SQL; they are compared with plain versions in tests of their own.
-WITHOUT_SQL = {"s18_whole_trace_sample"}
-NAMES = sorted(set(runnable()) - WITHOUT_SQL) if os.environ.get("FAULTLINE_ALL") else SAMPLE
+          "d7_incident_fingerprints", "e5_scorecard", "j3_gate_decisions", "s5_jaeger_traces", "s17_priority_downsample", "s18_whole_trace_sample", "w2_level_counts", "w4_stateful_alerts"]
+NAMES = sorted(runnable()) if os.environ.get("FAULTLINE_ALL") else SAMPLE
 
 
 @pytest.fixture(scope="module")

@@ -145,6 +145,16 @@ def test_whole_trace_sample_equals_the_greedy_fill(spark, cap):
     assert {r.trace_id for r in got.select("trace_id").distinct().collect()} == greedy(sizes, cap)
 
 
+def test_whole_trace_sample_with_nulls_and_one_oversized_trace(spark):
+    columns = "incident_id string, trace_id string, span_id string, status string"
+    rows = [("i", None, "n1", None), ("i", None, "n2", "OK"), ("i", "a", "a1", None), ("i", "b", "b1", "unset"), (None, "x", "x1", "OK")]
+    got = {r.span_id for r in sampling.whole_trace_sample(spark.createDataFrame(rows, columns), 3).collect()}
+    assert got == {"n1", "n2", "a1", "x1"}
+    big = [("i", "big", f"s{k}", "ERROR") for k in range(9)] + [("i", "one", "o", "OK")]
+    assert sampling.whole_trace_sample(spark.createDataFrame(big, columns), 4).count() == 9
+    assert sampling.whole_trace_sample(spark.createDataFrame([], columns), 4).count() == 0
+
+
 @pytest.mark.parametrize("cap", [5, 30, 77, 500])
 def test_priority_downsample_equals_the_list_version(spark, cap):
     rng = random.Random(cap)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +179,43 @@ def test_every_degraded_edge_has_its_role(make_spans, one_incident):
     calls = [("web", "db", 10, 200), ("api", "db", 10, 190), ("front", "web", 10, 210), ("db", "disk", 5, 120), ("other", "far", 5, 70), ("calm", "web", 5, 5)]
     roles = {(r.caller, r.callee): r.role for r in spans.edge_roles(edge_case(make_spans, calls), one_incident(ONSET)).collect()}
     assert roles == {("web", "db"): "into_origin", ("api", "db"): "into_origin", ("front", "web"): "victim_path", ("db", "disk"): "own_outbound", ("other", "far"): "not_explained"}
+
+
+def walk(rows):
+    """(span_id, parent, time) -> {(span_id, time): (position, depth)} by recursion; children of a repeated id hang below its first row."""
+    nodes = sorted(rows, key=lambda r: (r[2], r[0]))
+    first = {}
+    for n, (name, _, _) in enumerate(nodes):
+        if name is not None:
+            first.setdefault(name, n)
+    below = {}
+    for n, (_, parent, _) in enumerate(nodes):
+        below.setdefault(first.get(parent), []).append(n)
+    out, stack = {}, [(n, 0) for n in reversed(below.get(None, []))]
+    while stack:
+        n, depth = stack.pop()
+        out[nodes[n][0], nodes[n][2]] = (len(out), depth)
+        stack += [(c, depth + 1) for c in reversed(below.get(n, []))]
+    return out
+
+
+def tree_of(spark, make_spans, rows):
+    df = make_spans([(s, p, t, "a", "server", 1, "OK", "op") for s, p, t in rows]).repartition(5)
+    return {(r.span_id, r.time): (r.position, r.depth) for r in paths.tour(df, ["incident_id", "trace_id"]).collect()}
+
+
+def test_tour_of_chain_star_and_random_forests(spark, make_spans):
+    chain = [(f"c{i}", f"c{i - 1}" if i else None, i) for i in range(5000)]
+    assert tree_of(spark, make_spans, chain) == {(f"c{i}", i): (i, i) for i in range(5000)}
+    star = [("hub", None, 0)] + [(f"s{i:03d}", "hub", 7) for i in range(300)]
+    assert tree_of(spark, make_spans, star) == walk(star)
+    rng = random.Random(4)
+    wild = [(f"w{i}", f"w{rng.randrange(i)}" if i and rng.random() < 0.9 else rng.choice([None, "gone"]), rng.randrange(40)) for i in range(250)]
+    assert tree_of(spark, make_spans, wild) == walk(wild)
+
+
+def test_tour_leaves_out_rings_and_keeps_repeated_and_missing_ids(spark, make_spans):
+    rows = [("a", "b", 0), ("b", "a", 1), ("t", "a", 2), ("self", "self", 3), ("r", None, 4), ("r", None, 5), ("k", "r", 6), (None, "r", 7), (None, None, 8)]
+    got = tree_of(spark, make_spans, rows)
+    assert got == {("r", 4): (0, 0), ("k", 6): (1, 1), (None, 7): (2, 1), ("r", 5): (3, 0), (None, 8): (4, 0)}
+    assert tree_of(spark, make_spans, rows[:4]) == {}
