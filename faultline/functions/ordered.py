@@ -23,6 +23,7 @@ from faultline.session import checkpoint, store
 # rows left to order exactly within one bin share almost five leading digits.
 _BINS_PER_EFOLD = 65536
 BROADCAST_ROWS = 200_000
+SUBBINS = 65536  # steps a located bin is cut into
 _SHIFT = 746 * _BINS_PER_EFOLD  # ln of the smallest double is above -746
 
 
@@ -63,6 +64,13 @@ def high_median_rank(n: Column) -> Column:
     return (F.floor(n / 2) + 1).cast("long")
 
 
+def _located(hist: DataFrame, group: Sequence[str], rank: Column) -> DataFrame:
+    """The bin of ``hist`` (group, _b, _c, _lo, _hi) that holds the ``rank``-th row, with the rank inside it."""
+    running = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.col("_cum") - F.col("_c")
+    return hist.withColumn("_cum", F.sum("_c").over(running)).where((rank <= F.col("_cum")) & (rank > before)).withColumn("_rank", rank - before)
+
+
 def exact_ranks(
     df: DataFrame,
     keys: Sequence[str],
@@ -71,53 +79,60 @@ def exact_ranks(
 ) -> DataFrame:
     """Exact order statistics per group: ``keys``, ``n`` and one column per rank.
 
-    Pass one counts rows per (group, bin); the ordered bins locate each target.
-    Pass two reads back only the rows of the located bins and orders their distinct
-    values. Few targets are broadcast, so pass two shuffles next to nothing; above
-    ``BROADCAST_ROWS`` the values are counted first and joined by (group, bin),
-    which no single group can overload; the result is the same either way. Group keys
-    may be null. Null values are left out; infinities and NaN are values, NaN the largest.
+    Counts of rows per (group, bin), with each bin's least and largest value, locate every
+    target. A bin of one value answers at once. For the others one more pass writes the
+    distinct values inside the located bins with their counts, and the bin is cut into
+    ``SUBBINS`` equal steps between its ends until the step that holds the target is a
+    single value; a bin always falls into two at least. No task orders more than the
+    bins of one target. Few targets are broadcast, so the second pass shuffles next to nothing; above ``BROADCAST_ROWS`` the distinct values are counted first and joined
+    by (group, bin), which no single group can overload; the result is the same either way.
+    Group keys may be null. Null values are left out; infinities and NaN are values, NaN
+    the largest.
     """
     keys = list(keys)
-    binned = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    binned = binned.withColumn("_bin", value_bin(F.col("_v")))
-    hist = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c"))
-    running = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    located = hist.select(
-        *keys, "_bin", "_c", F.sum("_c").over(running).alias("_cum"), F.sum("_c").over(whole).alias("n")
-    )
-    wanted = F.array(*[
-        F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("rank"))
-        for name, rank in ranks.items()
-    ])
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    rows = rows.withColumn("_bin", value_bin(F.col("_v")))
+    hist = rows.groupBy(*keys, F.col("_bin").alias("_b")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("rank")) for name, rank in ranks.items()])
+    running = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    placed = hist.withColumns({"_cum": F.sum("_c").over(running), "n": F.sum("_c").over(Window.partitionBy(*keys))})
+    asked = F.col("_t.rank")
     targets = checkpoint(
-        located.withColumn("_t", F.explode(wanted))
-        .where((F.col("_t.rank") <= F.col("_cum")) & (F.col("_t.rank") > F.col("_cum") - F.col("_c")))
-        .select(
-            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-            F.col("_bin").alias("_tbin"), "n", F.col("_t.name").alias("_name"),
-            (F.col("_t.rank") - (F.col("_cum") - F.col("_c"))).alias("_rank"),
-        )
-    )
-    same = F.col("_bin") == F.col("_tbin")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    if targets.count() <= BROADCAST_ROWS:
-        spot = ["n", "_name", "_rank"]
-        hits = binned.join(F.broadcast(targets), same).groupBy(*keys, *spot, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    else:
-        hits = binned.groupBy(*keys, "_bin", "_v").agg(F.count(F.lit(1)).alias("_c")).join(targets, same)
-    within = (
-        Window.partitionBy(*keys, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    exact = hits.withColumn("_cum", F.sum("_c").over(within)).where(
-        (F.col("_rank") <= F.col("_cum")) & (F.col("_rank") > F.col("_cum") - F.col("_c"))
-    )
-    return exact.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        *[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks],
-    )
+        placed.withColumn("_t", F.explode(wanted)).where((asked <= F.col("_cum")) & (asked > F.col("_cum") - F.col("_c"))).select(
+            *[F.col(k).alias(a) for k, a in zip(keys, names)], F.col("_b").alias("_tbin"), "n", F.col("_t.name").alias("_name"),
+            (asked - (F.col("_cum") - F.col("_c"))).alias("_rank"), "_lo", "_hi"))
+    spot = [*names, "_tbin", "n", "_name"]
+    found, near = [], None
+    while True:
+        found.append(targets.where(F.col("_lo") == F.col("_hi")))
+        open_ = targets.where(F.col("_lo") != F.col("_hi"))
+        left = open_.count()
+        if not left:
+            break
+        bounds = open_.select(*spot, F.col("_rank").alias("_want"), F.col("_lo").alias("_from"), F.col("_hi").alias("_to"))
+        few = F.broadcast if left <= BROADCAST_ROWS else (lambda frame: frame)
+        if near is None:
+            same = F.col("_bin") == F.col("_tbin")
+            for k, a in zip(keys, names):
+                same = same & F.col(k).eqNullSafe(F.col(a))
+            counted = rows.withColumn("_c", F.lit(1).cast("long"))
+            if left > BROADCAST_ROWS:
+                counted = rows.groupBy(*keys, "_bin", "_v").agg(F.count(F.lit(1)).alias("_c"))
+            met = counted.join(few(bounds), same)
+            near = store(met.groupBy(*names, "_name", "_v").agg(F.sum("_c").alias("_c")), "near")
+        met = null_safe_join(near, few(bounds), [*names, "_name"]).where(F.col("_v").between(F.col("_from"), F.col("_to")))
+        sub = F.floor((F.col("_v") - F.col("_from")) / (F.col("_to") - F.col("_from")) * SUBBINS)
+        cut = met.select(*spot, "_want", "_c", "_v", sub.alias("_b")).groupBy(*spot, "_want", "_b").agg(
+            F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        targets = checkpoint(_located(cut, [*names, "_name"], F.col("_want")).select(*spot, "_rank", "_lo", "_hi"))
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    return every.groupBy(*names).agg(
+        F.max("n").alias("n"), *[F.max(F.when(F.col("_name") == name, F.col("_lo"))).alias(name) for name in ranks],
+    ).withColumnsRenamed(dict(zip(names, keys)))
 
 
 def exact_p95(df: DataFrame, keys: Sequence[str], value: str = "duration_ms", name: str = "p95") -> DataFrame:

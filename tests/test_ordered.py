@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.functions.ordered import exact_median, exact_p95, latest_before, ordered_index, previous_value, range_parts, running_sums, top_per_group
+from faultline.functions.ordered import exact_median, exact_p95, exact_ranks, latest_before, low_median_rank, ordered_index, p95_rank, previous_value, range_parts, running_sums, top_per_group
 
 
 @pytest.fixture(scope="module")
@@ -46,6 +46,21 @@ def test_p95_when_the_rank_is_whole(spark):
     assert exact_p95(df, ["k"], "v").first().p95 == 19.0
 
 
+def test_ranks_inside_a_gauge_that_hardly_moves(spark):
+    """Many distinct values share one bin; nested clusters ask for several cuts."""
+    rng = random.Random(11)
+    flat = [1000.0 + i * 1e-9 for i in range(4000)] + [1000.0 + 2e-6 + i * 1.2e-13 for i in range(4000)] + [-7.0 - i * 1e-12 for i in range(3)]
+    edge = [0.0, -0.0, float("inf"), float("-inf"), float("nan"), 5e-324, 1e-323]
+    rng.shuffle(flat)
+    df = spark.createDataFrame([("flat", v) for v in flat] + [("edge", v) for v in edge], "k string, v double").repartition(6)
+    ranks = {f"r{i}": (lambda n, i=i: F.lit(i)) for i in (1, 3, 4, 6, 7)}
+    got = {r.k: r.asDict() for r in exact_ranks(df, ["k"], "v", ranks | {"mid": low_median_rank, "p95": p95_rank}).collect()}
+    want = sorted(flat)
+    assert [got["flat"][f"r{i}"] for i in (1, 3, 4, 6, 7)] == [want[i - 1] for i in (1, 3, 4, 6, 7)]
+    assert got["flat"]["mid"] == want[(len(want) + 1) // 2 - 1] and got["flat"]["p95"] == want[int(0.95 * len(want))]
+    assert [got["edge"][f"r{i}"] for i in (1, 3, 4, 6)] == [float("-inf"), 0.0, 5e-324, float("inf")] and str(got["edge"]["r7"]) == "nan"
+
+
 def test_index_and_running_sums_match_a_sort(spark):
     rng = random.Random(3)
     data = [("k", rng.randrange(50), i, rng.random()) for i in range(500)]
