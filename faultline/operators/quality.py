@@ -8,6 +8,7 @@ from faultline.functions.expr import log_fingerprint
 from faultline.functions.ordered import ordered_index, top_per_group
 from faultline.operators.metrics import SERIES
 from faultline.operators.spans import with_onset
+from faultline.session import store
 
 # fixed values: tokens that must not appear in public data
 BANNED_TOKENS = [
@@ -231,6 +232,49 @@ def trivially_distinct(fingerprints: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(left, "left_id").join(right, "right_id").select("left_id", "right_id", (~shared).alias("trivially_distinct"))
 
 
+def sharing_pairs(fingerprints: DataFrame, hot: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Which incidents share a value in one of the five lists, without holding all against all.
+
+    An inverted index (feature, value) to incidents brings together only incidents that
+    share a value. Returns the pairs (left_id, right_id, shared_features, shared_values)
+    that meet at a value of at most ``hot`` holders, counted over all their values, and
+    the classes (incident_id, feature, value, holders) of the values with more. Two
+    incidents share a value exactly if they are a pair or have a class in common, so
+    nothing is lost and no value expands to all pairs of its holders. Null lists
+    are empty, null values and incidents take no part, a repeated value counts once.
+    """
+    def tagged(i: int) -> Column:
+        values = F.coalesce(COMPARED[i], F.array().cast("array<string>"))
+        return F.transform(values, lambda v: F.struct(F.lit(i).alias("f"), v.alias("value")))
+
+    def holds(found: Column, i: int) -> Column:
+        return F.exists(found, lambda x: x["f"] == i)
+
+    places = range(len(COMPARED))
+    entries = [tagged(i) for i in places]
+    items = fingerprints.where(F.col("incident_id").isNotNull()).select("incident_id", F.explode(F.flatten(F.array(*entries))).alias("x")).select(
+        "incident_id", "x.*").where(F.col("value").isNotNull()).distinct()
+    items = store(items, "items")
+    holders = store(items.groupBy("f", "value").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") > 1), "holders")
+    index = store(items.join(holders, ["f", "value"]), "index")
+    common, rare = index.where(F.col("holders") > hot), index.where(F.col("holders") <= hot)
+    left = rare.select("f", "value", F.col("incident_id").alias("left_id"))
+    right = rare.select("f", "value", F.col("incident_id").alias("right_id"))
+    bit = F.get(F.array(*[F.lit(1 << i) for i in places]), F.col("f"))
+    met = left.join(right, ["f", "value"]).where(F.col("left_id") < F.col("right_id")).groupBy("left_id", "right_id").agg(
+        F.bit_or(bit).alias("_mask"), F.count(F.lit(1)).alias("_n"))
+    known = common.groupBy("incident_id").agg(F.collect_set(F.struct("f", "value")).alias("_hot"))
+    lists = [known.select(F.col("incident_id").alias(f"{side}_id"), F.col("_hot").alias(f"_{side}")) for side in ("left", "right")]
+    both = met.join(lists[0], "left_id", "left").join(lists[1], "right_id", "left")
+    shared = F.coalesce(F.array_intersect("_left", "_right"), F.array().cast(known.schema["_hot"].dataType))
+    mask = F.col("_mask")
+    for i in places:
+        mask = mask.bitwiseOR(F.when(holds(shared, i), 1 << i).otherwise(0))
+    pairs = both.select("left_id", "right_id", F.bit_count(mask).cast("long").alias("shared_features"), (F.col("_n") + F.size(shared)).cast("long").alias("shared_values"))
+    names = F.array(*[F.lit(c) for c in COMPARED])
+    return pairs, common.select("incident_id", F.get(names, F.col("f")).alias("feature"), "value", "holders")
+
+
 # ---- report checks ------------------------------------------------------------------------
 
 def _issues(rows: DataFrame, keys: list[str], checks: list[tuple[Column, str]]) -> DataFrame:

@@ -317,22 +317,37 @@ def _(t: Telemetry) -> DataFrame:
     return hypothesis.rule_out_changes(t.changes, t.incidents).drop("reason")
 
 
-@query("r11_evidence_lines", with_views("metrics", "changes", "incidents", "truth", extra=ONSET_EFFECTS | {
-    "sus": """select t.incident_id, t.service, max(c.id) as culprit from truth t left join changes c on c.incident_id=t.incident_id and c.service=t.service group by 1, 2"""},
-    body="""select incident_id, 0 as section, concat(service, ' own server spans error (', count(*), '): a service-fault signal') as line from spans join sus using (incident_id, service)
+_EVIDENCE = ONSET_EFFECTS | {
+    "sus": """select t.incident_id, t.service, max(c.id) as culprit from truth t left join changes c on c.incident_id=t.incident_id and c.service=t.service group by 1, 2"""}
+_EVIDENCE_LINES = """select incident_id, 0 as section, concat(service, ' own server spans error (', count(*), '): a service-fault signal') as line from spans join sus using (incident_id, service)
   where status='ERROR' and span_kind='server' group by incident_id, service
 union all select incident_id, case metric when 'request_error_rate' then 1 when 'latency_p95_ms' then 2 else 3 end,
   concat(service, ' ', case metric when 'request_error_rate' then 'error rate' when 'latency_p95_ms' then 'p95 latency' else 'cpu cores' end, ' rose from ', printf('%.2f', pre_mean), ' to ', printf('%.2f', post_mean), ' after onset')
   from shifts join sus using (incident_id, service) where post_mean - pre_mean > case metric when 'request_error_rate' then 0.02 when 'latency_p95_ms' then 100.0 else 1.0 end
 union all select c.incident_id, 9, concat('culprit ', c.id, ' on ', c.service, ' at second ', c.time, ' precedes onset ', onset_second, ': ', summary)
-  from changes c join sus on sus.incident_id=c.incident_id and sus.culprit=c.id join incidents i on i.incident_id=c.incident_id"""))
-def _(t: Telemetry) -> DataFrame:
+  from changes c join sus on sus.incident_id=c.incident_id and sus.culprit=c.id join incidents i on i.incident_id=c.incident_id"""
+
+
+def suspects(t: Telemetry) -> DataFrame:
     culprit = t.changes.groupBy("incident_id", "service").agg(F.max("id").alias("culprit_change_id"))
-    suspects = t.truth.join(culprit, ["incident_id", "service"], "left").select("incident_id", "service", "culprit_change_id")
-    found = hypothesis.evidence_lines(suspects, t.spans, t.metrics, t.changes, t.incidents)
+    return t.truth.join(culprit, ["incident_id", "service"], "left").select("incident_id", "service", "culprit_change_id")
+
+
+@query("r11_evidence_lines", with_views("metrics", "changes", "incidents", "truth", extra=_EVIDENCE, body=_EVIDENCE_LINES))
+def _(t: Telemetry) -> DataFrame:
+    found = hypothesis.evidence_lines(suspects(t), t.spans, t.metrics, t.changes, t.incidents)
     return found.select("incident_id", "section", "line")
 
 
+@query("r11_evidence_bundle", with_views("metrics", "changes", "incidents", "truth", extra=_EVIDENCE | {"ln": _EVIDENCE_LINES}, body="""
+select sus.incident_id, service, culprit as culprit_change_id, (select string_agg(line, '|' order by section) from ln where ln.incident_id=sus.incident_id) as evidence,
+  1 + (select count(*) from changes c where c.incident_id=sus.incident_id) as timeline_entries from sus"""))
+def _(t: Telemetry) -> DataFrame:
+    """The timeline holds every change and the onset."""
+    found = hypothesis.evidence_bundle(suspects(t), t.spans, t.metrics, t.changes, t.incidents)
+    return found.withColumn("evidence", F.array_join("evidence", "|"))
+
+
 _BOOK = ", ".join(f"({i}, '{rid}', {ks!r})" for i, (rid, _, ks) in enumerate(hypothesis.RUNBOOKS))
 
 
@@ -347,3 +362,18 @@ def _(t: Telemetry) -> DataFrame:
     symptoms = t.table("documents").select(F.col("doc_id").alias("incident_id"), F.col("text").alias("query"))
     found = hypothesis.match_runbooks(symptoms)
     return found.select(F.col("incident_id").alias("doc_id"), "id", "position", "score")
+
+
+@query("r12_runbook_steps", """
+with wanted as (select distinct concat('rb-', case when l_orderkey % 10 = 0 then 'x' else '' end, l_partkey) as id from lineitem)
+select id, p_name as title, p_type as "when", p_brand || '|' || p_size as steps, case when p_name is null then concat('no runbook with id ', id) end as note
+from wanted left join part on id = concat('rb-', p_partkey)""")
+def _(t: Telemetry) -> DataFrame:
+    """Parts as runbooks, asked for by line items; some ids are unknown."""
+    books = t.table("part").select(
+        F.concat(F.lit("rb-"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("when"),
+        F.array("p_brand", F.col("p_size").cast("string")).alias("steps"))
+    wanted = t.table("lineitem").select(F.concat(
+        F.lit("rb-"), F.when(F.col("l_orderkey") % 10 == 0, "x").otherwise(""), F.col("l_partkey").cast("string")).alias("id"))
+    found = hypothesis.runbook_steps(books, wanted)
+    return found.withColumn("steps", F.when(F.col("steps").isNotNull(), F.array_join("steps", "|")))

@@ -113,6 +113,21 @@ def _(t: Telemetry) -> DataFrame:
     return alerts.coverage_violations(matrix(t))
 
 
+@query("a6_coverage_gaps", """
+with matrix as (select concat('sc_', c_custkey) as scenario_id, coalesce(list_sort(list(distinct concat(o_orderpriority, ' ', cast(floor(o_totalprice / 1000) as bigint))) filter (where o_orderkey is not null)), []) as names
+  from customer left join orders on o_custkey = c_custkey group by 1)
+select 'E1' as invariant, '' as subject, scenario_id from matrix where len(names) = 0
+union all select 'E2', n, min(scenario_id) from (select scenario_id, unnest(names) as n from matrix) group by n having count(*) = 1
+union all select 'E3', s, min(scenario_id) from (select scenario_id, array_to_string(names, ',') as s from matrix) group by s having count(*) = 1""")
+def _(t: Telemetry) -> DataFrame:
+    """A scenario per customer with its orders as alerts: silent ones, lonely names and lonely sets all occur."""
+    scenarios = t.table("customer").select(F.concat(F.lit("sc_"), F.col("c_custkey").cast("string")).alias("scenario_id"))
+    price = F.floor(F.col("o_totalprice") / 1000).cast("string")
+    fired = t.table("orders").select(
+        F.concat(F.lit("sc_"), F.col("o_custkey").cast("string")).alias("scenario_id"), F.concat("o_orderpriority", F.lit(" "), price).alias("alertname"))
+    return alerts.coverage_violations(alerts.coverage_matrix(scenarios, fired))
+
+
 # ---- quality --------------------------------------------------------------------------------
 
 _TOKENS = ["license", "Copyright", "password", "http", "@"]
@@ -260,6 +275,31 @@ def _(t: Telemetry) -> DataFrame:
     return quality.trivially_distinct(fingerprints(t), pairs)
 
 
+_SHARED = _FP | {
+    "item": """select distinct incident_id, f, unnest(vs) as v from (
+      select incident_id, 'impacted_services' as f, list_filter(string_split(impacted_services, ','), lambda v: v <> '') as vs from lists
+      union all select incident_id, 'top_error_services', string_split(top_error_services, ',') from lists
+      union all select incident_id, 'top_latency_services', string_split(top_latency_services, ',') from lists
+      union all select incident_id, 'resource_anomalies', list_filter(string_split(resource_anomalies, ','), lambda v: v <> '') from lists
+      union all select incident_id, 'dominant_log_clusters', list(tpl) from clr where r <= 5 group by 1)""",
+    "held": "select *, count(*) over (partition by f, v) as holders from item",
+}
+
+
+@query("d8_sharing_pairs", with_views("metrics", "logs", "incidents", extra=_SHARED, body="""
+select x.incident_id as left_id, y.incident_id as right_id, count(distinct x.f) as shared_features, count(*) as shared_values
+from held x join held y on x.f = y.f and x.v = y.v and x.incident_id < y.incident_id
+group by 1, 2 having min(x.holders) <= 3"""))
+def _(t: Telemetry) -> DataFrame:
+    return quality.sharing_pairs(fingerprints(t), hot=3)[0]
+
+
+@query("d8_sharing_classes", with_views("metrics", "logs", "incidents", extra=_SHARED, body="""
+select incident_id, f as feature, v as value, holders from held where holders > 3"""))
+def _(t: Telemetry) -> DataFrame:
+    return quality.sharing_pairs(fingerprints(t), hot=3)[1]
+
+
 def reports(t: Telemetry) -> DataFrame:
     """One draft report per customer order group: mostly sound, with every kind of mistake in it."""
     o = t.table("orders")
@@ -499,6 +539,20 @@ def _(t: Telemetry) -> DataFrame:
     return grading.run_tree(records).drop("failures")
 
 
+@query("e9_run_failures", """
+select conv_id as run_id, concat('a', turn // 2) as agent_id, count(*) as records,
+  count(*) filter (where length(text) % 5 = 0 or role = 'user' and turn % 4 = 2) as failures from conversations group by all""")
+def _(t: Telemetry) -> DataFrame:
+    """Two turns an agent; some records carry a traceback, some say that the harness failed."""
+    c = t.table("conversations")
+    half = F.floor(F.col("turn") / 2).cast("string")
+    failed = (F.col("role") == "user") & (F.col("turn") % 4 == 2)
+    records = c.select(
+        F.col("conv_id").alias("run_id"), F.concat(F.lit("a"), half).alias("agent_id"), F.lit(None).cast("string").alias("parent_id"), F.col("turn").alias("seq"),
+        F.when(failed, "harness_fail").otherwise(F.col("role")).alias("kind"), F.when(F.length("text") % 5 == 0, F.col("text")).alias("traceback"))
+    return grading.run_tree(records).select("run_id", "agent_id", "records", "failures")
+
+
 # ---- audit ----------------------------------------------------------------------------------
 
 _FOLD = {
@@ -525,6 +579,15 @@ def _(t: Telemetry) -> DataFrame:
     return audit.audit_report(t.journal)
 
 
+@query("j2_near_misses", with_views("journal", extra={
+    "near": "select action_id, seq, case when seq % 7 = 3 then 'near_miss' else kind end as kind, ok from journal"}, body="""
+select count(*) as near_miss_count from near where kind='near_miss'"""))
+def _(t: Telemetry) -> DataFrame:
+    """Every seventh event of the journal is a near miss instead."""
+    near = t.journal.withColumn("kind", F.when(F.col("seq") % 7 == 3, "near_miss").otherwise(F.col("kind")))
+    return audit.audit_report(near).select("near_miss_count")
+
+
 @query("j2_status_counts", with_views("journal", extra=_FOLD, body="select status, count(*) as actions from fold group by 1"))
 def _(t: Telemetry) -> DataFrame:
     return audit.status_counts(t.journal)

@@ -56,6 +56,61 @@ def _(t: Telemetry) -> DataFrame:
     return out
 
 
+def write_bundles(t: Telemetry, root: str) -> None:
+    """A bundle folder per incident below ``root``: public signal files, a manifest, and a sealed truth that no reader may touch."""
+    key = F.col("incident_id").alias("incident")
+    stamp = F.col("onset_second")
+    alert = F.struct(
+        F.lit("UserFacingDegradation").alias("alertname"), F.lit("critical").alias("severity"), stamp.alias("starts_at_second"), F.lit("e > 1").alias("expr"),
+        F.lit(2.5).alias("value"), F.col("incident_id").alias("fingerprint"))
+    manifest = json_object(
+        scenario_id=F.col("incident_id"), source=F.lit("recorded"), time_unit=F.lit("second"), window=F.struct(F.col("window_start").alias("start"), F.col("window_end").alias("end")),
+        symptom=F.lit("slow"), available_signals=F.array(F.lit("traces")), notes=F.array(F.lit("n")), alerts=F.array(alert, alert.withField("starts_at_second", stamp + 60)))
+    steps = F.explode(F.array(json_object(id=F.lit("rb-1"), title=F.col("incident_id")), json_object(id=F.lit("rb-2"))))
+    row = lambda df: F.to_json(F.struct(*[c for c in df.columns if c != "incident_id"]))
+    metrics, changes = t.metrics.withColumn("unit", F.lit("u")), t.changes.withColumn("diff_touches", F.array(F.lit("a")))
+    files = {
+        "public/traces.jsonl": span_lines(t).select(key, F.col("line").alias("value")), "public/metrics.jsonl": metrics.select(key, row(metrics).alias("value")),
+        "public/logs.jsonl": t.logs.drop("span_id").select(key, row(t.logs.drop("span_id")).alias("value")), "public/changes.jsonl": changes.select(key, row(changes).alias("value")),
+        "public/manifest.json": t.incidents.select(key, manifest.alias("value")), "public/runbooks.jsonl": t.incidents.select(key, steps.alias("value")),
+        "eval_only/truth.json": t.truth.select(key, F.lit("sealed").alias("value"))}
+    path = t.spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(t.spark._jsparkSession.sessionState().newHadoopConf())
+    for name, lines in files.items():
+        staged = f"{root}-staged/{name}"
+        lines.write.partitionBy("incident").text(staged)
+        for found in fs.globStatus(path(f"{staged}/incident=*")):
+            folder = found.getPath()
+            target = path(f"{root}/{folder.getName().removeprefix('incident=')}/{name}")
+            fs.mkdirs(target.getParent())
+            fs.rename(folder, target)
+
+
+@query("s1_bundle_scan", with_views("spanev", "metrics", "logs", "changes", "incidents", body="""
+select 'spans' as part, incident_id, count(*) as n, sum(time) as total from spanev where event_id % 10 not in (3, 4, 5, 6) group by all
+union all select 'rejects', incident_id, count(*), 0 from spanev where event_id % 10 in (3, 4, 5, 6) group by all
+union all select 'metrics', incident_id, count(*), sum(time) from metrics group by all
+union all select 'logs', incident_id, count(*), sum(time) from logs group by all
+union all select 'changes', incident_id, count(*), sum(time) from changes group by all
+union all select 'incidents', incident_id, 1, window_end from incidents
+union all select 'alerts', incident_id, 2, 2 * onset_second + 60 from incidents
+union all select 'runbooks', incident_id, 2, 1 from incidents"""))
+def _(t: Telemetry) -> DataFrame:
+    """Bundle folders with broken span lines and a sealed truth, read back by the scan."""
+    root = scratch_path(t.spark, "bundles")
+    write_bundles(t, root)
+    found = bundle.read_bundles(t.spark, root, strict=False)
+    measures = {
+        "spans": F.col("time"), "rejects": F.lit(0), "metrics": F.col("time"), "logs": F.col("time"), "changes": F.col("time"), "incidents": F.col("window_end"),
+        "alerts": F.col("starts_at_second"), "runbooks": F.map_contains_key("runbook", F.lit("title")).cast("int")}
+    out = None
+    for part, measure in measures.items():
+        counted = found[part].groupBy("incident_id").agg(F.count(F.lit(1)).alias("n"), F.sum(measure).cast("long").alias("total")).select(
+            F.lit(part).alias("part"), "incident_id", "n", "total")
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
 @query("s2_strict_validation", with_views("spanev", body="""
 select incident_id, case event_id % 10 when 3 then 'time is missing or negative' when 4 then 'service is empty' when 5 then 'unknown field surprise'
   when 6 then 'not a JSON object' else '' end as reason, count(*) as n from spanev group by all"""))

@@ -178,3 +178,28 @@ def test_text_lines_are_numbered_and_scanned(spark, tmp_path):
     lines = quality.read_lines(spark, str(tmp_path))
     got = {(r.line_number, r.token) for r in quality.banned_token_findings(lines).collect()}
     assert got == {(2, "paymentFailure"), (4, "feature_flag.key"), (4, "feature_flag.")}
+
+
+@pytest.mark.parametrize("hot", [1, 6, 1000])
+def test_sharing_pairs_equal_all_against_all(spark, hot):
+    """One value is held by half of the incidents; pairs and classes together hold every link."""
+    rng = random.Random(hot)
+    lists = {f"i{n:02d}": [[f"v{rng.randrange(60)}" for _ in range(rng.randrange(3))] + (["common"] if c == 0 and n % 2 else []) for c in range(5)] for n in range(40)}
+    lists["i39"][1] = None
+    lists["i38"][2] = [None, "v1", "v1"]
+    schema = "incident_id string, " + ", ".join(f"{c} array<string>" for c in quality.COMPARED)
+    df = spark.createDataFrame([(k, *v) for k, v in lists.items()] + [(None, *lists["i01"])], schema).repartition(5)
+    pairs, classes = quality.sharing_pairs(df, hot)
+    got = {(r.left_id, r.right_id): (r.shared_features, r.shared_values) for r in pairs.collect()}
+    held = {(r.incident_id, r.feature, r.value): r.holders for r in classes.collect()}
+    sets = {k: [{x for x in v or [] if x is not None} for v in vs] for k, vs in lists.items()}
+    size = lambda c, v: sum(v in s[c] for s in sets.values())
+    assert held == {(k, quality.COMPARED[c], v): size(c, v) for k, s in sets.items() for c in range(5) for v in s[c] if size(c, v) > max(hot, 1)}
+    for a, b in ((a, b) for a in sets for b in sets if a < b):
+        both = [sets[a][c] & sets[b][c] for c in range(5)]
+        want = (sum(map(bool, both)), sum(map(len, both)))
+        if any(size(c, v) <= hot for c in range(5) for v in both[c]):
+            assert got.pop((a, b)) == want
+        elif want[1]:
+            assert any((a, quality.COMPARED[c], v) in held and (b, quality.COMPARED[c], v) in held for c in range(5) for v in both[c])
+    assert not got

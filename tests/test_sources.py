@@ -149,3 +149,24 @@ def test_quiet_rules_leave_no_state(spark, tmp_path):
     batches = [[("i", "m", 0, 0.9), ("i", "m", 15, 0.9)], [("i", "m", 30, 0.1)]]
     rules = spark.createDataFrame([(1, "m", 0.5, ">", 60)], "rule_id int, metric string, threshold double, comparison string, for_seconds int")
     assert rows_of_state(jobs.sustained_alerts(stream_of(spark, tmp_path, batches, schema), rules), tmp_path) == 0
+
+
+def test_bundles_fail_on_a_broken_row_and_stay_out_of_sealed_folders(spark, tmp_path):
+    public = tmp_path / "root" / "inc_a" / "public"
+    public.mkdir(parents=True)
+    (tmp_path / "root" / "inc_a" / "eval_only").mkdir()
+    (tmp_path / "root" / "inc_a" / "eval_only" / "traces.jsonl").write_text("sealed\n")
+    good = '{"id": "c1", "time": 5, "service": "a", "kind": "deploy", "summary": "s"}'
+    (public / "changes.jsonl").write_text(good + "\n\n" + good.replace('"a"', '""') + "\n")
+    (public / "manifest.json").write_text('{"scenario_id": "x", "window": {"start": 1, "end": 9}, "alerts": [{"alertname": "A", "starts_at_second": 4}]}')
+    root = str(tmp_path / "root")
+    found = bundle.read_bundles(spark, root, strict=False)
+    assert [(r.incident_id, r.id) for r in found["changes"].collect()] == [("inc_a", "c1")]
+    assert [(r.signal, r.reject_reasons) for r in found["rejects"].collect()] == [("changes", ["service is empty"])]
+    assert [(r.incident_id, r.window_end) for r in found["incidents"].collect()] == [("inc_a", 9)]
+    assert [(r.alertname, r.starts_at_second) for r in found["alerts"].collect()] == [("A", 4)]
+    assert found["spans"].count() == found["runbooks"].count() == 0
+    with pytest.raises(Exception, match="invalid changes row: service is empty"):
+        bundle.read_bundles(spark, root)["changes"].collect()
+    with pytest.raises(bundle.SealedPathError):
+        bundle.read_bundles(spark, f"{root}/inc_a/eval_only")
