@@ -11,7 +11,7 @@ from faultline.plans.signal_queries import rounded
 from faultline.plans.sqltext import ONSET_EFFECTS
 from faultline.plans.views import SERVICE_BY_POSITION, Telemetry, log_columns, with_views
 from faultline.session import scratch_path
-from faultline.sources import benchmark, bundle, otlp, sampling, vendor
+from faultline.sources import benchmark, bundle, case_folders as case_folders_source, otlp, sampling, vendor
 
 BASE_S = 1_700_000_000
 SERVICES = sorted({name for row in SERVICE_BY_POSITION for name in row})
@@ -56,6 +56,19 @@ def _(t: Telemetry) -> DataFrame:
     return out
 
 
+def lay_out(rows: DataFrame, root: str, name: str, form: str) -> None:
+    """Write ``rows`` as ``<root>/<incident>/<name>``; a tilde in the column ``incident`` stands for a level of folders."""
+    spark, staged = rows.sparkSession, f"{root}-staged/{name}"
+    rows.write.partitionBy("incident").format(form).options(header="true", escape='"').save(staged)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for found in fs.globStatus(path(f"{staged}/incident=*")):
+        folder = found.getPath()
+        target = path(f"{root}/{folder.getName().removeprefix('incident=').replace('~', '/')}/{name}")
+        fs.mkdirs(target.getParent())
+        fs.rename(folder, target)
+
+
 def write_bundles(t: Telemetry, root: str) -> None:
     """A bundle folder per incident below ``root``: public signal files, a manifest, and a sealed truth that no reader may touch."""
     key = F.col("incident_id").alias("incident")
@@ -74,16 +87,8 @@ def write_bundles(t: Telemetry, root: str) -> None:
         "public/logs.jsonl": t.logs.drop("span_id").select(key, row(t.logs.drop("span_id")).alias("value")), "public/changes.jsonl": changes.select(key, row(changes).alias("value")),
         "public/manifest.json": t.incidents.select(key, manifest.alias("value")), "public/runbooks.jsonl": t.incidents.select(key, steps.alias("value")),
         "eval_only/truth.json": t.truth.select(key, F.lit("sealed").alias("value"))}
-    path = t.spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(t.spark._jsparkSession.sessionState().newHadoopConf())
     for name, lines in files.items():
-        staged = f"{root}-staged/{name}"
-        lines.write.partitionBy("incident").text(staged)
-        for found in fs.globStatus(path(f"{staged}/incident=*")):
-            folder = found.getPath()
-            target = path(f"{root}/{folder.getName().removeprefix('incident=')}/{name}")
-            fs.mkdirs(target.getParent())
-            fs.rename(folder, target)
+        lay_out(lines, root, name, "text")
 
 
 @query("s1_bundle_scan", with_views("spanev", "metrics", "logs", "changes", "incidents", body="""
@@ -357,6 +362,68 @@ def _(t: Telemetry) -> DataFrame:
     return benchmark.infer_span_kinds(t.spans.drop("span_kind")).select("incident_id", "span_id", "span_kind")
 
 
+_CASE = {"cs": "select incident_id, concat('re2_', service, '_cpu_', substr(incident_id, 5)) as case_id from truth"}
+_CASE_SPANS = _CASE | {
+    "rep": "select *, cast(substr(span_id, 2) as bigint) % 10 = 0 as twice from spans",
+    "own": "select incident_id, span_id, parent_span_id, case when twice then 'zzz' else service end as service from rep",
+    "link": "select c.incident_id, c.span_id, c.parent_span_id from own c join own p on p.incident_id=c.incident_id and p.span_id=c.parent_span_id where p.service <> c.service",
+    "kinds": """select o.incident_id, o.span_id, case when exists (select 1 from link l where l.incident_id=o.incident_id and l.parent_span_id=o.span_id) then 'client'
+      when exists (select 1 from link l where l.incident_id=o.incident_id and l.span_id=o.span_id) then 'server' else 'internal' end as span_kind from own o""",
+    "lines": "select incident_id, span_id, time, service from rep union all select incident_id, span_id, time - 5, 'zzz' from rep where twice"}
+
+
+def case_folders(t: Telemetry, files: dict[str, DataFrame]) -> tuple[str, DataFrame]:
+    """A folder tree of cases with the given CSV files; its root and the windows read back from it."""
+    root = scratch_path(t.spark, "cases")
+    folder = t.truth.select("incident_id", F.concat("service", F.lit("_cpu~"), F.substring_index("incident_id", "_", -1)).alias("incident"))
+    inject = t.incidents.join(folder, "incident_id").select("incident", (F.lit(BASE_S) + F.col("onset_second")).cast("string").alias("value"))
+    lay_out(inject, root, "inject_time.txt", "text")
+    for name, rows in files.items():
+        lay_out(rows.join(folder, "incident_id").drop("incident_id"), root, name, "csv")
+    return root, case_folders_source.read_case_windows(t.spark, root, "re2", pre=144000, post=100000)
+
+
+@query("s15_case_traces", with_views("spans", "truth", extra=_CASE_SPANS, body=f"""
+select case_id as incident_id, span_id, time - 72000 as time, service, span_kind from lines join kinds using (incident_id, span_id) join cs using (incident_id) where {_CUT}"""))
+def _(t: Telemetry) -> DataFrame:
+    """Spans from a folder tree; each tenth id stands there twice, and its last line is the earlier in time."""
+    twice = F.substring("span_id", 2, 99).cast("long") % 10 == 0
+    again = t.spans.where(twice).withColumns({"time": F.col("time") - 5, "service": F.lit("zzz")})
+    rows = t.spans.withColumn("_again", F.lit(0)).unionByName(again.withColumn("_again", F.lit(1)))
+    folder = t.truth.select("incident_id", F.concat("service", F.lit("_cpu~"), F.substring_index("incident_id", "_", -1)).alias("incident"))
+    ordered = rows.join(folder, "incident_id").repartitionByRange("incident", "_again", "span_id").sortWithinPartitions("incident", "_again", "span_id")
+    root, windows_read = case_folders(t, {})
+    lay_out(ordered.select(
+        "incident", ((F.lit(BASE_S) + F.col("time")) * 1000 + 700).alias("startTimeMillis"), F.col("trace_id").alias("traceID"), F.col("span_id").alias("spanID"),
+        F.col("parent_span_id").alias("parentSpanID"), F.col("service").alias("serviceName"), F.col("operation").alias("operationName"),
+        (F.col("duration_ms") * 1000).alias("duration"), F.lit(0).alias("statusCode")), root, "traces.csv", "csv")
+    read = case_folders_source.read_case_csv(t.spark, root, "re2", "traces.csv")
+    return benchmark.microsecond_traces(read, windows_read).select("incident_id", "span_id", "time", "service", "span_kind")
+
+
+@query("s11_case_metrics", with_views("metrics", "truth", extra=_CASE, body=f"""
+select case_id as incident_id, case when service = 'ad' then 'adservice' else service end as service, case metric when 'cpu_cores' then 'socket' else metric end as metric, time - 72000 as time,
+  round(case metric when 'latency_p95_ms' then value * 1000 else value end, 6) as value, case metric when 'request_error_rate' then 'ratio' when 'latency_p95_ms' then 'ms' else 'count' end as unit
+from metrics join cs using (incident_id) where {_CUT}"""))
+def _(t: Telemetry) -> DataFrame:
+    """Wide metrics from a folder tree, their services named as in the traces beside them."""
+    seen = t.spans.select("incident_id", F.when(F.col("service") == "ad", "adservice").otherwise(F.col("service")).alias("serviceName")).distinct()
+    wide = wide_frame(t, {"request_error_rate": "error", "latency_p95_ms": "latency-90", "cpu_cores": "socket"})
+    root, cut = case_folders(t, {"simple_metrics.csv": wide, "traces.csv": seen})
+    services = case_folders_source.read_case_csv(t.spark, root, "re2", "traces.csv").select("incident_id", F.col("serviceName").alias("service"))
+    return rounded(benchmark.wide_metrics(case_folders_source.read_case_csv(t.spark, root, "re2", "simple_metrics.csv").drop("_place"), cut, services), "value")
+
+
+@query("s13_case_logs", with_views("logs", "truth", extra=_CASE, body=f"""
+select case_id as incident_id, time - 72000 as time, service, severity, message, trace_id from logs join cs using (incident_id) where {_CUT}"""))
+def _(t: Telemetry) -> DataFrame:
+    """Logs in nanoseconds from a folder tree."""
+    root, cut = case_folders(t, {"logs.csv": t.logs.select(
+        "incident_id", F.concat((F.lit(BASE_S) + F.col("time")).cast("string"), F.lit("500000000")).alias("timestamp"),
+        F.col("service").alias("container_name"), F.col("severity").alias("level"), "message", "trace_id")})
+    return benchmark.nanosecond_logs(case_folders_source.read_case_csv(t.spark, root, "re2", "logs.csv"), cut)
+
+
 @query("s16_window_cut", with_views("logs", body=f"select incident_id, time - 72000 as time, service, message from logs where {_CUT}"))
 def _(t: Telemetry) -> DataFrame:
     rows = t.logs.select("incident_id", "service", "message", (F.col("time") + BASE_S).alias("time_abs"))

@@ -202,14 +202,17 @@ def aliased_traces(rows: DataFrame, windows: DataFrame) -> DataFrame:
 def infer_span_kinds(spans: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """Add ``span_kind``: the caller side of a cross-service link is client, the callee side server.
 
-    Reads every span, windowed or not. Both roles are reduced to distinct ids
-    before the joins, so a parent of very many spans does not skew them. Where spans
-    repeat an id the parent is the last one by ``order``, then by service name: rows of a
-    frame have no place of their own, so give a column that tells it where there is one.
+    Reads every span, windowed or not. Rows that repeat an id are one span: its service is
+    the last one by ``order``, then by name, its parent the last that is given. Rows of a frame
+    have no place of their own, so give a column that tells it where there is one. Both
+    roles are reduced to distinct ids before the joins, so a parent of very many spans
+    does not skew them.
     """
     last = F.struct(*order, "service")
-    parents = spans.groupBy("incident_id", F.col("span_id").alias("parent_span_id")).agg(F.max_by("service", last).alias("_ps"))
-    links = spans.where("parent_span_id IS NOT NULL").join(parents, ["incident_id", "parent_span_id"]).where(F.col("_ps") != F.col("service"))
+    whole = spans.groupBy("incident_id", "span_id").agg(
+        F.max_by("service", last).alias("service"), F.max_by("parent_span_id", F.when(F.col("parent_span_id").isNotNull(), last)).alias("parent_span_id"))
+    parents = whole.select("incident_id", F.col("span_id").alias("parent_span_id"), F.col("service").alias("_ps"))
+    links = whole.where("parent_span_id IS NOT NULL").join(parents, ["incident_id", "parent_span_id"]).where(F.col("_ps") != F.col("service"))
     clients = links.select("incident_id", F.col("parent_span_id").alias("span_id"), F.lit(True).alias("_client")).distinct()
     servers = links.select("incident_id", "span_id", F.lit(True).alias("_server")).distinct()
     kind = F.when(F.col("_client"), "client").when(F.col("_server"), "server").otherwise("internal")
@@ -218,15 +221,19 @@ def infer_span_kinds(spans: DataFrame, order: Sequence[str] = ()) -> DataFrame:
 
 
 def microsecond_traces(rows: DataFrame, windows: DataFrame) -> DataFrame:
-    """Traces with millisecond starts, microsecond durations and numeric status; kinds are inferred."""
+    """Traces with millisecond starts, microsecond durations and numeric status; kinds are inferred.
+
+    Rows read from case folders carry their place in the file, which tells the last of a repeated id; others go by time.
+    """
+    placed = ["_place"] if "_place" in rows.columns else []
     status = F.trim(pick(rows, "statusCode")).try_cast("double")
     micros = F.coalesce(F.trim(pick(rows, "duration")).try_cast("double"), F.lit(0.0))
     mapped = rows.select(
-        "incident_id", whole_number(F.trim(pick(rows, "startTimeMillis")), 1000.0).alias("time_abs"), F.nullif(F.trim(pick(rows, "traceID", "traceId")), F.lit("")).alias("trace_id"),
+        "incident_id", *placed, whole_number(F.trim(pick(rows, "startTimeMillis")), 1000.0).alias("time_abs"), F.nullif(F.trim(pick(rows, "traceID", "traceId")), F.lit("")).alias("trace_id"),
         F.nullif(F.trim(pick(rows, "spanID", "spanId")), F.lit("")).alias("span_id"), F.nullif(F.trim(pick(rows, "parentSpanID")), F.lit("")).alias("parent_span_id"),
         pick(rows, "serviceName", default="unknown").alias("service"), pick(rows, "operationName", default="unknown").alias("operation"),
         F.greatest(F.lit(0.0), micros / 1000).alias("duration_ms"), F.when(F.coalesce(status, F.lit(0.0)) != 0, "ERROR").otherwise("OK").alias("status"))
-    kinds = infer_span_kinds(mapped.where("span_id IS NOT NULL"), ["time_abs"])
+    kinds = infer_span_kinds(mapped.where("span_id IS NOT NULL"), placed or ["time_abs"]).drop("_place")
     return cut_and_rebase(kinds.where("time_abs IS NOT NULL AND trace_id IS NOT NULL"), windows)
 
 

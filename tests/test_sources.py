@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.sources import benchmark, bundle, vendor
+from faultline.sources import benchmark, bundle, case_folders, vendor
 from faultline.streaming import jobs
 
 
@@ -170,3 +170,21 @@ def test_bundles_fail_on_a_broken_row_and_stay_out_of_sealed_folders(spark, tmp_
         bundle.read_bundles(spark, root)["changes"].collect()
     with pytest.raises(bundle.SealedPathError):
         bundle.read_bundles(spark, f"{root}/inc_a/eval_only")
+
+
+def test_case_files_with_different_headings(spark, tmp_path):
+    def put(folder, name, text):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / folder / name).write_text(text)
+
+    put("cart_svc_cpu/1", "logs.csv", 'timestamp,level,message\n5,info,"a, ""b"""\n6,,later\n')
+    put("pay_mem/2", "logs.csv", "level,timestamp,level\nfirst,7,last\n\n")
+    put("pay_nofault/1", "logs.csv", "timestamp,level\n1,x\n")
+    put("pay_mem/2", "inject_time.txt", "1000.0\n")
+    put("cart_svc_cpu/1", "inject_time.txt", "soon\n")
+    read = case_folders.read_case_csv(spark, str(tmp_path), "re2", "logs.csv")
+    got = [(r.incident_id, r.timestamp, r.level, r.message) for r in read.orderBy("incident_id", "_place").collect()]
+    assert got == [("re2_cart_svc_cpu_1", "5", "info", 'a, "b"'), ("re2_cart_svc_cpu_1", "6", None, "later"), ("re2_pay_mem_2", "7", "last", None)]
+    cut = case_folders.read_case_windows(spark, str(tmp_path), "re2").collect()
+    assert [(r.incident_id, r.start_abs, r.end_abs) for r in cut] == [("re2_pay_mem_2", 820, 1300)]
+    assert case_folders.read_case_csv(spark, str(tmp_path), "re2", "traces.csv").count() == 0
