@@ -7,7 +7,9 @@ k-th best score so far leave, and the rest are compacted before the next dimensi
 A first k-th best comes from a bounded set of seed vectors; being scores of real
 candidates it can only be too low, so results are exact.
 
-Each chunk of queries meets each block once, in rows of an equi-join on the block.
+Each chunk of queries meets each block once, in a product of chunks and parts of blocks
+that copies neither side: every task reads its part of the blocks again. Nothing is
+broadcast, and what a task finds is merged before it leaves.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from faultline.llm.vectors import matrix, once, packed, ranked, sound
 from faultline.session import store
 
 STEP = 16  # dimensions read at a time
+PART_BYTES = 32 << 20  # blocks that a task holds
 LONG = 1 << 63
 
 
@@ -76,6 +79,36 @@ def best_in_block(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, x_ids: np
     return np.concatenate(rows).astype(np.int64), np.concatenate(cols).astype(np.int64), np.concatenate(values)
 
 
+def _bytes(x: np.ndarray) -> bytes:
+    """Whole numbers row by row, in two bytes each where all fit, else as doubles."""
+    return x.astype("<i2" if np.abs(x).max(initial=0) < 1 << 15 else "<f8").tobytes()
+
+
+def _matrix(data: bytes, n: int, width: int) -> np.ndarray:
+    """The ``n`` rows of ``_bytes`` again, as doubles."""
+    return np.frombuffer(data, "<i2" if len(data) == 2 * n * width else "<f8").reshape(n, width).astype(float)
+
+
+def _merged(k: int, *found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """The ``k`` best of each query in several results of ``best_in_block``, each candidate and score once."""
+    at, ids, score = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((ids, ~score, at))  # ~ falls as scores rise, and cannot overflow
+    at, ids, score = at[order], ids[order], score[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 0) | (np.diff(ids) != 0) | (score[1:] != score[:-1])
+    at, ids, score = at[new], ids[new], score[new]
+    keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[keep], ids[keep], score[keep]
+
+
+def _raised(floor: np.ndarray, k: int, at: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Floors after these ``k`` best: a query that has ``k`` needs no score below its last one."""
+    full = np.bincount(at, minlength=len(floor)) == k
+    lowest = np.where(full, np.inf, -np.inf)
+    np.minimum.at(lowest, at, score.astype(float))
+    return np.maximum(floor, lowest - 1e-9 * np.where(full, np.abs(lowest), 0))
+
+
 def top_k(table: DataFrame, queries: DataFrame, k: int, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding",
           block: int = 4096, chunk: int = 1024, seeds: int = 2048) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (long): each query's ``k`` largest inner products of floor(scale * component).
@@ -91,9 +124,16 @@ def top_k(table: DataFrame, queries: DataFrame, k: int, scale: float = 256.0, id
     base = store(sound(table, id_col, vec_col, zero=True), "vectors")
     asked = store(once(sound(queries, id_col, vec_col, zero=True)), "queries")
     width = max(1, base.agg(F.max(F.size("v"))).first()[0] or 1, asked.agg(F.max(F.size("v"))).first()[0] or 1)
-    blocks = store(packed(base, width, block), "blocks")
-    shape = blocks.agg(F.max("pid").alias("p"), F.max("seq").alias("s")).first()
-    if shape.p is None:
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, ids in zip(batch.column("data"), batch.column("ids")):
+                x = whole(np.frombuffer(data.as_buffer()), scale)
+                yield pa.record_batch([pa.array([ids.as_py()], pa.binary()), pa.array([_bytes(x)], pa.binary())], ["ids", "data"])
+
+    blocks = store(packed(base, width, block).mapInArrow(numbers, "ids binary, data binary"), "blocks")
+    shape = blocks.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("data")).alias("bytes")).first()
+    if not shape.n:
         return asked.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("score")).limit(0)
     some = base.orderBy(F.xxhash64("id")).limit(seeds).toArrow()
     seed_ids = some.column("id").to_numpy()
@@ -101,29 +141,44 @@ def top_k(table: DataFrame, queries: DataFrame, k: int, scale: float = 256.0, id
 
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                ids = np.frombuffer(r["ids"], "<i8")
-                q = whole(np.frombuffer(r["data"]).reshape(len(ids), width), scale)
+            for i in range(batch.num_rows):
+                ids = np.frombuffer(batch.column("ids")[i].as_py(), "<i8")
+                q = whole(np.frombuffer(batch.column("data")[i].as_py()).reshape(len(ids), width), scale)
                 floor = np.full(len(ids), -np.inf)
                 if len(seed_ids) > k:
-                    at, _, score = best_in_block(ids, q, floor, seed_ids, seed, k)
-                    counts = np.bincount(at, minlength=len(ids))
-                    np.minimum.at(lowest := np.full(len(ids), np.inf), at, score.astype(float))
-                    floor = np.where(counts == k, lowest - 1e-9 * np.abs(lowest), -np.inf)
-                yield pa.record_batch([pa.array([x], pa.binary()) for x in (r["ids"], q.astype("<f8").tobytes(), floor.astype("<f8").tobytes())], ["q_ids", "q", "floor"])
+                    at, of, score = best_in_block(ids, q, floor, seed_ids, seed, k)
+                    at, _, score = _merged(k, (at, seed_ids[of], score))
+                    floor = _raised(floor, k, at, score)
+                yield pa.record_batch([pa.array([x], pa.binary()) for x in (ids.tobytes(), _bytes(q), floor.astype("<f8").tobytes())], ["q_ids", "q", "floor"])
 
     chunks = store(packed(asked, width, chunk).mapInArrow(floors, "q_ids binary, q binary, floor binary"), "chunks")
-    sent = chunks.select("*", F.explode(F.sequence(F.lit(0), F.lit(shape.p))).alias("pid")).select("*", F.explode(F.sequence(F.lit(0), F.lit(shape.s))).alias("seq"))
+    n_chunks = max(1, chunks.count())
+    spread = -(-2 * table.sparkSession.sparkContext.defaultParallelism // n_chunks)  # parts that give every core two tasks
+    parts = max(-(-shape.bytes // PART_BYTES), min(shape.n, spread))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = None  # of the chunk at hand; its rows follow each other
+
+        def found() -> pa.RecordBatch:
+            at, ids, score = best
+            return pa.record_batch([pa.array(q_ids[at]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
+
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                ids, q_ids = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["q_ids"], "<i8")
-                x = whole(np.frombuffer(r["data"]).reshape(len(ids), width), scale)
-                q = np.frombuffer(r["q"]).reshape(len(q_ids), width)
-                at, of, score = best_in_block(q_ids, q, np.frombuffer(r["floor"]), ids, x, k)
-                yield pa.record_batch([pa.array(q_ids[at]), pa.array(ids[of]), pa.array(score)], ["query_id", "vec_id", "score"])
+                if r["q_ids"] != key:
+                    if key is not None:
+                        yield found()
+                    key = r["q_ids"]
+                    q_ids, floor = np.frombuffer(key, "<i8"), np.frombuffer(r["floor"])
+                    q = _matrix(r["q"], len(q_ids), width)
+                    best = tuple(np.zeros(0, np.int64) for _ in range(3))
+                ids = np.frombuffer(r["ids"], "<i8")
+                at, of, score = best_in_block(q_ids, q, floor, ids, _matrix(r["data"], len(ids), width), k)
+                best = _merged(k, best, (at, ids[of], score))
+                floor = _raised(floor, k, best[0], best[2])
+        if key is not None:
+            yield found()
 
-    met = blocks.join(sent, ["pid", "seq"]).select("ids", "data", "q_ids", "q", "floor")
+    met = chunks.repartition(n_chunks).crossJoin(blocks.repartition(parts).hint("shuffle_replicate_nl"))
     return ranked(met.mapInArrow(scan, "query_id long, vec_id long, score long"), k)

@@ -104,6 +104,18 @@ def test_search_of_outlier_lists_is_never_short(spark):
 # 9: exact top-k
 
 
+def test_exact_top_copies_no_chunk_to_blocks(spark):
+    """Chunks meet blocks in a product: neither side is broadcast or repeated per block; copies and ties stay exact."""
+    rng = np.random.default_rng(9)
+    kinds = [[float(x) for x in v] for v in rng.normal(size=(40, 6))]
+    rows = [(i, kinds[i % 40], 0) for i in range(900)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    found = topk.top_k(table, table.filter("vec_id % 20 = 0"), 5, block=32, chunk=4, seeds=16)
+    assert sorted(map(tuple, found.collect())) == sorted(plain_top(rows, 5, 20, floored, zero=True))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("block,chunk", [(4096, 1024), (60, 3)])
 def test_exact_top_matches_brute_force(spark, block, chunk):
     table, rows = embeddings(spark)
