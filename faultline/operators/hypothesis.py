@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from faultline.functions.expr import is_error, kind_is
-from faultline.functions.ordered import top_per_group
 from faultline.operators.changes import nearest_before
 from faultline.operators.correlate import align_signals, timeline
 from faultline.operators.metrics import RED_METRICS
@@ -138,22 +140,56 @@ def default_runbooks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "catalogue_order int, id string, title string, keywords array<string>")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _fits(term: Column, words: list[str]) -> Column:
+    """Whether a term of three letters or more lies in one of the words; the pieces of a word are few."""
+    return term.isin(sorted({w[a:b] for w in words for a in range(len(w)) for b in range(a + 3, len(w) + 1)}))
+
+
+def _shortest(words: list[str]) -> list[str]:
+    """Without words that hold another one: what holds them holds that one too."""
+    return [w for w in dict.fromkeys(words) if not any(v in w for v in words if v != w)]
+
+
 def match_runbooks(symptoms: DataFrame, limit: int = 3) -> DataFrame:
     """Best runbooks per (incident_id, query): one point per query term that fits a keyword.
 
-    The catalogue is a fixed constant, so it rides along as an array instead of a join.
+    The catalogue is a fixed constant, so a row is scored where it lies: keywords that its text
+    does not hold are dropped before the terms are looked at, and only terms that fit some
+    keyword are counted. Equal rows compete for the places, so they meet by a digest of the
+    text; the text itself travels only if the caller reads it.
     """
-    terms = F.array_distinct(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: F.length(w) >= 3))
-    book = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(r).alias("id"), F.array(*[F.lit(k) for k in ks]).alias("keywords"))
-                     for i, (r, _, ks) in enumerate(RUNBOOKS)])
-    fits = lambda term, word: word.contains(term) | term.contains(word)
-    scored = symptoms.select("incident_id", "query", terms.alias("terms"), F.explode(book).alias("b")).select(
-        "incident_id", "query", "b.place", "b.id",
-        F.size(F.filter("terms", lambda term: F.exists(F.col("b.keywords"), lambda w: fits(term, w)))).alias("score"))
-    hits = top_per_group(scored.where("score > 0"), ["incident_id", "query"], [F.col("score").desc(), F.col("place")], limit, "position")
-    none = symptoms.join(hits, ["incident_id", "query"], "left_anti").select(
-        "incident_id", "query", F.lit(1).alias("position"), F.lit(DEFAULT_RUNBOOK).alias("id"), F.lit(0).alias("score"))
-    return hits.select("incident_id", "query", "position", "id", "score").unionByName(none)
+    every = [w for _, _, words in RUNBOOKS for w in words]
+
+    def fitting(text: Column) -> Column:
+        there = F.filter(F.array(*[F.lit(w) for w in _shortest(every)]), lambda w: text.contains(w))
+        terms = lambda held: F.filter(F.split(text, r"\s+"), lambda t: (F.length(t) >= 3) & (_fits(t, every) | F.exists(held, lambda w: t.contains(w))))
+        return F.array_distinct(_let(there, terms))
+
+    def scores(terms: Column) -> Column:
+        """(-score, place) of each runbook with a point, best first."""
+        points = lambda words: F.size(F.filter(terms, lambda t: functools.reduce(Column.__or__, [t.contains(w) for w in _shortest(words)], _fits(t, words))))
+        places = [F.struct((-points(words)).alias("lost"), F.lit(place).alias("place")) for place, (_, _, words) in enumerate(RUNBOOKS)]
+        return F.array_sort(F.filter(F.array(*places), lambda b: b["lost"] < 0))
+
+    scored = symptoms.select("incident_id", "query", F.sha2("query", 256).alias("_text"), _let(_let(F.lower("query"), fitting), scores).alias("_best"))
+    missed = F.size("_best") == 0
+    # A row without a hit gives a row of its own, so copies need not meet in one task.
+    groups = scored.groupBy("incident_id", "_text", "_best", F.when(missed, F.spark_partition_id()).alias("_part")).agg(
+        F.count(F.lit(1)).alias("_n"), F.first("query").alias("query"))
+    ids = F.array(*[F.lit(rid) for rid, _, _ in RUNBOOKS])
+    hit = lambda b: F.struct(F.get(ids, b["place"]).alias("id"), (-b["lost"]).alias("score"))
+    copies = F.least(F.col("_n"), F.lit(limit)).cast("int")
+    hits = F.slice(F.flatten(F.transform("_best", lambda b: F.array_repeat(hit(b), copies))), 1, limit)
+    placed = F.transform(hits, lambda h, i: F.struct((i + 1).alias("position"), h["id"].alias("id"), h["score"].alias("score")))
+    default = F.struct(F.lit(1).alias("position"), F.lit(DEFAULT_RUNBOOK).alias("id"), F.lit(0).alias("score"))
+    none = F.when(missed | F.col("incident_id").isNull(), F.array_repeat(default, F.col("_n").cast("int"))).otherwise(F.array().cast(
+        "array<struct<position:int,id:string,score:int>>"))
+    return groups.select("incident_id", "query", F.explode(F.concat(placed, none)).alias("r")).select("incident_id", "query", "r.position", "r.id", "r.score")
 
 
 def runbook_steps(runbooks: DataFrame, wanted: DataFrame) -> DataFrame:
