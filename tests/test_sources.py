@@ -47,6 +47,19 @@ def test_strict_reading_fails_and_loose_reading_rejects(spark, tmp_path):
     assert loose["spans"].count() == 1 and loose["rejects"].first().reject_reasons == ["span_id is empty", "unknown field extra"]
 
 
+def test_lines_are_parsed_once(spark, tmp_path):
+    """Valid and rejected rows come from one parse, and a filter on the reasons does not parse again for each field."""
+    write_case(tmp_path, "one", [span(), span(span_id="", extra=1)])
+    loose = bundle.read_bundles(spark, str(tmp_path), strict=False)
+    for part in ("spans", "rejects"):
+        assert "from_json" not in loose[part]._jdf.queryExecution().optimizedPlan().toString()
+    assert [json.loads(r.line)["span_id"] for r in loose["rejects"].collect()] == [""]
+    lines = spark.createDataFrame([('{"trace_id": "t"}',), (None,), ("[1]",)], "line string")
+    valid, bad = bundle.split_valid(bundle.validate_rows(lines, "traces"))
+    assert valid._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert valid.count() == 0 and [r.reject_reasons[0] for r in bad.orderBy("line").collect()] == ["not a JSON object", "not a JSON object", "span_id is empty"]
+
+
 def test_sealed_folders_stay_closed():
     with pytest.raises(bundle.SealedPathError):
         bundle.public_pattern("/data/eval_only", "traces.jsonl")
