@@ -254,6 +254,28 @@ class Encoder(dict):
         return self.names.join(ids)[:-1].decode()
 
 
+class LibraryEncoder(Encoder):
+    """The same ids, for operators that only need them: new words are merged by the library, one by one."""
+
+    def __init__(self, path: str) -> None:
+        dict.__init__(self)
+        self.path, self.library = path, Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.specials = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
+
+    def word(self, text: str) -> list[int]:
+        if not (text.isascii() and text.isprintable()):
+            text = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(ALPHABET)
+        return [t.id for t in self.model.tokenize(text)]
+
+
+@lru_cache(maxsize=2)
+def library_encoder(path: str) -> LibraryEncoder:
+    """One encoder per Python worker and file."""
+    return LibraryEncoder(path)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker and file."""

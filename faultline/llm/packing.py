@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.bpe import encoder
+from faultline.llm.bpe import library_encoder
 from faultline.llm.frames import pieces
 
 PIECE = "start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -126,8 +126,8 @@ def pack(docs: DataFrame, tokens: Callable[[str], bytes] | None = None, vocabula
     """One row per piece: the document's id, ``start``, ``length``, ``ids`` (array of int), ``ids_crc32`` (of the ids as
     little-endian unsigned 32-bit numbers), ``doc_tokens``, ``sequence_id`` and ``offset``.
 
-    Ids come from ``tokens`` (text to packed 32-bit ids), or else from the encoder of
-    ``vocabulary``; ``end_id`` follows each document. A sequence belongs to one task; its
+    Ids come from ``tokens`` (text to packed 32-bit ids), or else from ``vocabulary`` by the
+    tokenizers library; ``end_id`` follows each document. A sequence belongs to one task; its
     id joins the task's partition and a running number. ``size`` must be a power of two.
 
     Null and empty texts are documents of one id, ``end_id``. A null or repeated document
@@ -140,7 +140,7 @@ def pack(docs: DataFrame, tokens: Callable[[str], bytes] | None = None, vocabula
     kind = rows.schema["doc"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokens or encoder(vocabulary).encode
+        coder = tokens or library_encoder(vocabulary).encode
         packer = SumOfSquares(size)
         base = TaskContext.get().partitionId() << 40
         end = int(end_id).to_bytes(4, "little")

@@ -265,6 +265,15 @@ def test_packing_places_every_id_once(documents):
     assert check_packing(docs, rows, 4096) == 0
 
 
+def test_packing_merges_words_by_the_library(documents, odd_docs):
+    """Its ids are those of the automaton, without building one."""
+    mine, plain = bpe.library_encoder(VOCABULARY), bpe.encoder(VOCABULARY)
+    texts = [r.text or "" for r in [*documents.select("text").collect(), *odd_docs.select("text").collect()]]
+    texts += ["'S 'x it's\x85a", "x" * 5000, "\ufb01 \u1e9e \u0130 \u03a3", "<|endoftext|>a <| endoftext|>", "\ufffe\ud7ff \U000e0001"]
+    assert [mine.encode(t) for t in texts] == [plain.encode(t) for t in texts]
+    assert not hasattr(mine, "automaton")
+
+
 def test_packing_chooses_the_level_with_the_least_squares():
     packer = packing.SumOfSquares(8)
     item = lambda n: b"\0\0\0\0" * n
